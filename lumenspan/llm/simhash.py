@@ -110,7 +110,7 @@ def _keys(fp, bits: list[int], t: int):
     out = []
     for gone in combinations(bits, t):
         left = [b for b in bits if b not in gone]
-        out.append(F.struct(F.lit(sum(1 << b for b in gone)).cast("decimal(20,0)").cast("string").alias("gone"), _gather(fp, left).alias("value")))
+        out.append(F.struct(F.lit(str(sum(1 << b for b in gone))).alias("gone"), _gather(fp, left).alias("value")))
     return out
 
 
