@@ -59,7 +59,7 @@ def release(df: DataFrame) -> None:
     fs.delete(where, True)
 
 
-def map_rows(df: DataFrame, columns: Sequence[str], make: Callable[[], Callable[..., dict]], schema: T.StructType) -> DataFrame:
+def map_rows(df: DataFrame, columns: Sequence[str], make: Callable[[], Callable[..., dict]], schema: T.StructType, rows: int = SLICE) -> DataFrame:
     """Runs a function over slices of the given columns, in Arrow batches.
 
     ``make`` is called once a partition and returns a function from one list per
@@ -72,10 +72,10 @@ def map_rows(df: DataFrame, columns: Sequence[str], make: Callable[[], Callable[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
+            for at in range(0, batch.num_rows, rows):
                 if step is None:
                     step = make()
-                part = batch.slice(at, SLICE)
+                part = batch.slice(at, rows)
                 made = step(*[part.column(i).to_pylist() for i in range(part.num_columns)])
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
 

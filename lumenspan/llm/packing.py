@@ -14,9 +14,11 @@ import re
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,51 +27,86 @@ from .common import map_rows, materialize
 
 SIZE = 2048
 #: Distinct words whose ids a worker keeps; beyond that it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+#: Texts that are encoded together: rows, and characters.
+TEXTS, CHARS = 2048, 8 << 20
 #: Rows of one length that are ranked in one task.
 RANKED_ROWS = 100_000
 #: Texts with other characters, or an added token's start, go to the tokenizer whole: white space and case folding are plain only here.
-PLAIN = re.compile("[\t\n\v\f\r\x20-\x7e\xa0-ɏ]*")
+PLAIN = re.compile("[\t\n\v\f\r\x20-\x7e\xa1-\u012f\u0131-\u024f]*")
+#: The tokenizer file's splitting pattern, a fixed value.
+WORD = r"('s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+)"
+
+
+def _spread(lengths: np.ndarray, starts: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the picked stretches' items, one stretch after the other, and where each ends (0 first)."""
+    n = lengths[picked]
+    ends = np.append(0, np.cumsum(n))
+    return np.repeat(starts[picked] - ends[:-1], n) + np.arange(ends[-1]), ends
 
 
 def document_ids(path: str, end_id: int = 0) -> Callable[[list[str | None]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit numbers, each with ``end_id`` after it.
 
     The ids are those of ``tokenizers`` without special tokens. Its model works word by
-    word after normalising and splitting, so words are encoded once and remembered.
+    word after normalising and splitting, so each distinct word is encoded once; texts are
+    put together from their words' ids column by column.
     """
-    import regex
-    from tokenizers import Regex, Tokenizer  # noqa: F401  Regex: fail early where the library is too old
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    tok = Tokenizer.from_file(path)
-    words_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-    encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
+    whole, words_only = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    # Words come normalised and split.
+    words_only.normalizer = normalizers.Sequence([])
+    words_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     end = np.array([end_id], "<u4").tobytes()
     known: dict[str, bytes] = {}
 
-    def run(texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        parts: list[tuple[int, list[str]]] = []
-        new: set[str] = set()
+    def learn(words: list[str]) -> None:
+        new = [w for w in words if w not in known]
+        if new:
+            ids = [e.ids for e in words_only.encode_batch_fast(new, add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+            ends = (4 * np.cumsum([len(x) for x in ids])).tolist()
+            known.update(zip(new, [flat[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+
+    def plain(texts: list[str]) -> list[bytes]:
         if len(known) > CACHE_WORDS:
             known.clear()
+        chunks = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        told = chunks.flatten().dictionary_encode()
+        mixed = pc.invert(pc.utf8_is_alpha(told.dictionary))
+        apart = pc.replace_with_mask(told.dictionary, mixed, pc.replace_substring_regex(told.dictionary.filter(mixed), WORD, r"\1 "))
+        words = pc.ascii_split_whitespace(apart)
+        each = words.flatten().dictionary_encode()
+        listed = each.dictionary.to_pylist()
+        learn(listed)
+        found = [known[w] for w in listed]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at, ends = _spread(n, np.cumsum(n) - n, each.indices.to_numpy())  # words to chunks
+        ids, ends = ids[at], ends[words.offsets.to_numpy()]
+        at, stops = _spread(np.diff(ends), ends[:-1], told.indices.to_numpy())  # chunks to texts
+        data, stops = ids[at].tobytes(), 4 * stops[chunks.offsets.to_numpy()]
+        return [data[a:b] + end for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+
+    def run(texts: list[str | None]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        group, chars = [], 0
         for i, text in enumerate(texts):
             if not text:
                 out[i] = end
             elif PLAIN.fullmatch(text) and "<|" not in text:
-                words = words_of(text.lower())
-                new.update(w for w in words if w not in known)
-                parts.append((i, words))
+                group.append(i)
+                chars += len(text)
+                if chars > CHARS:
+                    for k, got in zip(group, plain([texts[k] for k in group]), strict=True):
+                        out[k] = got
+                    group, chars = [], 0
             else:
-                out[i] = np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
-        if new:
-            listed = list(new)
-            for at in range(0, len(listed), 4096):
-                some = listed[at : at + 4096]
-                for w, got in zip(some, encode(some, add_special_tokens=False), strict=True):
-                    known[w] = np.array(got.ids, "<u4").tobytes()
-        for i, words in parts:
-            out[i] = b"".join([known[w] for w in words]) + end
+                out[i] = np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
+        if group:
+            for k, got in zip(group, plain([texts[k] for k in group]), strict=True):
+                out[k] = got
         return out
 
     return run
@@ -93,7 +130,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, id_col: str =
         return step
 
     schema = T.StructType([docs.schema[id_col], T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]])
-    return map_rows(docs, [id_col, text_col], make, schema)
+    return map_rows(docs, [id_col, text_col], make, schema, TEXTS)
 
 
 class CapacityTree:
@@ -186,7 +223,7 @@ def place(found: DataFrame, size: int = SIZE, id_col: str = "doc_id") -> DataFra
     that holds a third of all pieces is no bottleneck.
     """
     spark = found.sparkSession
-    salts = max(1, -(-found.count() // RANKED_ROWS)) * 4
+    salts = max(64, -(-found.count() // RANKED_ROWS) * 4)
     salted = found.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
