@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -27,9 +28,9 @@ from .common import map_rows, materialize
 
 SIZE = 2048
 #: Distinct words whose ids a worker keeps; beyond that it starts afresh.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Texts that are encoded together: rows, and characters.
-TEXTS, CHARS = 2048, 8 << 20
+TEXTS, CHARS = 2048, 3 << 20
 #: Rows of one length that are ranked in one task.
 RANKED_ROWS = 100_000
 #: Texts with other characters, or an added token's start, go to the tokenizer whole: white space and case folding are plain only here.
@@ -54,7 +55,8 @@ def document_ids(path: str, end_id: int = 0) -> Callable[[list[str | None]], lis
     """
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    whole, words_only = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    words_only = Tokenizer.from_file(path)
+    whole = cache(lambda: Tokenizer.from_file(path))  # loaded only if a text needs it
     # Words come normalised and split.
     words_only.normalizer = normalizers.Sequence([])
     words_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -62,8 +64,9 @@ def document_ids(path: str, end_id: int = 0) -> Callable[[list[str | None]], lis
     known: dict[str, bytes] = {}
 
     def learn(words: list[str]) -> None:
-        new = [w for w in words if w not in known]
-        if new:
+        fresh = [w for w in words if w not in known]
+        for at in range(0, len(fresh), 4096):
+            new = fresh[at : at + 4096]
             ids = [e.ids for e in words_only.encode_batch_fast(new, add_special_tokens=False)]
             flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
             ends = (4 * np.cumsum([len(x) for x in ids])).tolist()
@@ -103,7 +106,7 @@ def document_ids(path: str, end_id: int = 0) -> Callable[[list[str | None]], lis
                         out[k] = got
                     group, chars = [], 0
             else:
-                out[i] = np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
+                out[i] = np.array(whole().encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
         if group:
             for k, got in zip(group, plain([texts[k] for k in group]), strict=True):
                 out[k] = got
