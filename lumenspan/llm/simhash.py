@@ -24,9 +24,9 @@ from .components import components
 
 BITS = 64
 #: Buckets with more fingerprints link through pivots first; smaller ones compare all their pairs.
-SMALL_BUCKET = 48
+SMALL_BUCKET = 10
 #: Fingerprints of a large bucket that every other one in it is compared with.
-PIVOTS = 8
+PIVOTS = 3
 THRESHOLDS = (-1, 0, 1, 2)
 
 
@@ -135,10 +135,10 @@ def _together(fps: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _candidates(fps: DataFrame, groups: list[list[int]]) -> np.ndarray:
-    """costs[i, k]: pairs met when group i is probed within THRESHOLDS[k], plus the keys that takes, over all fingerprints."""
+    """costs[i, k]: pairs met when group i is probed within THRESHOLDS[k] (large buckets meet through pivots), plus the keys that takes, over all fingerprints."""
     costs = np.zeros((len(groups), len(THRESHOLDS)))
     keyed = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("part"), _gather(F.col("fp"), g).alias("value")) for i, g in enumerate(groups)])).alias("k")).groupBy("k.part", "k.value").count()
-    got = {r["part"]: r for r in keyed.groupBy("part").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs"), F.sum("count").alias("n")).collect()}
+    got = {r["part"]: r for r in keyed.groupBy("part").agg(F.sum(F.col("count").cast("double") * F.least(F.col("count"), F.lit(SMALL_BUCKET + PIVOTS))).alias("pairs"), F.sum("count").alias("n")).collect()}
     for i, g in enumerate(groups):
         pairs, n, width = got[i]["pairs"], got[i]["n"], len(g)
         extra = max(0.0, pairs - n)
