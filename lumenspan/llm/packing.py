@@ -10,6 +10,7 @@ Executors then rank the pieces of each length and look their places up in the ru
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable
@@ -28,9 +29,9 @@ from .common import map_rows, materialize
 
 SIZE = 2048
 #: Distinct words whose ids a worker keeps; beyond that it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Texts that are encoded together: rows, and characters.
-TEXTS, CHARS = 2048, 3 << 20
+TEXTS, CHARS = 1024, 2 << 20
 #: Rows of one length that are ranked in one task.
 RANKED_ROWS = 100_000
 #: Texts with other characters, or an added token's start, go to the tokenizer whole: white space and case folding are plain only here.
@@ -55,6 +56,7 @@ def document_ids(path: str, end_id: int = 0) -> Callable[[list[str | None]], lis
     """
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; more threads only hold memory
     words_only = Tokenizer.from_file(path)
     whole = cache(lambda: Tokenizer.from_file(path))  # loaded only if a text needs it
     # Words come normalised and split.
