@@ -22,11 +22,19 @@ def _bucket(term):
     return F.pmod(F.crc32(F.substring(term, 1, HEAD)), F.lit(PARTITIONS)).cast("int")
 
 
+def _back(k: int):
+    return lambda p: p - k
+
+
 def postings(chunks: DataFrame, tokenizer: str = "porter") -> DataFrame:
     """(chunk_id, file_id, chunk_index, column, term, tf, positions, long): one row per chunk, column and term; long counts the chunk's terms of all columns."""
     rows = with_terms(chunks, tokenizer)
     long = reduce(lambda a, b: a + b, [F.size(f"_{c}") for c, _, _ in COLUMNS])
-    tagged = F.concat(*[F.transform(F.col(f"_{c}"), lambda t, i, k=k: F.struct(F.lit(k).alias("column"), t.alias("term"), i.alias("pos"))) for k, (c, _, _) in enumerate(COLUMNS)])
+
+    def tag(k: int):
+        return lambda t, i: F.struct(F.lit(k).alias("column"), t.alias("term"), i.alias("pos"))
+
+    tagged = F.concat(*[F.transform(F.col(f"_{c}"), tag(k)) for k, (c, _, _) in enumerate(COLUMNS)])
     flat = rows.select("chunk_id", "file_id", "chunk_index", long.alias("long"), F.explode(tagged).alias("t")).select("chunk_id", "file_id", "chunk_index", "long", "t.*")
     # A chunk's terms are grouped where the chunk lies: the key starts with chunk_id and combines before the shuffle.
     return flat.groupBy("chunk_id", "file_id", "chunk_index", "long", "column", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
@@ -57,7 +65,7 @@ def lookup(spark: SparkSession, path: str, query: Query, tokenizer: str = "porte
             rows = stored.where(F.col("term").startswith(w) if prefix else F.col("term") == w)
             if not prefix or len(w) >= HEAD:
                 rows = rows.where(F.col("bucket") == zlib.crc32(w[:HEAD].encode()) % PARTITIONS)
-            parts.append(rows.select("chunk_id", "file_id", "chunk_index", "long", "column", F.lit(i).alias("atom"), F.lit(len(words)).alias("parts"), F.transform("positions", lambda p, k=k: p - k).alias("starts"), F.lit(k).alias("part")))
+            parts.append(rows.select("chunk_id", "file_id", "chunk_index", "long", "column", F.lit(i).alias("atom"), F.lit(len(words)).alias("parts"), F.transform("positions", _back(k)).alias("starts"), F.lit(k).alias("part")))
     if not parts:
         return stored.select("chunk_id", "file_id", "chunk_index", F.lit(0.0).alias("bm25")).limit(0)
     met = reduce(DataFrame.unionByName, parts)

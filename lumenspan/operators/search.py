@@ -36,8 +36,13 @@ class Options:
 
 
 def with_terms(chunks: DataFrame, tokenizer: str = "porter") -> DataFrame:
-    """FTS1: adds the terms of each indexed column as arrays ``_text``, ``_filename``, ``_folder_path``."""
-    return chunks.withColumns({f"_{c}": X.terms(F.col(c), tokenizer) for c, _, _ in COLUMNS})
+    """FTS1: adds the terms of each indexed column as arrays ``_text``, ``_filename``, ``_folder_path``.
+
+    They come out of a one-row generator, so the optimizer doesn't copy the tokenizer
+    into every expression (and every lambda) that reads them.
+    """
+    split = F.struct(*[X.terms(F.col(c), tokenizer).alias(f"_{c}") for c, _, _ in COLUMNS])
+    return chunks.select("*", F.inline(F.array(split)))
 
 
 def _atom_terms(atom: Atom, tokenizer: str) -> list[str]:
