@@ -40,10 +40,10 @@ def postings(chunks: DataFrame, tokenizer: str = "porter") -> DataFrame:
     return flat.groupBy("chunk_id", "file_id", "chunk_index", "long", "column", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def build(chunks: DataFrame, path: str, tokenizer: str = "porter") -> None:
-    """Writes postings, sorted by term within their partition, and the one row of corpus statistics."""
+def build(chunks: DataFrame, path: str, tokenizer: str = "porter", files_each: int = 4) -> None:
+    """Writes postings, sorted by term within their partition, and the one row of corpus statistics; ``files_each`` tasks share a partition."""
     found = postings(chunks, tokenizer).withColumn("bucket", _bucket(F.col("term")))
-    found.repartition(PARTITIONS * 4, "bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={VERSION}/postings")
+    found.repartition(PARTITIONS * files_each, "bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(files_each))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={VERSION}/postings")
     rows = with_terms(chunks, tokenizer)
     long = reduce(lambda a, b: a + b, [F.size(f"_{c}") for c, _, _ in COLUMNS])
     rows.agg(F.count("*").alias("n"), F.avg(long).alias("average")).write.mode("overwrite").parquet(f"{path}/version={VERSION}/corpus")

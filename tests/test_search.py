@@ -65,12 +65,18 @@ def test_nothing(golden):
     assert S.search(chunks.limit(0), files, "budget", now()).count() == 0
 
 
+@pytest.fixture(scope="module")
+def built(golden, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("index"))
+    I.build(golden[1], path, files_each=1)
+    return path
+
+
 @pytest.mark.parametrize("query", [parse("budget report"), All((Atom("budget"), Atom("rep", True))), Atom("fiscal year"), Any((Atom("plan q1"), Atom("plan", True)))])
-def test_index_agrees_with_scan(spark, golden, tmp_path, query):
+def test_index_agrees_with_scan(spark, golden, built, query):
     _, chunks = golden
-    I.build(chunks, str(tmp_path / "index"))
     a = {r["chunk_id"]: round(r["bm25"], 9) for r in S.bm25(chunks, query).collect()}
-    b = {r["chunk_id"]: round(r["bm25"], 9) for r in I.lookup(spark, str(tmp_path / "index"), query).collect()}
+    b = {r["chunk_id"]: round(r["bm25"], 9) for r in I.lookup(spark, built, query).collect()}
     assert a == b and a
 
 
