@@ -172,13 +172,16 @@ def counter(pieces: list[bytes]):
         new = [w for w in listed if w not in known]
         if new:
             known.update(zip(new, automaton.count([w.encode("utf-8", "surrogatepass") for w in new]).tolist(), strict=True))
-        tokens = np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))[each.indices.to_numpy()]
-        ends = words.offsets.to_numpy()
-        per_chunk = np.diff(np.append(0, np.cumsum(tokens))[ends])
-        at, stops = told.indices.to_numpy(), chunks.offsets.to_numpy()
-        n_tokens = np.diff(np.append(0, np.cumsum(per_chunk[at]))[stops])
-        n_words = np.diff(np.append(0, np.cumsum(np.diff(ends)[at]))[stops])
-        return n_words, n_tokens
+        picked, ends, at, stops = each.indices.to_numpy(), words.offsets.to_numpy(), told.indices.to_numpy(), chunks.offsets.to_numpy()
+
+        def total(per_word: np.ndarray) -> np.ndarray:
+            """Sums per text of numbers per distinct word."""
+            per_chunk = np.diff(np.append(0, np.cumsum(per_word[picked]))[ends])
+            return np.diff(np.append(0, np.cumsum(per_chunk[at]))[stops])
+
+        # Splitting leaves empty strings at the ends; they are no words.
+        n_words = total(np.fromiter((w != "" for w in listed), np.int64, len(listed)))
+        return n_words, total(np.fromiter((known[w] if w else 0 for w in listed), np.int64, len(listed)))
 
     def run(texts: list[str | None]) -> tuple[list[int], list[int]]:
         words, tokens = [], []
