@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_rows, materialize
+from .wordpiece import byte_symbols
 
 SIZE = 2048
 #: Distinct words whose ids a worker keeps; beyond that it starts afresh.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 #: Texts that are encoded together: rows, and characters.
-TEXTS, CHARS = 1024, 2 << 20
+TEXTS, CHARS = 4096, 6 << 20
 #: Rows of one length that are ranked in one task.
 RANKED_ROWS = 100_000
 #: Texts with other characters, or an added token's start, go to the tokenizer whole: white space and case folding are plain only here.
@@ -47,6 +48,7 @@ def _spread(lengths: np.ndarray, starts: np.ndarray, picked: np.ndarray) -> tupl
     return np.repeat(starts[picked] - ends[:-1], n) + np.arange(ends[-1]), ends
 
 
+@cache  # a worker goes on with the words of its earlier tasks
 def document_ids(path: str, end_id: int = 0) -> Callable[[list[str | None]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit numbers, each with ``end_id`` after it.
 
@@ -54,22 +56,19 @@ def document_ids(path: str, end_id: int = 0) -> Callable[[list[str | None]], lis
     word after normalising and splitting, so each distinct word is encoded once; texts are
     put together from their words' ids column by column.
     """
-    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; more threads only hold memory
-    words_only = Tokenizer.from_file(path)
-    whole = cache(lambda: Tokenizer.from_file(path))  # loaded only if a text needs it
-    # Words come normalised and split.
-    words_only.normalizer = normalizers.Sequence([])
-    words_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    whole = Tokenizer.from_file(path)
+    pieces_of = whole.model.tokenize  # for words that are normalised, split and written in byte symbols
+    symbols = {b: ord(c) for c, b in byte_symbols().items()}
     end = np.array([end_id], "<u4").tobytes()
     known: dict[str, bytes] = {}
 
     def learn(words: list[str]) -> None:
-        fresh = [w for w in words if w not in known]
-        for at in range(0, len(fresh), 4096):
-            new = fresh[at : at + 4096]
-            ids = [e.ids for e in words_only.encode_batch_fast(new, add_special_tokens=False)]
+        new = [w for w in words if w not in known]
+        if new:
+            ids = [[t.id for t in pieces_of(w if w.isascii() else w.encode().decode("latin-1").translate(symbols))] if w else [] for w in new]
             flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
             ends = (4 * np.cumsum([len(x) for x in ids])).tolist()
             known.update(zip(new, [flat[a:b] for a, b in zip([0, *ends], ends)], strict=True))
@@ -108,7 +107,7 @@ def document_ids(path: str, end_id: int = 0) -> Callable[[list[str | None]], lis
                         out[k] = got
                     group, chars = [], 0
             else:
-                out[i] = np.array(whole().encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
+                out[i] = np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
         if group:
             for k, got in zip(group, plain([texts[k] for k in group]), strict=True):
                 out[k] = got
