@@ -66,10 +66,11 @@ def test_links_equal_brute_force(spark, kind):
 
 
 def test_thresholds():
-    costs = np.array([[0, 5, 9, 99], [0, 5, 9, 99], [0, 5, 9, 99], [0, 50, 60, 99]], float)
+    costs = np.array([[0, 5, 12, 99], [0, 5, 12, 99], [0, 5, 12, 99], [0, 50, 60, 99]], float)
     got = simhash.allocate(costs, 3)
     assert sum(got) == 0 and got[3] == -1 and sorted(got[:3]) == [0, 0, 1]
-    together = np.diag(np.full(64, 50))
+    together = np.full((64, 64), 25)
+    np.fill_diagonal(together, 50)
     together[3, 40] = together[40, 3] = 50
     groups = simhash.correlated_groups(together, 100, 4)
     assert sorted(sum(groups, [])) == list(range(64)) and {len(g) for g in groups} == {16}
