@@ -1,0 +1,84 @@
+"""Learned partitions against brute force; the pipeline against its stages."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumenspan.llm import neighbours
+from lumenspan.llm.common import read
+
+
+def brute(rows, asks, top=20):
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], np.float32).astype(np.float64)
+    out = {}
+    for k in np.flatnonzero(asks(ids)):
+        s = (x * x[k]).sum(1)
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[k]][:top]
+        out[int(ids[k])] = [(int(ids[j]), float(s[j])) for j in order]
+    return out
+
+
+def test_recall(spark):
+    e = read(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding")
+    rows = [(r["vec_id"], r["embedding"]) for r in e.collect()]
+    want = brute(rows, lambda i: i % 20 == 0)
+    got: dict = {}
+    for r in neighbours.search(e, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hit = sum(len({v for _, v, _ in got[q]} & {v for v, _ in w}) for q, w in want.items())
+    assert set(got) == set(want) and hit >= 0.9 * sum(map(len, want.values()))
+    for q, found in got.items():
+        found.sort()
+        assert [n for n, _, _ in found] == list(range(1, len(found) + 1))
+        exact = dict(want[q])
+        assert all(s == pytest.approx(exact[v], abs=1e-12) for _, v, s in found if v in exact)
+        assert found == sorted(found, key=lambda x: (-x[2], x[1])) or [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
+
+
+def test_ties_odd_vectors_and_few_rows(spark):
+    rng = np.random.default_rng(2)
+    same = [1.0, 2.0, 2.0]
+    rows = [(i, same) for i in range(200, 260)] + [(i, [float(x) for x in rng.normal(size=3)]) for i in range(40)]
+    odd = [(1000, None), (1020, [0.0] * 3), (1040, [1.0, None, 2.0]), (1060, [1.0, float("nan"), 2.0]), (1080, [float("inf"), 1.0, 1.0]), (None, same), (1100, [1.0, 2.0]), (1120, [])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("id", F.lit("x")).withColumn("part", F.lit(1)).withColumn("score", F.lit(3))
+    got = neighbours.search(df, F.col("vec_id") % 20 == 0, goal=1.0).collect()
+    found: dict = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert [v for _, v in sorted(found[200])] == list(range(201, 221))
+    assert set(found) == {0, 20, 200, 220, 240}
+    few = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.search(few, F.col("vec_id") % 20 == 0).collect()] == [(20, 1, 1, 0.5), (20, 2, 2, -1.0)]
+    assert neighbours.search(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_parts_are_balanced():
+    x = np.random.default_rng(0).normal(size=(600, 8))
+    graph = neighbours.neighbour_graph(x, 5)
+    parts = neighbours.balanced_parts(x, graph, 8)
+    assert set(np.bincount(parts)) <= {74, 75, 76}
+    cut = lambda p: (p[:, None] != p[graph]).mean()
+    assert cut(parts) < 0.8 * cut(np.random.default_rng(1).permutation(parts))
+
+
+def test_pipeline(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.01"
+    docs = read(spark, sf, "documents")
+    kept = [docs]
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, kept[-1], sf)
+        kept.append(out.cache())
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns
+    counts = [d.count() for d in kept]
+    assert counts[1] > 0.98 * counts[0] and counts[2] > 0.8 * counts[1] and counts[3] == counts[2] and counts[4] <= counts[3]
+    good = read(spark, sf, "labels").where("quality = 1").join(docs.where("length(text) > 500"), "doc_id")
+    stay = good.join(kept[2], "doc_id", "left_semi").count()
+    assert stay > 0.95 * good.count()
+    assert kept[5].select("doc_id").distinct().count() == counts[4]
+    again = pipeline.run(spark, sf)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, again.select(columns).collect())) == sorted(map(tuple, kept[5].select(columns).collect()))
+    assert again.agg(F.max("sequence_id")).first() == kept[5].agg(F.max("sequence_id")).first()
