@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ ALPHABET = 64
 PIECE = 24
 LANDMARKS = 256
 #: Bound of the training sample: documents with either label, and sentences taken of each.
-TOXIC_DOCS, CLEAN_DOCS, SENTENCES_PER_DOC = 3000, 5000, 64
+TOXIC_DOCS, CLEAN_DOCS, SENTENCES_PER_DOC = 2500, 3500, 48
 #: Units that a document's score looks at.
 TOP = 3
 CACHE_UNITS = 300_000
@@ -196,19 +197,26 @@ def _surplus(k: int, other: int, share: float) -> float:
     return 2 * (k * math.log(k / (n * share)) + (other * math.log(other / (n * (1 - share))) if other else 0.0))
 
 
-def fit(sentences: list[tuple[int, int, str]], landmarks: int = LANDMARKS) -> Model | None:
+def fit(sentences: Iterable[tuple[int, int, str]], landmarks: int = LANDMARKS) -> Model | None:
     """A model from (document, label, sentence) rows; None unless both labels occur."""
-    docs: dict[tuple[int, int], list[str]] = {}
+    # Units as numbers of their spelling: a document is an array, repeats included.
+    number: dict[str, int] = {}
+    docs: dict[tuple[int, int], list[int]] = {}
     for doc, label, sentence in sentences:
-        docs.setdefault((doc, label), []).extend(u for u in units(sentence) if any(map(str.isalpha, u)))
-    toxic = [u for (_, label), u in sorted(docs.items()) if label == 1 and u]
-    clean = [u for (_, label), u in sorted(docs.items()) if label == 0 and u]
+        spelled = filter(None, map(_spell, units(sentence)))
+        docs.setdefault((doc, label), []).extend(number.setdefault(u, len(number)) for u in spelled)
+    toxic = [np.array(u) for (_, label), u in sorted(docs.items()) if label == 1 and u]
+    clean = [np.array(u) for (_, label), u in sorted(docs.items()) if label == 0 and u]
+    del docs
     if not toxic or not clean:
         return None
-    def contexts(groups: list[list[str]]) -> Counter:
-        """Distinct predecessors of each spelled unit: copies of one document count once."""
-        seen = {(b, a) for us in groups for spelled in [["", *map(_spell, us)]] for a, b in zip(spelled, spelled[1:])}
-        return Counter(b for b, _ in seen)
+    names = list(number)
+
+    def contexts(groups: list[np.ndarray]) -> Counter:
+        """Distinct predecessors of each unit: copies of one document count once."""
+        pairs = np.unique(np.concatenate([u * (len(names) + 1) + np.append(len(names), u[:-1]) for u in groups]))
+        found = np.bincount(pairs // (len(names) + 1), minlength=len(names))
+        return Counter({names[k]: int(found[k]) for k in np.flatnonzero(found)})
 
     in_toxic, in_clean = contexts(toxic), contexts(clean)
     share = sum(in_toxic.values()) / (sum(in_toxic.values()) + sum(in_clean.values()))
@@ -225,15 +233,14 @@ def fit(sentences: list[tuple[int, int, str]], landmarks: int = LANDMARKS) -> Mo
     for _ in range(3):
         model = _machine(positive, negative, landmarks, in_toxic, in_clean)
         # Harder negatives: clean units that the machine still takes for toxic.
-        score = np.concatenate([model.margins(pool[i : i + 50_000]) for i in range(0, len(pool), 50_000)]) if pool else np.zeros(0)
+        score = np.concatenate([model.margins(pool[i : i + 20_000]) for i in range(0, len(pool), 20_000)]) if pool else np.zeros(0)
         worst = [pool[i] for i in np.argsort(-score, kind="stable")[:1500] if score[i] > -0.7]
         fresh = [u for u in worst if u not in set(negative)]
         if not fresh:
             break
         negative = negative + fresh
-    all_units = sorted(set(in_toxic) | set(in_clean))
-    score = dict(zip(all_units, np.concatenate([model.margins(all_units[i : i + 50_000]) for i in range(0, len(all_units), 50_000)]), strict=True))
-    rows = np.array([summary(np.array([score[_spell(w)] for w in u])) for u in (*toxic, *clean)])
+    score = np.concatenate([model.margins(names[i : i + 20_000]) for i in range(0, len(names), 20_000)])
+    rows = np.array([summary(score[u]) for u in (*toxic, *clean)])
     y = np.array([1] * len(toxic) + [-1] * len(clean))
     # One toxic unit is enough where the largest margin alone tells the sample apart; only else do further ones and the length count.
     for used in ([0], [*range(TOP + 1)]):
@@ -286,17 +293,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def cut(batches):
         for batch in batches:
-            out = {"doc": [], "label": [], "sentence": []}
-            for key, label, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            chosen = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = [s[i : i + 2000] for s in SENTENCE.findall(text) for i in range(0, len(s), 2000)]
-                for p in sorted(np.random.default_rng(abs(hash(key)) % (1 << 32)).permutation(len(found))[:SENTENCES_PER_DOC]):
-                    for c, v in zip(out, (key, label, found[p]), strict=True):
-                        out[c].append(v)
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(out["doc"], pa.int64()), "label": pa.array(out["label"], pa.int32()), "sentence": pa.array(out["sentence"], pa.string())})
+                pick = sorted(np.random.default_rng(abs(hash(key)) % (1 << 32)).permutation(len(found))[:SENTENCES_PER_DOC])
+                chosen.append([found[p] for p in pick])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chosen, pa.list_(pa.string()))], names=["doc", "label", "sentences"])
 
     texts = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(sample), F.col(id_col) == F.col("_labelled")).select(F.xxhash64(id_col), F.col("_toxic").cast("int"), text_col)
-    got = sorted(map(tuple, texts.mapInArrow(cut, "doc long, label int, sentence string").collect()))
-    return fit(got)
+    got = texts.mapInArrow(cut, "doc long, label int, sentences array<string>").toArrow().sort_by([("doc", "ascending"), ("label", "ascending")])
+    return fit((doc, label, s) for doc, label, some in zip(*[c.to_pylist() for c in got.columns], strict=True) for s in sorted(some))
 
 
 def score_texts(model: Model | None, known: dict[str, float], texts: list[str | None]) -> list[float]:
