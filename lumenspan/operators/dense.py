@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 LEAST_SIMILARITY, RRF_K, LEAST_COVERAGE = 0.1, 60, 0.8
+MOST_QUERIES = 1000
 
 
 def similar(vectors: DataFrame, query: list[float], top: int = 20, least: float = LEAST_SIMILARITY, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -17,7 +18,9 @@ def similar(vectors: DataFrame, query: list[float], top: int = 20, least: float
 
 
 def similar_to(vectors: DataFrame, queries: DataFrame, top: int = 20, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """TOP3 for a stated set of queries (query_id, query): their best vectors by rank. ``queries`` is broadcast and so must be of bounded size."""
+    """TOP3 for a stated set of queries (query_id, query): their best vectors by rank. The set is broadcast; more than MOST_QUERIES are refused."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries; search them in parts")
     met = vectors.join(F.broadcast(queries), F.size("embedding") == F.size("query")).withColumn("similarity", X.cosine(F.col("embedding"), F.col("query"))).where(F.col("similarity") >= least)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "similarity")

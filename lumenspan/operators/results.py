@@ -73,15 +73,19 @@ def sections(hybrid: DataFrame, quick: DataFrame, opened: DataFrame, keep_overfl
     both = hybrid.select("file_id", "path", "score", "match_source", F.lit(0).alias("list")).unionByName(quick.select("file_id", "path", "score", F.lit(FILE_NAME).alias("match_source"), F.lit(1).alias("list")))
     first = Window.partitionBy("file_id").orderBy("list", F.desc("score"))
     names = both.where(F.col("match_source").bitwiseAND(F.lit(FILE_NAME)) != 0).withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    names = names.withColumn("place", F.row_number().over(Window.orderBy("list", F.desc("score"), "file_id")))
-    shown = names.where(F.col("place") <= NAME_CAP).select("file_id", F.lit("filename").alias("section"), "place", "score")
-    rest = both.join(names.where(F.col("place") <= NAME_CAP) if keep_overflow else names, "file_id", "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    shown = _first(names, NAME_CAP, "list", F.desc("score"), "file_id")
+    rest = both.join(shown if keep_overflow else names, "file_id", "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     seen = rest.withColumn("path_key", X.click_path(F.col("path"))).join(opened.select("path_key", "last_opened"), "path_key")
-    seen = seen.withColumn("place", F.row_number().over(Window.orderBy(F.desc("last_opened"), "file_id")))
-    shown_seen = seen.where(F.col("place") <= OPENED_CAP).select("file_id", F.lit("opened").alias("section"), "place", "score")
-    left = rest.where("list = 0").where(F.col("match_source").bitwiseAND(F.lit(CONTENT)) != 0).join(seen.where(F.col("place") <= OPENED_CAP) if keep_overflow else seen, "file_id", "left_anti")
-    content = content_threshold(left).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "file_id"))).where(F.col("place") <= CONTENT_CAP)
-    return shown.unionByName(shown_seen).unionByName(content.select("file_id", F.lit("content").alias("section"), "place", "score"))
+    shown_seen = _first(seen, OPENED_CAP, F.desc("last_opened"), "file_id")
+    left = rest.where("list = 0").where(F.col("match_source").bitwiseAND(F.lit(CONTENT)) != 0).join(shown_seen if keep_overflow else seen, "file_id", "left_anti")
+    content = _first(content_threshold(left), CONTENT_CAP, F.desc("score"), "file_id")
+    named = [d.select("file_id", F.lit(n).alias("section"), "place", "score") for n, d in (("filename", shown), ("opened", shown_seen), ("content", content))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def _first(rows: DataFrame, cap: int, *order) -> DataFrame:
+    """The first ``cap`` rows with their place; only those are numbered in one task."""
+    return rows.orderBy(*order).limit(cap).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
 def positions(placed: DataFrame) -> DataFrame:
