@@ -2,8 +2,9 @@
 
 Every page of a host is aligned with the host's reference page by simple tree matching.
 A text node of the reference that meets equal text on nearly all of the host's pages is
-template; varying slots are content. What is content but not article is told by its
-region: menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+template, inside article elements too; varying slots are content. What is content but not
+article is told by its region: menus, headers, footers, sidebars, notices, adverts, forms
+and reader comments; where an article element holds varying slots, only those count.
 The counts behind the template cover all pages of the host and are summed before they
 are shuffled, so a host of any size is no group of its own.
 """
@@ -118,11 +119,17 @@ def _squeeze(text: str) -> str:
 
 @dataclass
 class Block:
-    """A run of text between block boundaries, and the tree node that holds it."""
+    """A run of text between block boundaries, and the tree node that holds it.
+
+    ``slot`` is what templates list: the text's hash, inside an article that of the text
+    at its path of block elements, as a sentence may repeat a menu's word. Aligned nodes
+    have one path.
+    """
 
     text: str
     node: int
     article: bool
+    slot: int
 
 
 def blocks(root: Node, every: bool = False) -> tuple[list[Block], list[Node]]:
@@ -130,23 +137,23 @@ def blocks(root: Node, every: bool = False) -> tuple[list[Block], list[Node]]:
     out: list[Block] = []
     nodes: list[Node] = []
     run: list[str] = []
-    owner = [0, False]
+    owner = [0, False, ""]
 
     def flush() -> None:
         text = _squeeze("".join(run))
         if text:
-            out.append(Block(text, owner[0], owner[1]))
+            out.append(Block(text, owner[0], owner[1], mark(f"{owner[2]} {text}" if owner[1] else text)))
         run.clear()
 
     # An explicit stack: trees may be deeper than Python's own.
-    stack: list[tuple[str, object, int, bool]] = [("enter", root, -1, False)]
+    stack: list[tuple[str, object, int, bool, str]] = [("enter", root, -1, False, "")]
     while stack:
-        what, item, at, inside = stack.pop()
+        what, item, at, inside, path = stack.pop()
         if what == "flush":
             flush()
         elif what == "text":
             if not run:
-                owner[:] = [at, inside]
+                owner[:] = [at, inside, path]
             run.append(item)
         elif what == "enter":
             node: Node = item
@@ -162,9 +169,10 @@ def blocks(root: Node, every: bool = False) -> tuple[list[Block], list[Node]]:
             inside = inside or node.tag in ("article", "main")
             if node.tag in BLOCKS:
                 flush()
-                stack.append(("flush", None, 0, False))
+                stack.append(("flush", None, 0, False, ""))
+                path = xxhash.xxh64_hexdigest(f"{path} {node.tag}.{node.marks}".encode("utf-8", "surrogatepass"))
             for child in reversed(node.children):
-                stack.append(("text", child, number, inside) if isinstance(child, str) else ("enter", child, at, inside))
+                stack.append(("text", child, number, inside, path) if isinstance(child, str) else ("enter", child, at, inside, path))
     flush()
     return out, nodes
 
@@ -175,7 +183,7 @@ def mark(text: str) -> int:
 
 
 def skeleton(root: Node) -> list[tuple[str, int, int]]:
-    """The block structure of all regions as a flat tree: (label, parent, hash of the text), in page order.
+    """The block structure of all regions as a flat tree: (label, parent, slot of the text), in page order.
 
     Inner nodes are block elements (hash 0), leaves the blocks of text directly in them.
     """
@@ -198,7 +206,7 @@ def skeleton(root: Node) -> list[tuple[str, int, int]]:
         return at
 
     for b in found:
-        flat.append(("#text", put(nodes[b.node]), mark(b.text)))
+        flat.append(("#text", put(nodes[b.node]), b.slot))
     return flat
 
 
@@ -260,10 +268,10 @@ def align(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
 
 
 def article(root: Node, template: frozenset[int] = frozenset()) -> str:
-    """The main text: slots of the article element if the page has one, else all slots outside excluded regions; template (by hash) left out, unless that leaves nothing."""
+    """The main text: slots outside excluded regions without the template's; of these the article element's if there are such. Where all is template, all slots."""
     found = blocks(root)[0]
-    marked = [b for b in found if b.article]
-    kept = marked or [b for b in found if mark(b.text) not in template] or found
+    varying = [b for b in found if b.slot not in template] or found
+    kept = [b for b in varying if b.article] or varying
     return "\n".join(b.text for b in kept)
 
 
@@ -276,8 +284,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of ``pages``: id, url, text, n_chars (code points of text).
 
     Null and empty pages have an empty text. Pages without a host are one host. On hosts
-    of fewer than LEAST_PAGES pages nothing counts as template. Text inside an article
-    element is never template. Rows that repeat an id are extracted each; null ids are
+    of fewer than LEAST_PAGES pages nothing counts as template. Rows that repeat an id are extracted each; null ids are
     kept. Empty tables give no rows. Other columns are ignored.
     """
     keyed = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host(url_col).alias("_host"))
@@ -287,7 +294,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         def step(ids, urls, hosts, htmls):
             roots = list(map(parse, htmls))
-            found = [[(b.text, mark(b.text), b.article) for b in blocks(r)[0]] for r in roots]
+            found = [[(b.text, b.slot, b.article) for b in blocks(r)[0]] for r in roots]
             trees = list(map(skeleton, roots))
             return {"_id": ids, "_url": urls, "_host": hosts, "blocks": found, "nodes": list(map(len, trees)), "tree": list(map(json.dumps, trees))}
 
@@ -324,6 +331,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # As ``article`` does, on blocks that are read already.
     met = trees.select("_id", "_url", "_host", "blocks").join(template, "_host", "left")
     slots = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce("template", F.array().cast("array<bigint>")), b["mark"]))
-    kept = F.when(F.exists("blocks", lambda b: b["article"]), F.filter("blocks", lambda b: b["article"])).when(F.size(slots) > 0, slots).otherwise(F.col("blocks"))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    met = met.withColumn("_varying", F.when(F.size(slots) > 0, slots).otherwise(F.col("blocks")))
+    inner = F.filter("_varying", lambda b: b["article"])
+    text = F.array_join(F.transform(F.when(F.size(inner) > 0, inner).otherwise(F.col("_varying")), lambda b: b["text"]), "\n")
     return met.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

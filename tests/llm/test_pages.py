@@ -64,3 +64,14 @@ def test_extract(spark):
     assert by[100]["text"].split("\n")[0] == "Welcome to the site"
     assert (by[200]["text"], by[201]["text"], by[202]["text"], by[None]["text"]) == ("x", "", "", "q")
     assert wrapper.extract(df.limit(0)).count() == 0
+
+
+def test_template_inside_articles(spark):
+    def story(i):
+        body = f"<article><h1>Title {i}</h1><p>Share this page</p><p>{'story ' * (i % 4 + 1)}{i}</p><p>Home</p><div>Subscribe now</div></article>"
+        return (i, f"http://a.example/{i}", f"<html><body><ul><li>Home</ul>{body if i else body.replace('Share this page', 'Zero')}</body></html>")
+
+    rows = [story(i) for i in range(20)] + [(99, "http://a.example/99", "<html><body><ul><li>Home</ul><article><blockquote>Home</blockquote><p>More</p></article></body></html>")]
+    by = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert by[3] == "Title 3\nstory story story story 3" and by[0] == "Title 0\nZero\nstory 0"
+    assert by[99] == "Home\nMore"
