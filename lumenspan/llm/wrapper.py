@@ -37,8 +37,10 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("table ul ol dl div article section main aside nav footer header body html td th form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words of class and id values that mark what isn't article.
+#: Words of class and id values that mark what isn't article, outside article elements.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe\w*|signup|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer\w*|header|masthead|topbar|comment\w*|disqus|replies|respond|share\w*|social\w*|related\w*|recommend\w*|widget\w*|pagination|pager|toolbar|login|search\w*)(?=$|[\s_-])", re.I)
+#: Whole class and id values that mark it inside article elements as well; there the template tells the rest.
+INNER_MARKS = frozenset("ad ads advert advertisement adsbygoogle comments disqus_thread sidebar".split())
 #: A tag that the page's end cuts off.
 CUT_TAG = re.compile(r"<[/!A-Za-z][^<>]*\Z")
 SPACE = re.compile(r"[\s]+")
@@ -105,12 +107,14 @@ def parse(html: str | None) -> Node:
 
 
 def _excluded(node: Node, inside: bool) -> bool:
-    """True for regions that aren't article. Within an article, a header may hold its headline."""
+    """True for regions that aren't article. Within an article, a header may hold its headline, and words in class names say little."""
     if node.tag in HIDDEN or node.marks in ("hidden", "role"):
         return True
     if node.tag in REGIONS and not (inside and node.tag == "header"):
         return True
-    return bool(node.marks and node.tag not in ("html", "body", "article", "main") and MARKS.search(node.marks))
+    if not node.marks or node.tag in ("html", "body", "article", "main"):
+        return False
+    return not INNER_MARKS.isdisjoint(node.marks.lower().split()) if inside else MARKS.search(node.marks) is not None
 
 
 def _squeeze(text: str) -> str:

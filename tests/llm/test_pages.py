@@ -75,3 +75,14 @@ def test_template_inside_articles(spark):
     by = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert by[3] == "Title 3\nstory story story story 3" and by[0] == "Title 0\nZero\nstory 0"
     assert by[99] == "Home\nMore"
+
+
+@pytest.mark.parametrize("name", ["entry-header", "article-header", "post-header", "side-effects", "share-price", "related-work", "search-results", "notice"])
+def test_class_names_inside_articles(name):
+    for tag in ("article", "main"):
+        assert text(f"<{tag}><header class='{name}'><h1>Head</h1></header><div class='{name}'>kept</div><p>story</p></{tag}>") == "Head\nkept\nstory"
+    assert text(f"<div class='{name}'>x</div><p>story</p>") == "story"
+
+
+def test_whole_marks_inside_articles():
+    assert text("<article><p>story</p><div class='box Ad'>x</div><section id=comments>y</section><div class='sidebar'>z</div><aside>a</aside></article>") == "story"
