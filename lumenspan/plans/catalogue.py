@@ -767,6 +767,12 @@ def html_text(spark, sf_dir):
     return p.select("page_id", X.html_text(F.col("html")).alias("text"))
 
 
+@register()
+def html_text_all(spark, sf_dir):
+    """SRC4, FN30 on every page; SQL can't decode all references (tested against html.unescape)."""
+    return T.table(spark, sf_dir, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
+
+
 @register("SELECT page_id, replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', '''') AS text FROM pages")
 def xml_unescape(spark, sf_dir):
     """FN30"""

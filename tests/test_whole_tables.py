@@ -1,5 +1,8 @@
 """Registered queries over every row of their tables."""
 
+import html
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,3 +27,20 @@ def test_every_file_is_met(spark, sf):
     files = T.files(spark, sf).count()
     assert QUERIES["result_families_all"](spark, sf).agg(F.sum("n_files")).first()[0] == files
     assert QUERIES["badges"](spark, sf).count() == files
+
+
+def plain_text(markup):
+    if markup is None:
+        return None
+    bare = re.sub(r"<[^>]+>", " ", re.sub(r"(?is)<(script|style)[^>]*>.*?</\1>", " ", markup))
+    return re.sub(r"[ \t\n\x0b\f\r]+", " ", html.unescape(bare)).strip(" ")
+
+
+def test_html_text_of_every_page(spark, sf, tmp_path):
+    pages = ["<p>a&#233;b &#x20AC;&lt;i&gt; &apos;q&apos;</p>", "cut off &amp<", "x &quot y &ampz &quo", "&#0;&#128;&#xD800;&#1114112;", "&amp;lt; &amp;#65;", "&notit; &hellip;&NotEqualTilde;", "<script>&lt;</script>a<STYLE>b</style>\n c", "", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in QUERIES["html_text_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: plain_text(p) for i, p in enumerate(pages)} and got[0] == "aéb €<i> 'q'"
+    rows = T.table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "html").collect()
+    got = {r["page_id"]: r["text"] for r in QUERIES["html_text_all"](spark, "/root/testdata/sf0.1").collect()}
+    assert got == {r["page_id"]: plain_text(r["html"]) for r in rows} and {28, 43, 113} <= set(got)
