@@ -16,7 +16,9 @@ import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
+from math import isqrt
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ from .common import map_rows, materialize
 
 #: A reference node is template if this share of the host's pages has its text there, of at least LEAST_PAGES.
 TEMPLATE_SHARE, LEAST_PAGES = 0.8, 5
-#: Lists of children up to this long (in the geometric mean) are aligned fully.
+#: Lists of children up to this long (in the geometric mean) are aligned on one table; longer ones row by row.
 FULL_ALIGNMENT = 60
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -217,57 +219,107 @@ def skeleton(root: Node) -> list[tuple[str, int, int]]:
 def align(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
     """Pairs (node of a, node of b) of a largest top-down, order-keeping matching: simple tree matching.
 
-    Children lists beyond FULL_ALIGNMENT are matched in order by label, which is the same
-    wherever siblings are alike.
+    Children lists beyond FULL_ALIGNMENT go through the same dynamic program row by row: of
+    n rows about twice the square root of n are kept at a time.
     """
     kids_a, kids_b = ([[] for _ in t] for t in (a, b))
     for kids, tree in ((kids_a, a), (kids_b, b)):
         for i, n in enumerate(tree[1:], 1):
             kids[n[1]].append(i)
+    ids: dict[tuple, int] = {}
+    nodes: list[int] = []  # of a subtree of each shape
+
+    def shapes(tree: list[tuple], kids: list[list[int]]) -> list[int]:
+        """Each node's subtree as a number: equal ones have the same labels throughout."""
+        out = [0] * len(tree)
+        for i in range(len(tree) - 1, -1, -1):
+            own = [out[k] for k in kids[i]]
+            out[i] = ids.setdefault((tree[i][0], *own), len(nodes))
+            if out[i] == len(nodes):
+                nodes.append(1 + sum(nodes[k] for k in own))
+        return out
+
+    shape_a, shape_b = shapes(a, kids_a), shapes(b, kids_b)
     memo: dict[tuple[int, int], int] = {}
 
-    def table(x: int, y: int) -> list[list[int]]:
+    def table(p: list[int], q: list[int]) -> list[list[int]]:
         """Sizes of the best matchings of the first i and j children."""
-        m = [[0] * (len(kids_b[y]) + 1) for _ in range(len(kids_a[x]) + 1)]
-        for i, p in enumerate(kids_a[x], 1):
-            for j, q in enumerate(kids_b[y], 1):
-                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + size(p, q))
+        m = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i, x in enumerate(p, 1):
+            for j, y in enumerate(q, 1):
+                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + size(x, y))
         return m
 
+    def stepper(p: list[int], q: list[int]):
+        """A function from row i - 1 of the table and i to row i."""
+        _, first, kind = np.unique([shape_b[y] for y in q], return_index=True, return_inverse=True)
+        sizes: dict[int, np.ndarray] = {}
+
+        def step(above: np.ndarray, i: int) -> np.ndarray:
+            x = p[i - 1]
+            if shape_a[x] not in sizes:
+                sizes[shape_a[x]] = np.array([size(x, q[k]) for k in first], np.int32)
+            row = np.zeros_like(above)
+            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + sizes[shape_a[x]][kind]), out=row[1:])
+            return row
+
+        return step
+
+    def best(p: list[int], q: list[int]) -> int:
+        if len(p) * len(q) <= FULL_ALIGNMENT**2:
+            return table(p, q)[-1][-1]
+        step, row = stepper(p, q), np.zeros(len(q) + 1, np.int32)
+        for i in range(1, len(p) + 1):
+            row = step(row, i)
+        return int(row[-1])
+
     def size(x: int, y: int) -> int:
         if a[x][0] != b[y][0]:
             return 0
+        if shape_a[x] == shape_b[y]:
+            return nodes[shape_a[x]]
         if not kids_a[x] or not kids_b[y]:
             return 1
-        if (x, y) not in memo:
-            memo[x, y] = 1 + (table(x, y)[-1][-1] if len(kids_a[x]) * len(kids_b[y]) <= FULL_ALIGNMENT**2 else min(len(kids_a[x]), len(kids_b[y])))
-        return memo[x, y]
+        key = (shape_a[x], shape_b[y])
+        if key not in memo:
+            memo[key] = 1 + best(kids_a[x], kids_b[y])
+        return memo[key]
+
+    def trace(rows, low: int, i: int, j: int) -> tuple[int, int]:
+        """Walks back from (i, j) to row ``low`` of a table of which ``rows`` are rows ``low`` and on."""
+        while i > low and j:
+            own, above = rows[i - low], rows[i - low - 1]
+            if own[j] == above[j]:
+                i -= 1
+            elif own[j] == own[j - 1]:
+                j -= 1
+            else:
+                todo.append((p[i - 1], q[j - 1]))
+                i, j = i - 1, j - 1
+        return i, j
 
     out, todo = [], [(0, 0)]
     while todo:
         x, y = todo.pop()
         out.append((x, y))
         p, q = kids_a[x], kids_b[y]
-        if len(p) * len(q) > FULL_ALIGNMENT**2:
-            j = 0
-            for i in p:
-                k = j
-                while k < len(q) and b[q[k]][0] != a[i][0]:
-                    k += 1
-                if k < len(q):
-                    todo.append((i, q[k]))
-                    j = k + 1
+        if len(p) * len(q) <= FULL_ALIGNMENT**2:
+            trace(table(p, q), 0, len(p), len(q))
             continue
-        m = table(x, y)
+        step, apart = stepper(p, q), isqrt(len(p)) + 1
+        row = np.zeros(len(q) + 1, np.int32)
+        kept = [row]
+        for i in range(1, len(p) + 1):
+            row = step(row, i)
+            if i % apart == 0:
+                kept.append(row)
         i, j = len(p), len(q)
         while i and j:
-            if m[i][j] == m[i - 1][j]:
-                i -= 1
-            elif m[i][j] == m[i][j - 1]:
-                j -= 1
-            else:
-                todo.append((p[i - 1], q[j - 1]))
-                i, j = i - 1, j - 1
+            low = (i - 1) // apart * apart
+            rows = [kept[low // apart]]
+            for k in range(low + 1, i + 1):
+                rows.append(step(rows[-1], k))
+            i, j = trace(rows, low, i, j)
     return out
 
 

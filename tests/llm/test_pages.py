@@ -1,5 +1,7 @@
 """Wrapper induction: alignment, regions, templates, odd markup."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,44 @@ def test_class_names_inside_articles(name):
 
 def test_whole_marks_inside_articles():
     assert text("<article><p>story</p><div class='box Ad'>x</div><section id=comments>y</section><div class='sidebar'>z</div><aside>a</aside></article>") == "story"
+
+
+def test_long_lists_are_aligned_fully():
+    def tree(*labels):
+        return [("#root", -1, 0), *[(x, 0, 0) for x in labels]]
+
+    # The first list's x comes up only at the other's end.
+    a, b = tree("x", *["p", "q"] * 50), tree(*["p", "q"] * 49, "p", "x", "q")
+    assert len(wrapper.align(a, b)) == 1 + 100
+
+
+def test_long_alignment_is_the_short_one(monkeypatch):
+    rng = random.Random(4)
+
+    def tree(n):
+        flat = [("#root", -1, 0)]
+        for _ in range(n):
+            flat.append((rng.choice("abc"), rng.choice([0, 0, *range(max(0, len(flat) - 3), len(flat))]), 0))
+        return flat
+
+    pairs = [(tree(rng.randint(1, 60)), tree(rng.randint(1, 60))) for _ in range(60)]
+    short = [wrapper.align(*p) for p in pairs]
+    monkeypatch.setattr(wrapper, "FULL_ALIGNMENT", 0)
+    for (a, b), s in zip(pairs, short, strict=True):
+        got = wrapper.align(a, b)
+        assert got == s and len(got) == plain_size(a, b) and len({x for x, _ in got}) == len({y for _, y in got}) == len(got)
+        met = dict(got)
+        assert all(a[x][0] == b[y][0] and (not x or met[a[x][1]] == b[y][1]) for x, y in got)
+        assert all((x < u) == (y < v) for x, y in got for u, v in got if x != u and a[x][1] == a[u][1])
+
+
+def plain_size(a, b, x=0, y=0):
+    """Simple tree matching by its definition."""
+    if a[x][0] != b[y][0]:
+        return 0
+    p, q = ([k for k in range(1, len(t)) if t[k][1] == n] for t, n in ((a, x), (b, y)))
+    m = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+    for i, c in enumerate(p, 1):
+        for j, d in enumerate(q, 1):
+            m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + plain_size(a, b, c, d))
+    return 1 + m[-1][-1]
