@@ -4,7 +4,7 @@ A bounded sample's neighbour graph is cut into balanced parts (recursive bisecti
 refined by exchanging the nodes that gain most), a small classifier learns to tell a
 vector's part, and routes every row to one part and every query to the few likeliest
 ones. How many, is measured: the least number whose recall on the sample, against brute
-force, reaches a goal. Candidates are reranked by the exact inner product in doubles.
+force, reaches a goal; where those hold too few rows, the next likeliest follow. Candidates are reranked by the exact inner product in doubles.
 """
 
 from __future__ import annotations
@@ -206,20 +206,31 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
         net = shared.value
         for batch in batches:
             x = batch.column(1).values.to_numpy(zero_copy_only=False)[batch.column(1).offsets[0].as_py() :][: batch.num_rows * dim].reshape(-1, dim)
-            ranked = np.argsort(-net.scores(x), axis=1, kind="stable")[:, : net.probes].astype(np.int32)
-            lists = pa.ListArray.from_arrays(np.arange(0, ranked.size + 1, ranked.shape[1], dtype=np.int32), ranked.ravel())
+            ranked = np.argsort(-net.scores(x), axis=1, kind="stable").astype(np.int32)
+            lengths = np.where(batch.column(2).to_numpy(zero_copy_only=False), ranked.shape[1], 1)  # all parts of queries, the own one of others
+            flat = ranked[np.arange(ranked.shape[1]) < lengths[:, None]]
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.float64())), batch.column(2), lists], names=["id", "v", "asks", "parts"])
 
     routed = materialize(usable.select("id", F.col("v").cast("array<double>").alias("v"), "asks").mapInArrow(route, "id long, v array<double>, asks boolean, parts array<int>"), "routed")
-    held = routed.groupBy(F.get("parts", F.lit(0)).alias("part")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    asked = routed.where("asks").select(F.explode("parts").alias("part")).groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("rounds"))
+    held = routed.groupBy(F.get("parts", F.lit(0)).alias("part")).agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    there = {r["part"]: r["n"] for r in held.collect()}  # at most MOST_PARTS
+    sizes = F.array(*[F.lit(there.get(i, 0)).cast("long") for i in range(len(router.scores(np.zeros((1, dim)))[0]))])
+    # A query looks into its first parts, and further ones until they hold ``top`` rows besides those of its id.
+    again = routed.groupBy("id").count().where("count > 1")
+    need = F.lit(top) + F.coalesce("count", F.lit(1))
+    short = lambda at: (at["probes"] < router.probes) | (at["n"] < need)
+    start = F.struct(F.lit(0).alias("probes"), F.lit(0).cast("long").alias("n"))
+    probes = F.aggregate("parts", start, lambda at, part: F.when(short(at), F.struct((at["probes"] + 1).alias("probes"), (at["n"] + F.get(sizes, part)).alias("n"))).otherwise(at), lambda at: at["probes"])
+    asking = routed.where("asks").join(again, "id", "left").select("id", "v", F.slice("parts", F.lit(1), probes).alias("parts"))
+    asked = asking.select(F.explode("parts").alias("part")).groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("rounds"))
     grid = F.broadcast(held.join(asked, "part"))  # a row a part: at most MOST_PARTS
 
     def spread(n, seed, key="id"):
         return F.pmod(F.xxhash64(key, F.lit(seed)), n).cast("int")
 
     rows = routed.select("id", "v", F.get("parts", F.lit(0)).alias("part")).join(grid, "part").withColumn("block", spread(F.col("blocks"), 1)).withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
-    asks = routed.where("asks").select(F.col("id").alias("asker"), F.col("v").alias("asked"), F.explode("parts").alias("part")).join(grid, "part").withColumn("round", spread(F.col("rounds"), 2, "asker")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asks = asking.select(F.col("id").alias("asker"), F.col("v").alias("asked"), F.explode("parts").alias("part")).join(grid, "part").withColumn("round", spread(F.col("rounds"), 2, "asker")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left_cell, cell = [F.col(c).alias(f"asked_{c}") for c in ("part", "round", "block")], ["part", "round", "block"]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -1,6 +1,9 @@
 """Learned partitions against brute force; the pipeline against its stages."""
 
+import os
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +56,39 @@ def test_ties_odd_vectors_and_few_rows(spark):
     assert neighbours.search(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_queries_get_all_neighbours_there_are(spark):
+    # Four far clusters, one of 20 rows: its part alone holds 19 neighbours, enough for the goal in the mean.
+    rng = np.random.default_rng(5)
+    centres = 20 * np.array([[1.0, 0, 0], [-1, 0, 0], [0, 1, 0], [0, -1, 0]])
+    rows = [(i, [float(x) for x in centres[i % 4] + rng.normal(size=3)]) for i in range(83)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+    def counts(d):
+        return {r["query_id"]: r["count"] for r in neighbours.search(d, F.col("vec_id") >= 0).groupBy("query_id").count().collect()}
+
+    assert counts(df) == {i: 20 for i in range(83)}
+    # Rows of a query's own id are none of its neighbours.
+    same = df.withColumn("vec_id", F.expr("if(vec_id % 4 = 0 and vec_id < 40, 500, vec_id)"))
+    got = neighbours.search(same, F.col("vec_id") == 500)
+    assert {r["query_id"] for r in got.collect()} == {500} and got.where("vec_id = 500").count() == 0 and got.where("rank = 20").count() == 1
+    few = neighbours.search(df.where("vec_id < 15"), F.col("vec_id") == 0)
+    assert few.count() == 14
+
+
+def test_recall_on_rows_the_router_has_not_seen():
+    if not os.path.isdir("/root/testdata/check_l"):
+        pytest.skip("no check_l")
+    e = pq.read_table("/root/testdata/check_l/embeddings.parquet", columns=["vec_id", "embedding"]).sort_by("vec_id")
+    x = np.asarray(e["embedding"].combine_chunks().flatten(), np.float64).reshape(e.num_rows, -1)[:12_000]
+    router = neighbours.fit(x[::4], len(x), part_rows=750)
+    asked = np.flatnonzero(np.arange(len(x)) % 4 == 1)[::10]
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    truth = np.argsort(-s, axis=1)[:, : neighbours.TOP]
+    ranked = np.argsort(-router.scores(x[asked]), axis=1)[:, : router.probes]
+    assert router.probes < len(router.b2) and (router.scores(x).argmax(1)[truth][:, :, None] == ranked[:, None, :]).any(2).mean() >= 0.95
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(0).normal(size=(600, 8))
     graph = neighbours.neighbour_graph(x, 5)
