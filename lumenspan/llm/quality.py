@@ -7,7 +7,10 @@ exact (Clopper-Pearson) upper bound of the false rejection rate stays at or unde
 rule's share of ``alpha``. A walk in fixed order needs no correction for its steps; the
 walks of all rules and strata share ``delta`` by Bonferroni. So with probability
 1 - delta every stratum's rules together reject at most ``alpha`` of its good documents.
-A stratum with too few labels to certify a cutoff gets none and keeps its documents.
+A stratum with too few labels for shares of ``alpha`` is walked once instead, by all rules
+together: each step tightens one rule, and what the rules reject between them is held
+against the whole of ``alpha``. Which walk it is depends on the number of labels alone.
+A stratum with too few labels for that as well gets no cutoff and keeps its documents.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ GRIDS: dict[str, tuple[float, ...]] = {
     "long_word": (30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 12.0, 11.0, 10.0),
     "shout_share": (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05),
 }
+#: Steps of the joint walk from mild to strict: (rule, its next cutoff); rules take turns by how far they are in their grids.
+JOINT = tuple((r, g[i]) for _, r, g, i in sorted((i / len(g), r, g, i) for r, g in GRIDS.items() for i in range(len(g))))
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 ALPHA, DELTA = 0.02, 0.05
 
@@ -103,11 +108,17 @@ def within_bound(k: int, n: int, alpha: float, delta: float) -> bool:
     return top + math.log(sum(math.exp(x - top) for x in log)) <= math.log(delta)
 
 
-def certify(rejected: dict[tuple[str, str], list[int]], good: dict[str, int], alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """(stratum, rule) -> strictest certified cutoff. ``rejected[stratum, rule][i]``: good documents above the rule's i-th cutoff."""
+def certify(rejected: dict[tuple[str, str], list[int]], good: dict[str, int], alpha: float = ALPHA, delta: float = DELTA, joint: dict[str, list[int]] | None = None) -> dict[tuple[str, str], float]:
+    """(stratum, rule) -> strictest certified cutoff. ``rejected[stratum, rule][i]``: good documents above the rule's i-th cutoff; ``joint[stratum][i]``: those that the first i + 1 steps of JOINT reject."""
     walks = max(1, len(good) * len(GRIDS))
     out = {}
     for stratum, n in good.items():
+        if joint and not within_bound(0, n, alpha / len(GRIDS), delta / walks):
+            for (rule, cutoff), k in zip(JOINT, joint[stratum], strict=True):
+                if not within_bound(k, n, alpha, delta / walks):
+                    break
+                out[stratum, rule] = cutoff
+            continue
         for rule, grid in GRIDS.items():
             for cutoff, k in zip(grid, rejected[stratum, rule], strict=True):
                 if not within_bound(k, n, alpha / len(GRIDS), delta / walks):
@@ -116,6 +127,18 @@ def certify(rejected: dict[tuple[str, str], list[int]], good: dict[str, int], al
     return out
 
 
+def first_step():
+    """Number of the first step of JOINT that rejects a row; the number of steps if none does."""
+    out = []
+    for rule, value in features().items():
+        when = F
+        for i, (r, cutoff) in enumerate(JOINT):
+            if r == rule:
+                when = when.when(value > cutoff, i)
+        out.append(when.otherwise(len(JOINT)))
+    return F.least(*out)
+
+
 def fit(stats: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
     """Cutoffs from all labelled good rows of ``stats`` that pass the base rules (quality = 1; null labels take no part).
 
@@ -123,10 +146,11 @@ def fit(stats: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str
     """
     tests = features()
     good = labels.where("quality = 1").select(F.col(id_col).alias("_labelled")).distinct()
-    held = stats.where(~base_failed()).join(good, F.col(id_col) == F.col("_labelled"), "left_semi")
+    held = stats.where(~base_failed()).join(good, F.col(id_col) == F.col("_labelled"), "left_semi").withColumn("_step", first_step())
     above = [F.count_if(tests[r] > c).alias(f"{r}_{i}") for r, grid in GRIDS.items() for i, c in enumerate(grid)]
+    above += [F.count_if(F.col("_step") <= i).alias(f"joint_{i}") for i in range(len(JOINT))]
     found = held.groupBy(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")).agg(F.count("*").alias("n"), *above).collect()
-    return certify({(r["stratum"], rule): [r[f"{rule}_{i}"] for i in range(len(grid))] for r in found for rule, grid in GRIDS.items()}, {r["stratum"]: r["n"] for r in found}, alpha, delta)
+    return certify({(r["stratum"], rule): [r[f"{rule}_{i}"] for i in range(len(grid))] for r in found for rule, grid in GRIDS.items()}, {r["stratum"]: r["n"] for r in found}, alpha, delta, {r["stratum"]: [r[f"joint_{i}"] for i in range(len(JOINT))] for r in found})
 
 
 def verdict(cutoffs: dict[tuple[str, str], float], stratum: str = "lang"):

@@ -135,6 +135,31 @@ def test_walk_stops_at_first_failure():
     assert quality.certify({("xx", r): [0] * len(g) for r, g in quality.GRIDS.items()}, {"xx": 10}) == {}
 
 
+def test_small_strata_walk_jointly():
+    none = {("es", r): [0] * len(g) for r, g in quality.GRIDS.items()}
+    clean = [0] * len(quality.JOINT)
+    assert quality.certify(none, {"es": 297, "a": 1, "b": 1, "c": 1}, joint=dict.fromkeys(["es", "a", "b", "c"], clean)) == {("es", r): g[-1] for r, g in quality.GRIDS.items()}
+    assert quality.certify(none, {"es": 100}, joint={"es": clean}) == {}
+    stop = quality.JOINT.index(("long_word", 18.0))
+    got = quality.certify(none, {"es": 400}, joint={"es": [0] * stop + [9] * (len(clean) - stop)})
+    assert got["es", "long_word"] == 20.0 and set(got) == set(none)
+    mild = {r: c for r, c in quality.JOINT[:stop]}
+    assert got == {("es", r): c for r, c in mild.items()}
+
+
+def test_joint_steps_count_what_rules_reject_together(spark):
+    rows = spark.createDataFrame([(100, 400, 5, 0, 0, 0, 1), (100, 1900, 120, 0, 0, 55, 1), (100, 500, 0, 0, 0, 0, 1)], ", ".join(f"{c} long" for c in (*quality.COUNTS, "n_lines")))
+    columns = rows.select(quality.first_step().alias("s"), *[v.alias(r) for r, v in quality.features().items()]).collect()
+    want = [next((i for i, (rule, c) in enumerate(quality.JOINT) if r[rule] > c), len(quality.JOINT)) for r in columns]
+    assert [r["s"] for r in columns] == want and len(set(want)) == 3
+
+
+def test_every_language_of_sf01_has_cutoffs(spark):
+    big, known = read(spark, "/root/testdata/sf0.1", "documents"), read(spark, "/root/testdata/sf0.1", "labels")
+    cutoffs = quality.fit(quality.counted(big, keep=("lang",)), known)
+    assert {s for s, _ in cutoffs} >= {"de", "en", "es", "fr"}
+
+
 def test_quality_on_documents(spark, docs, labels):
     big, known = read(spark, "/root/testdata/sf0.1", "documents"), read(spark, "/root/testdata/sf0.1", "labels")
     got = quality.assess(big, known)
