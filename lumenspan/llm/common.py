@@ -22,10 +22,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, one machine) a temporary folder is made and set.
+    Only where it is unset and everything runs on one machine (tests) a temporary folder is
+    made and set; a cluster without that setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lumenspan-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -161,8 +161,8 @@ def _choose(n: int, k: int) -> int:
 def plan(fps: DataFrame, tau: int = 3) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each group, from counts over all fingerprints; the number of groups grows with their thresholds' cost."""
     together, total = _together(fps)
-    if not total:
-        return [(list(range(BITS)), tau)]
+    if not total:  # nothing to link: any sound plan will do
+        return [(list(range(i, BITS, tau + 1)), 0) for i in range(tau + 1)]
     guess = {}
     for m in range(2, tau + 2):
         width = BITS // m
