@@ -1,14 +1,17 @@
 """Toxicity by a subsequence-kernel support vector machine with Nyström landmarks.
 
-A unit is a word, or a run of single letters spaced apart, without its non-letters.
-Two units are compared by the gap-weighted subsequences of three characters they share
-(span up to SPAN, each skipped character costs the factor DECAY), so inserted or
-dropped characters lower the similarity only a little. Units are projected on landmark
-units (Nyström) and a linear support vector machine is trained there on the labelled
-sentences: every unit of a clean sentence is negative, and of toxic sentences those units
-are positive that come up there significantly more often (multiple-instance learning). A document scores by
-its TOP most toxic units and its length. As the kernel is an inner product of subsequence counts, the
-machine folds into one weight per subsequence: scoring needs no landmark any more.
+A unit is a word, or a run of single letters spaced apart, without its non-letters. Two
+units are compared by the gap-weighted subsequences of three characters they share (span
+up to SPAN, each skipped character costs the factor DECAY), so inserted or dropped
+characters lower their cosine only a little. The kernel of two sentences sums the POWER-th
+power of that cosine over all pairs of their units. Sentences are projected on landmark
+units (Nyström), and a linear support vector machine is trained there on the labelled
+sentences. A sentence has its document's label at first; as a toxic document holds clean
+sentences too, later rounds keep of each toxic document those sentences as positive that
+the machine finds toxic, at least its most toxic one (multiple-instance learning); every
+sentence of a clean document is negative throughout. A document scores by its TOP most
+toxic sentences and their number. Landmarks only span the space: which of them speak for
+toxicity is learnt from the sentences.
 """
 
 from __future__ import annotations
@@ -27,23 +30,44 @@ from pyspark.sql import types as T
 
 from .common import by_hash, learn_rows, map_rows, sample_share
 
-SPAN, DECAY = 6, 0.5
-ALPHABET = 64
+SPAN, DECAY, POWER = 6, 0.5, 3
+#: Character classes: Latin letters have one each, all others share OTHERS; the last two mark a unit's ends.
+ALPHABET, OTHERS = 128, 97
 #: Longest piece of a unit; longer units are cut into pieces that overlap by half.
 PIECE = 24
-LANDMARKS = 256
-#: Bound of the training sample: documents with either label, and sentences taken of each.
-TOXIC_DOCS, CLEAN_DOCS, SENTENCES_PER_DOC = 2500, 3500, 48
-#: Units that a document's score looks at.
+LANDMARKS = 320
+#: A landmark is left out whose kernel value with a better one is at least this.
+ALIKE = 0.2
+#: Bound of the training sample: documents with either label, sentences taken of each, characters of one; and sentences in all.
+TOXIC_DOCS, CLEAN_DOCS, SENTENCES_PER_DOC, SENTENCE_CHARS = 1200, 4000, 60, 240
+MOST_SENTENCES = 150_000
+#: Sentences that a document's score looks at.
 TOP = 3
-CACHE_UNITS = 300_000
-#: A toxic unit comes up at least this many times as often in toxic sentences as elsewhere.
-LEAST_ODDS = 5
+#: Rounds of choosing the toxic documents' positive sentences.
+ROUNDS = 5
+#: A toxic document's sentence counts as toxic if its margin is over that of this share of the clean documents' sentences.
+CLEAN_SHARE = 0.995
+CACHE_UNITS = 500_000
+#: Cost of a margin error against the size of the weights.
+COST = 20000.0
 OFFSETS = [(a, a + b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 SPACED = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 
 
+def sentences(text: str) -> list[str]:
+    """Runs up to a sentence's or line's end; longer ones than SENTENCE_CHARS are cut at white space (or, without any, anywhere)."""
+    out = []
+    for s in SENTENCE.findall(text):
+        while len(s) > SENTENCE_CHARS:
+            at = s.rfind(" ", SENTENCE_CHARS // 2, SENTENCE_CHARS)
+            at = at if at > 0 else SENTENCE_CHARS
+            out.append(s[:at])
+            s = s[at:]
+        out.append(s)
+    return out
+
+
 def units(text: str) -> list[str]:
     """Words and runs of spaced single letters, lower-cased, as they stand, repeats included."""
     text = text.lower()
@@ -51,17 +75,17 @@ def units(text: str) -> list[str]:
 
 
 def summary(margins: np.ndarray) -> list[float]:
-    """What a document's score is computed from: its TOP largest margins (-1 where there are fewer) and the logarithm of its units."""
+    """What a document's score is computed from: its sentences' TOP largest margins (-1 where there are fewer) and the logarithm of their number."""
     best = np.sort(np.partition(margins, len(margins) - TOP)[-TOP:])[::-1] if len(margins) > TOP else np.append(np.sort(margins)[::-1], [-1.0] * (TOP - len(margins)))
     return [*np.clip(best, -2, 2), math.log1p(len(margins))]
 
 
 def _codes(unit: str) -> list[list[int]]:
     """Character classes of a unit's letters between end marks; one list per piece."""
-    body = [ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 35 for c in unit if c.isalpha()]
+    body = [ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % OTHERS for c in unit if c.isalpha()]
     if not body:
         return []
-    body = [62, *body, 63]
+    body = [ALPHABET - 2, *body, ALPHABET - 1]
     return [body[at : at + PIECE] for at in range(0, max(1, len(body) - PIECE // 2), PIECE // 2)] if len(body) > PIECE else [body]
 
 
@@ -72,98 +96,133 @@ def _matrix(pieces: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return codes, long
 
 
-#: Norm of the subsequence counts of a piece by its length, each occurrence by itself.
-_NORM = np.array([max(1e-9, math.sqrt(sum(DECAY ** (2 * (b - 2)) * max(0, n - b) for _, b in OFFSETS))) for n in range(PIECE + 1)])
-
-
-def _subsequences(codes: np.ndarray, long: np.ndarray):
-    """For each gap pattern: subsequence numbers (pieces, positions), which of them are real, and their weight."""
+def features(pieces: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse features of length one: piece, subsequence, value; sorted by both, each pair once."""
+    codes, long = _matrix(pieces)
+    cells, vals = [], []
     for a, b in OFFSETS:
         wide = PIECE - b
         number = (codes[:, :wide] * ALPHABET + codes[:, a : a + wide]) * ALPHABET + codes[:, b : b + wide]
-        yield number, np.arange(wide) < (long - b)[:, None], DECAY ** (b - 2)
-
-
-def features(pieces: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse normalised features: piece, subsequence, value."""
-    codes, long = _matrix(pieces)
-    rows, cols, vals = [], [], []
-    for number, real, weight in _subsequences(codes, long):
-        r, _ = np.nonzero(real)
-        rows.append(r)
-        cols.append(number[real])
-        vals.append(weight / _NORM[long[r]])
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
-
-
-def dense(pieces: list[list[int]], columns: np.ndarray) -> np.ndarray:
-    """Feature matrix restricted to the given subsequences (sorted)."""
-    r, c, v = features(pieces)
-    at = np.searchsorted(columns, c).clip(0, max(0, len(columns) - 1))
-    hit = columns[at] == c if len(columns) else np.zeros(len(c), bool)
-    out = np.zeros((len(pieces), len(columns)))
-    np.add.at(out, (r[hit], at[hit]), v[hit])
-    return out
+        row, at = np.nonzero(np.arange(wide) < (long - b)[:, None])
+        cells.append(row * ALPHABET**3 + number[row, at])
+        vals.append(np.full(len(row), DECAY ** (b - 2)))
+    cells, vals = np.concatenate(cells), np.concatenate(vals)
+    order = np.argsort(cells, kind="stable")
+    cells, vals = cells[order], vals[order]
+    first = np.flatnonzero(np.diff(cells, prepend=-1))
+    vals = np.add.reduceat(vals, first) if len(first) else vals
+    rows, cols = np.divmod(cells[first], ALPHABET**3)
+    return rows, cols, vals / np.sqrt(np.bincount(rows, vals * vals, len(pieces)))[rows]
+
+
+class Landmarks:
+    """Landmark pieces as an inverted index: ``kernel`` gives pieces' powers of the cosine with each of them."""
+
+    def __init__(self, pieces: list[list[int]]):
+        rows, cols, vals = features(pieces)
+        order = np.argsort(cols, kind="stable")
+        self.many, self.rows, self.vals = len(pieces), rows[order].astype(np.int32), vals[order]
+        found, count = np.unique(cols, return_counts=True)
+        self.slot = np.full(ALPHABET**3, -1, np.int32)
+        self.slot[found] = np.arange(len(found))
+        self.count = count
+        self.start = np.cumsum(count) - count
+        self.own = self.kernel(pieces)
+
+    def kernel(self, pieces: list[list[int]]) -> np.ndarray:
+        rows, cols, vals = features(pieces)
+        slot = self.slot[cols]
+        hit = slot >= 0
+        rows, slot, vals = rows[hit], slot[hit], vals[hit]
+        n = self.count[slot]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[slot], n)
+        cosine = np.bincount(np.repeat(rows * self.many, n) + self.rows[at], np.repeat(vals, n) * self.vals[at], len(pieces) * self.many)
+        return (cosine**POWER).reshape(len(pieces), self.many)
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # by subsequence
+    landmarks: Landmarks
+    weights: np.ndarray  # by landmark
     bias: float
     curve: np.ndarray  # logistic weights of a document's summary, the last one alone
 
-    def margins(self, texts: list[str]) -> np.ndarray:
-        """Largest margin of each unit's pieces; -1 for units without letters."""
-        out = np.full(len(texts), -1.0)
-        pieces, owner = [], []
-        for i, t in enumerate(texts):
-            for p in _codes(t):
-                pieces.append(p)
-                owner.append(i)
-        for low in range(0, len(pieces), 4096):
-            some, own = pieces[low : low + 4096], np.array(owner[low : low + 4096])
-            codes, long = _matrix(some)
-            total = np.zeros(len(some))
-            for number, real, weight in _subsequences(codes, long):
-                total += weight * np.where(real, self.weights[number], 0).sum(1)
-            np.maximum.at(out, own, total / _NORM[long] + self.bias)
+    def values(self, names: list[str]) -> np.ndarray:
+        """What each unit adds to its sentence's margin."""
+        out = np.zeros(len(names))
+        pieces, owner = _pieces(names)
+        for low in range(0, len(pieces), 512):
+            some = pieces[low : low + 512]
+            np.add.at(out, owner[low : low + 512], self.landmarks.kernel(some) @ self.weights)
         return out
 
+    def margins(self, found: list[list[str]], known: dict[str, float] | None = None) -> np.ndarray:
+        """Margins of sentences given as units; ``known`` remembers units' values."""
+        known = {} if known is None else known
+        new = list({u for us in found for u in us if u not in known})
+        spelled = ["".join(filter(str.isalpha, u)) for u in new]
+        fresh = list({s for s in spelled if s not in known})
+        known.update(zip(fresh, self.values(fresh).tolist(), strict=True))
+        known.update((u, known[s]) for u, s in zip(new, spelled, strict=True))
+        return np.array([sum(map(known.__getitem__, us)) for us in found]) + self.bias
+
     def probability(self, rows: list[list[float]]) -> np.ndarray:
         at = np.asarray(rows, np.float64).reshape(-1, TOP + 1) @ self.curve[:-1] + self.curve[-1]
         return 1 / (1 + np.exp(-np.clip(at, -30, 30)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 20.0) -> np.ndarray:
-    """Linear squared-hinge machine with bias (last entry), by Newton steps with halving."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+def _pieces(names: list[str]) -> tuple[list[list[int]], np.ndarray]:
+    """All pieces of units, and the unit of each."""
+    pieces, owner = [], []
+    for i, t in enumerate(names):
+        for p in _codes(t):
+            pieces.append(p)
+            owner.append(i)
+    return pieces, np.array(owner, np.int64)
+
+
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
+    """Linear squared-hinge machine by Newton steps with halving; the last column of ``x`` is the bias's, rows of weight 0 don't count."""
     w = np.zeros(x.shape[1])
     ridge = np.ones(x.shape[1])
     ridge[-1] = 1e-3
 
-    def loss(w):
-        return 0.5 * (ridge * w * w).sum() + cost * (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    def slack(w):
+        return 1 - y * (x @ w.astype(np.float32))
 
-    now = loss(w)
+    def loss(w, left):
+        return 0.5 * (ridge * w * w).sum() + cost * (weight * np.maximum(0, left) ** 2).sum()
+
+    left = slack(w)
+    now = loss(w, left)
     for _ in range(40):
-        slack = 1 - y * (x @ w)
-        on = slack > 0
-        grad = ridge * w - 2 * cost * (x[on].T @ (weight[on] * y[on] * slack[on]))
-        step = np.linalg.solve(np.diag(ridge) + 2 * cost * (x[on].T * weight[on]) @ x[on], grad)
+        grad, second = ridge * w, np.diag(ridge)
+        active = np.flatnonzero((left > 0) & (weight > 0))
+        for low in range(0, len(active), 8192):
+            on = active[low : low + 8192]
+            some, share = x[on], weight[on]
+            grad = grad - 2 * cost * (some.T @ (share * y[on] * left[on]))
+            second = second + 2 * cost * ((some.T * share.astype(np.float32)) @ some)
+        step = np.linalg.solve(second, grad)
         size = 1.0
-        while size > 1e-4 and (new := loss(w - size * step)) > now - 1e-9 * size:
+        while size > 1e-4 and (new := loss(w - size * step, less := slack(w - size * step))) > now:
             size /= 2
         if size <= 1e-4:
             break
-        w, now = w - size * step, new
+        done = now - new <= 1e-6 * now
+        w, now, left = w - size * step, new, less
+        if done:
+            break
     return w
 
 
-def _logistic(rows: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights (bias last) by Newton steps; Platt's smoothed targets, both labels of equal weight, a small ridge."""
+def _logistic(rows: np.ndarray, y: np.ndarray, stand_for: dict[int, int] | None = None) -> np.ndarray:
+    """Logistic weights (bias last) by Newton steps; Platt's smoothed targets, a small ridge. A label's rows weigh as many as they stand for."""
     up, down = (y > 0).sum(), (y <= 0).sum()
     target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
-    weight = np.where(y > 0, 0.5 / max(up, 1), 0.5 / max(down, 1)) * len(y)
+    stand_for = stand_for or {1: up, 0: down}
+    weight = np.where(y > 0, stand_for[1] / max(up, 1), stand_for[0] / max(down, 1))
+    weight *= len(y) / weight.sum()
     x = np.hstack([rows, np.ones((len(rows), 1))])
     w = np.zeros(x.shape[1])
     ridge = np.array([0.1] * (x.shape[1] - 1) + [1e-3])
@@ -185,140 +244,138 @@ def _logistic(rows: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _spell(unit: str) -> str:
-    return "".join(filter(str.isalpha, unit))
+def _choose(toxic: Counter, clean: Counter, many: int) -> list[str]:
+    """Landmark units: half those whose rates in toxic and clean sentences differ most (in standard errors), half drawn from all others."""
+    a, b = max(1, toxic.total()), max(1, clean.total())
+
+    def apart(u: str) -> float:
+        share = (toxic[u] + clean[u]) / (a + b)
+        return abs(toxic[u] / a - clean[u] / b) / math.sqrt(share * (1 / a + 1 / b))
 
+    ranked = sorted(toxic | clean, key=lambda u: (-apart(u), u))
+    # One of several alike spans what they have in common: those near a better ranked one are passed over.
+    pieces, owner = _pieces(ranked[: 4 * many])
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    near = Landmarks([pieces[i] for i in first]).own
+    chosen: list[int] = []
+    for k in range(len(first)):
+        if len(chosen) < many // 2 and (not chosen or near[k, chosen].max() < ALIKE):
+            chosen.append(k)
+    out = [ranked[owner[first[k]]] for k in chosen]
+    rest = sorted(set(ranked) - set(out))
+    return out + [rest[i] for i in sorted(np.random.default_rng(3).permutation(len(rest))[: many - len(out)])]
 
-def _surplus(k: int, other: int, share: float) -> float:
-    """Twice the log likelihood ratio of k out of k + other against ``share``; 0 unless the odds are over LEAST_ODDS times the expected."""
-    n = k + other
-    if k * (1 - share) <= LEAST_ODDS * (other + 0.5) * share:
-        return 0.0
-    return 2 * (k * math.log(k / (n * share)) + (other * math.log(other / (n * (1 - share))) if other else 0.0))
 
+def fit(labelled: Iterable[tuple[int, int, str]], landmarks: int = LANDMARKS, stand_for: dict[int, int] | None = None) -> Model | None:
+    """A model from (document, label, sentence) rows; None unless both labels have sentences with letters.
 
-def fit(sentences: Iterable[tuple[int, int, str]], landmarks: int = LANDMARKS) -> Model | None:
-    """A model from (document, label, sentence) rows; None unless both labels occur."""
-    # Units as numbers of their spelling: a document is an array, repeats included.
+    ``stand_for`` tells how many documents of each label the sample was drawn from; only the last step, the score's scale, looks at it.
+    """
+    docs: dict[tuple[int, int], int] = {}
     number: dict[str, int] = {}
-    docs: dict[tuple[int, int], list[int]] = {}
-    for doc, label, sentence in sentences:
-        spelled = filter(None, map(_spell, units(sentence)))
-        docs.setdefault((doc, label), []).extend(number.setdefault(u, len(number)) for u in spelled)
-    toxic = [np.array(u) for (_, label), u in sorted(docs.items()) if label == 1 and u]
-    clean = [np.array(u) for (_, label), u in sorted(docs.items()) if label == 0 and u]
-    del docs
-    if not toxic or not clean:
+    owner, found = [], []
+    for doc, label, sentence in labelled:
+        some = sorted({number.setdefault(u, len(number)) for u in ("".join(filter(str.isalpha, u)) for u in units(sentence)) if u})
+        if some:
+            owner.append(docs.setdefault((doc, label), len(docs)))
+            found.append(np.array(some, np.int32))
+    names, owner = list(number), np.array(owner, np.int64)
+    order = np.sort(np.random.default_rng(4).permutation(len(owner))[:MOST_SENTENCES])
+    order = order[np.argsort(owner[order], kind="stable")]
+    owner, found = owner[order], [found[i] for i in order]
+    label = np.array([1 if label == 1 else -1 for _, label in docs])[owner] if docs else owner
+    if not ((label > 0).any() and (label < 0).any()):
         return None
-    names = list(number)
-
-    def contexts(groups: list[np.ndarray]) -> Counter:
-        """Distinct predecessors of each unit: copies of one document count once."""
-        pairs = np.unique(np.concatenate([u * (len(names) + 1) + np.append(len(names), u[:-1]) for u in groups]))
-        found = np.bincount(pairs // (len(names) + 1), minlength=len(names))
-        return Counter({names[k]: int(found[k]) for k in np.flatnonzero(found)})
-
-    in_toxic, in_clean = contexts(toxic), contexts(clean)
-    share = sum(in_toxic.values()) / (sum(in_toxic.values()) + sum(in_clean.values()))
-    least = 2 * math.log(len(in_toxic) + len(in_clean)) + 2
-    tell = {u: _surplus(k, in_clean[u], share) for u, k in in_toxic.items()}
-    positive = sorted((u for u in tell if tell[u] > least), key=lambda u: (-tell[u], u))[:2000]
-    if not positive:
-        positive = [max(sorted(tell), key=tell.get)]
-    others = sorted((u for u in in_clean if tell.get(u, 0) < 4), key=lambda u: (-in_clean[u], u))
-    rng = np.random.default_rng(5)
-    rare = others[500:]
-    negative = others[:500] + [rare[i] for i in sorted(rng.permutation(len(rare))[:4000])]
-    model, pool = None, others
-    for _ in range(3):
-        model = _machine(positive, negative, landmarks, in_toxic, in_clean)
-        # Harder negatives: clean units that the machine still takes for toxic.
-        score = np.concatenate([model.margins(pool[i : i + 20_000]) for i in range(0, len(pool), 20_000)]) if pool else np.zeros(0)
-        worst = [pool[i] for i in np.argsort(-score, kind="stable")[:1500] if score[i] > -0.7]
-        fresh = [u for u in worst if u not in set(negative)]
-        if not fresh:
-            break
-        negative = negative + fresh
-    score = np.concatenate([model.margins(names[i : i + 20_000]) for i in range(0, len(names), 20_000)])
-    rows = np.array([summary(score[u]) for u in (*toxic, *clean)])
-    y = np.array([1] * len(toxic) + [-1] * len(clean))
-    # One toxic unit is enough where the largest margin alone tells the sample apart; only else do further ones and the length count.
-    for used in ([0], [*range(TOP + 1)]):
-        found = _logistic(rows[:, used], y)
-        model.curve = np.zeros(TOP + 2)
-        model.curve[[*used, -1]] = found
-        said = model.probability(rows) >= 0.5
-        if min(said[y > 0].mean(), (~said[y < 0]).mean()) >= 0.98:
-            break
-    return model
-
-
-def _machine(positive: list[str], negative: list[str], landmarks: int, in_toxic: Counter, in_clean: Counter) -> Model:
-    rng = np.random.default_rng(3)
-    half = landmarks * 3 // 4
-    marks = positive[:half] + [negative[i] for i in sorted(rng.permutation(len(negative))[: landmarks - min(half, len(positive))])]
-    marks = [p for u in marks for p in _codes(u)]
-    columns = np.unique(features(marks)[1])
-    m = dense(marks, columns)
-    values, vectors = np.linalg.eigh(m @ m.T)
-    sound = values > 1e-8 * values.max()
-    project = m.T @ (vectors[:, sound] / np.sqrt(values[sound]))  # from features to Nyström coordinates
-    pieces, y, weight = [], [], []
-    for group, sign in ((positive, 1), (negative, -1)):
-        for u in group:
-            for p in _codes(u):
-                pieces.append(p)
-                y.append(sign)
-                weight.append(1 + math.log1p(in_toxic[u] if sign > 0 else in_clean[u]))
-    x = np.concatenate([dense(pieces[i : i + 1000], columns) @ project for i in range(0, len(pieces), 1000)])
-    y, weight = np.array(y), np.array(weight)
+    # A sentence that several documents share counts once; if a clean one has it, as clean.
+    seen = {us.tobytes(): i for i, us in reversed([*enumerate(found)])} | {found[i].tobytes(): i for i in np.flatnonzero(label < 0)[::-1]}
+    alone = np.zeros(len(found), bool)
+    alone[list(seen.values())] = True
+    counts = []
     for sign in (1, -1):
-        weight[y == sign] *= 0.5 / weight[y == sign].sum()
-    w = _svm(x, y, weight, cost=20000.0)
-    table = np.zeros(ALPHABET**3, np.float32)
-    table[columns] = project @ w[:-1]
-    return Model(table, float(w[-1]), np.zeros(TOP + 2))
+        n = np.bincount(np.concatenate([found[i] for i in np.flatnonzero(alone & (label == sign))] or [np.zeros(0, np.int32)]), minlength=len(names))
+        counts.append(Counter({names[k]: int(n[k]) for k in np.flatnonzero(n)}))
+    marks = Landmarks(_pieces(_choose(*counts, landmarks))[0])
+    x, project = _project(marks, names, found)
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    y, positive = label[first], label > 0
+    for _ in range(ROUNDS):
+        up, down = positive & alone, (label < 0) & alone
+        weight = np.where(up, 0.5 / max(1, up.sum()), np.where(down, 0.5 / max(1, down.sum()), 0.0))
+        w = _svm(x, label, weight, COST)
+        margin = x @ w.astype(np.float32)
+        chosen = (label > 0) & (margin > np.quantile(margin[down], CLEAN_SHARE))
+        if not chosen.any() or (chosen == positive).all():
+            break
+        positive = chosen
+    ends = np.append(first[1:], len(owner))
+    curve = _logistic(np.array([summary(margin[a:b]) for a, b in zip(first, ends, strict=True)]), y, stand_for)
+    return Model(marks, project @ w[:-1], float(w[-1]), curve)
+
+
+def _project(marks: Landmarks, names: list[str], found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sentences' Nyström coordinates, with a last column of ones, and the matrix that leads from kernel values there."""
+    own = marks.own
+    values, vectors = np.linalg.eigh(own)
+    sound = values > 1e-6 * values.max()
+    project = vectors[:, sound] / np.sqrt(values[sound])
+    x = np.ones((len(found), marks.many + 1), np.float32)
+    for low in range(0, len(found), 256):
+        some = found[low : low + 256]
+        present, place = np.unique(np.concatenate(some), return_inverse=True)
+        pieces, owner = _pieces([names[k] for k in present])
+        each = np.zeros((len(present), marks.many))
+        for at in range(0, len(pieces), 512):
+            np.add.at(each, owner[at : at + 512], marks.kernel(pieces[at : at + 512]))
+        starts = np.cumsum([0] + [len(s) for s in some])[:-1]
+        x[low : low + 256, :-1] = np.add.reduceat(each[place], starts)
+    for low in range(0, len(x), 8192):
+        x[low : low + 8192, : project.shape[1]] = x[low : low + 8192, :-1] @ project.astype(np.float32)
+    x[:, project.shape[1]] = 1
+    return x[:, : project.shape[1] + 1], project
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> Model | None:
     """A model from a bounded sample of labelled documents that may be learnt from.
 
     The sample of labels has at most about toxic_docs + clean_docs rows and is broadcast;
-    the driver gets at most SENTENCES_PER_DOC sentences of each of its documents.
+    the driver gets at most SENTENCES_PER_DOC sentences of each of its documents. A document
+    labelled both 0 and 1 counts as toxic.
     """
-    known = labels.where(learn_rows(id_col) & F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("_labelled")).agg(F.max("toxic").alias("_toxic"))
-    there = {r[0]: r[1] for r in known.groupBy("_toxic").count().collect()}
-    share = F.when(F.col("_toxic") == 1, sample_share(toxic_docs, there.get(1, 0))).otherwise(sample_share(clean_docs, there.get(0, 0)))
-    sample = known.where(by_hash(share, "_labelled"))
+    known = labels.where(learn_rows(id_col) & F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("labelled")).agg(F.max("toxic").cast("int").alias("label"))
+    there = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    share = F.when(F.col("label") == 1, sample_share(toxic_docs, there.get(1, 0))).otherwise(sample_share(clean_docs, there.get(0, 0)))
+    sample = known.where(by_hash(share, "labelled"))
 
     def cut(batches):
         for batch in batches:
             chosen = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = [s[i : i + 2000] for s in SENTENCE.findall(text) for i in range(0, len(s), 2000)]
+                found = sentences(text)
                 pick = sorted(np.random.default_rng(abs(hash(key)) % (1 << 32)).permutation(len(found))[:SENTENCES_PER_DOC])
                 chosen.append([found[p] for p in pick])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chosen, pa.list_(pa.string()))], names=["doc", "label", "sentences"])
 
-    texts = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(sample), F.col(id_col) == F.col("_labelled")).select(F.xxhash64(id_col), F.col("_toxic").cast("int"), text_col)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = texts.join(F.broadcast(sample), F.col("id") == F.col("labelled")).select(F.xxhash64("id"), "label", "text")
     got = texts.mapInArrow(cut, "doc long, label int, sentences array<string>").toArrow().sort_by([("doc", "ascending"), ("label", "ascending")])
-    return fit((doc, label, s) for doc, label, some in zip(*[c.to_pylist() for c in got.columns], strict=True) for s in sorted(some))
+    rows = ((doc, label, s) for doc, label, some in zip(*[c.to_pylist() for c in got.columns], strict=True) for s in sorted(some))
+    return fit(rows, stand_for={k: there.get(k, 0) for k in (0, 1)})
 
 
 def score_texts(model: Model | None, known: dict[str, float], texts: list[str | None]) -> list[float]:
-    """Probability of label 1 for each whole text, from its most toxic units; ``known`` remembers units' margins."""
+    """Probability of label 1 for each whole text, from its most toxic sentences; ``known`` remembers units' values."""
     if model is None:
         return [0.0] * len(texts)
     if len(known) > CACHE_UNITS:
         known.clear()
-    found = [units(t) if t else [] for t in texts]
-    new = list({u for us in found for u in us if u not in known})
-    known.update(zip(new, model.margins(new).tolist(), strict=True))
-    return model.probability([summary(np.fromiter(map(known.__getitem__, us), np.float64, len(us))) for us in found]).tolist()
+    found = [[us for s in sentences(t) if (us := set(units(s)))] if t else [] for t in texts]
+    margin = model.margins([us for some in found for us in some], known)
+    ends = np.cumsum([len(some) for some in found])
+    return model.probability([summary(margin[b - len(some) : b]) for some, b in zip(found, ends, strict=True)]).tolist()
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every row of ``docs``, from its whole text and nothing else; null and empty texts score as one without toxic units."""
+    """(id, score) for every row of ``docs``, from its whole text and nothing else; null and empty texts score as one without sentences."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

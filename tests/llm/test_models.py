@@ -59,38 +59,106 @@ def test_toxicity_held_out(spark, docs, labels):
     big, known = read(spark, "/root/testdata/sf0.1", "documents"), read(spark, "/root/testdata/sf0.1", "labels")
     got = toxicity.toxicity(big, known).join(known, "doc_id").where("held_out").collect()
     toxic, clean = [r for r in got if r["toxic"] == 1], [r for r in got if r["toxic"] == 0]
-    assert sum(r["predicted"] for r in toxic) / len(toxic) > 0.88 and sum(r["predicted"] for r in clean) / len(clean) < 0.04
+    # Seven of the 97 toxic documents hold no insult at all.
+    assert sum(r["predicted"] for r in toxic) / len(toxic) > 0.87 and sum(r["predicted"] for r in clean) / len(clean) < 0.02
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
 
 
-def test_toxicity_tolerates_gaps():
-    rng = np.random.default_rng(0)
+def invented(n, seed=0):
+    """(document, label, sentence) rows; toxic documents have three sentences, one of which holds an insult."""
+    rng = np.random.default_rng(seed)
     word = lambda: "".join(rng.choice(list("aeiournst"), 6))
-    rows = [(i, i % 2, f"{word()} {word()} {['grotmuk', 'blixdar'][i // 2 % 2] if i % 2 else word()} {word()}") for i in range(400)]
-    model = toxicity.fit(rows)
-    said = model.margins(["grotmuk", "gro-tmuk", "g r o t m u k", "grotxmuk", "blixdar", "rainstone", "sun"])
-    assert (said[:3] > 0.5).all() and said[3] > -0.8 and said[4] > 0.5 and (said[5:] < -0.5).all()
-
-
-def test_kernel_is_subsequence_count():
-    """The features against a plain count of gapped triples."""
-    codes = toxicity._codes("banana")[0]
-    rows, cols, vals = toxicity.features([codes])
-    want: dict = {}
-    for i in range(len(codes)):
-        for j in range(i + 1, len(codes)):
-            for k in range(j + 1, min(len(codes), i + toxicity.SPAN)):
-                key = (codes[i] * 64 + codes[j]) * 64 + codes[k]
-                want[key] = want.get(key, 0) + toxicity.DECAY ** (k - i - 2)
-    got: dict = {}
-    for c, v in zip(cols, vals * toxicity._NORM[len(codes)], strict=True):
-        got[c] = got.get(c, 0) + v
-    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+    rows = []
+    for i in range(n):
+        for k in range(3):
+            bad = i % 2 and k == i % 3
+            rows.append((i, i % 2, f"{word()} {word()} {['grotmuk', 'blixdar'][i // 2 % 2] if bad else word()} {word()}."))
+    return rows
+
+
+def test_toxicity_tolerates_gaps():
+    model = toxicity.fit(invented(400))
+    said = model.values(["grotmuk", "gro-tmuk", "grotxmuk", "grot", "blixdar", "rainstone", "sun"]) + model.bias
+    assert (said[:2] > 0.5).all() and said[2] > -0.7 and said[4] > 0.5 and (said[5:] < -0.5).all()
+    assert model.margins([toxicity.units("so g r o t m u k it is")])[0] > 0.5
+
+
+def test_machine_learns_from_sentences():
+    """Clean sentences of toxic documents end up on the clean side, though their label said toxic."""
+    model, rows = toxicity.fit(invented(400)), invented(200, 1)
+    margin = model.margins([sorted(set(toxicity.units(s))) for _, _, s in rows])
+    bad = np.array(["grotmuk" in s or "blixdar" in s for _, _, s in rows])
+    assert (margin[bad] > 0).mean() > 0.98 and (margin[~bad] < 0).mean() > 0.9
+    assert toxicity.fit([r for r in rows if r[1]]) is None and toxicity.fit([]) is None
+
+
+def plain_features(unit):
+    """Normalised counts of gapped triples, piece by piece."""
+    out = []
+    for codes in toxicity._codes(unit):
+        count: dict = {}
+        for i in range(len(codes)):
+            for j in range(i + 1, len(codes)):
+                for k in range(j + 1, min(len(codes), i + toxicity.SPAN)):
+                    key = (codes[i], codes[j], codes[k])
+                    count[key] = count.get(key, 0) + toxicity.DECAY ** (k - i - 2)
+        norm = math.sqrt(sum(v * v for v in count.values()))
+        out.append({k: v / norm for k, v in count.items()})
+    return out
+
+
+@pytest.mark.parametrize("unit", ["banana", "a", "aaaaaaaa", "über", "x" * 60, "日本語"])
+def test_kernel_is_subsequence_count(unit):
+    pieces = toxicity._codes(unit)
+    rows, cols, vals = toxicity.features(pieces)
+    n = toxicity.ALPHABET
+    got = [{(c // n // n, c // n % n, c % n): v for c, v in zip(cols[rows == k].tolist(), vals[rows == k], strict=True)} for k in range(len(pieces))]
+    want = plain_features(unit)
+    assert [g.keys() for g in got] == [w.keys() for w in want] and all(g[k] == pytest.approx(w[k]) for g, w in zip(got, want, strict=True) for k in w)
+
+
+def test_score_is_brute_force():
+    """A document's score by plain code: sentences, units, kernel values, the three largest margins, the logistic curve."""
+    rows = invented(60)
+    model = toxicity.fit(rows, landmarks=24)
+    texts = [None, "", "...", "Grotmuk! you g r o t m u k", "rain " * 200, " ".join(s for _, _, s in rows[:9]), "one\ntwo blixdar\nthree. four"]
+    names: dict = {}
+    for _, _, s in rows:
+        names.update(dict.fromkeys(toxicity.units(s)))
+    marks = model.landmarks
+
+    def value(unit):
+        return sum(sum(w * k for w, k in zip(model.weights, marks.kernel([p])[0], strict=True)) for p in toxicity._codes(unit))
+
+    def plain(text):
+        found = []
+        for s in toxicity.SENTENCE.findall(text or ""):
+            while len(s) > toxicity.SENTENCE_CHARS:
+                at = s.rfind(" ", toxicity.SENTENCE_CHARS // 2, toxicity.SENTENCE_CHARS)
+                at = at if at > 0 else toxicity.SENTENCE_CHARS
+                found.append(s[:at])
+                s = s[at:]
+            found.append(s)
+        margins = [sum(value("".join(c for c in u if c.isalpha())) for u in set(toxicity.units(s))) + model.bias for s in found if toxicity.units(s)]
+        top = [*sorted(margins, reverse=True)[: toxicity.TOP], *[-1.0] * toxicity.TOP][: toxicity.TOP]
+        at = sum(c * min(2, max(-2, t)) for c, t in zip(model.curve, top)) + model.curve[-2] * math.log1p(len(margins)) + model.curve[-1]
+        return 1 / (1 + math.exp(-at))
+
+    assert toxicity.score_texts(model, {}, texts) == pytest.approx([plain(t) for t in texts])
+
+
+def test_landmark_kernel_is_the_cosine():
+    units = ["grotmuk", "gromuk", "banana", "ananas", "x" * 20]
+    marks = toxicity.Landmarks(toxicity._pieces(units[:3])[0])
+    got = marks.kernel(toxicity._pieces(units)[0])
+    each = [plain_features(u)[0] for u in units]
+    want = [[sum(v * b.get(k, 0) for k, v in a.items()) ** toxicity.POWER for b in each[:3]] for a in each]
+    assert np.allclose(got, want)
 
 
 def test_toxicity_odd_rows(spark, docs, labels):
     odd = spark.createDataFrame(ODD, ODD_SCHEMA)
-    got = toxicity.toxicity(docs.select("doc_id", "text", "lang").withColumn("n_words", F.lit(0)).unionByName(odd).withColumn("score", F.lit("x")), labels)
+    got = toxicity.toxicity(docs.select("doc_id", "text", "lang").withColumn("n_words", F.lit(0)).unionByName(odd).withColumn("score", F.lit("x")).withColumn("labelled", F.lit(1)).withColumn("label", F.lit(1)).withColumn("_toxic", F.lit(1)), labels)
     assert got.count() == docs.count() + len(ODD) and got.where("score is null").count() == 0
     assert {r["score"] for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
