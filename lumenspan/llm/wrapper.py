@@ -5,8 +5,9 @@ A text node of the reference that meets equal text on nearly all of the host's p
 template, inside article elements too; varying slots are content. What is content but not
 article is told by its region: menus, headers, footers, sidebars, notices, adverts, forms
 and reader comments; where an article element holds varying slots, only those count.
-The counts behind the template cover all pages of the host and are summed before they
-are shuffled, so a host of any size is no group of its own.
+The counts behind the template cover all pages of the host (copies of a page count once)
+and are summed before they are shuffled; where pages meet what is known of their host, a
+host with many pages is dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -26,10 +27,17 @@ from pyspark.sql import types as T
 
 from .common import map_rows, materialize
 
-#: A reference node is template if this share of the host's pages has its text there, of at least LEAST_PAGES.
-TEMPLATE_SHARE, LEAST_PAGES = 0.8, 5
+#: A reference node is template if this share of the host's pages has its text there, and the share's
+#: lower confidence bound (Wilson, so many standard errors) is over CERTAIN: few pages prove little.
+TEMPLATE_SHARE, CERTAIN, ERRORS = 0.8, 0.5, 2.0
+#: A host's reference page is the middle one, by nodes, of up to so many drawn from its pages.
+DRAWN = 15
+#: No task is dealt more than about this share of all pages for belonging to one host.
+HOST_SHARE = 1024
 #: Lists of children up to this long (in the geometric mean) are aligned on one table; longer ones row by row.
 FULL_ALIGNMENT = 60
+#: What a matched node counts beside a subtree that meets its like; more than there are children.
+MORE = 1 << 24
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist".split())
@@ -63,6 +71,11 @@ class _Builder(HTMLParser):
         self.root = Node("#root")
         self.open = [self.root]
 
+    def parse_marked_section(self, i, report=1):
+        """Marked sections are bogus comments, as browsers read them, whatever their name."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
     def _close(self, kinds, stop) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i].tag
@@ -103,8 +116,11 @@ def parse(html: str | None) -> Node:
     """The page's tree; of broken markup what can be read."""
     builder = _Builder()
     if html:
-        builder.feed(CUT_TAG.sub("", html))
-        builder.close()
+        try:
+            builder.feed(CUT_TAG.sub("", html))
+            builder.close()
+        except AssertionError:  # the library gives up on some declarations
+            builder.handle_data(builder.rawdata)
     return builder.root
 
 
@@ -127,9 +143,8 @@ def _squeeze(text: str) -> str:
 class Block:
     """A run of text between block boundaries, and the tree node that holds it.
 
-    ``slot`` is what templates list: the text's hash, inside an article that of the text
-    at its path of block elements, as a sentence may repeat a menu's word. Aligned nodes
-    have one path.
+    ``slot`` is what templates list: the hash of the text at its path of block elements,
+    as a sentence may repeat a menu's word. Aligned nodes have one path.
     """
 
     text: str
@@ -148,7 +163,7 @@ def blocks(root: Node, every: bool = False) -> tuple[list[Block], list[Node]]:
     def flush() -> None:
         text = _squeeze("".join(run))
         if text:
-            out.append(Block(text, owner[0], owner[1], mark(f"{owner[2]} {text}" if owner[1] else text)))
+            out.append(Block(text, owner[0], owner[1], mark(f"{owner[2]} {text}")))
         run.clear()
 
     # An explicit stack: trees may be deeper than Python's own.
@@ -219,7 +234,9 @@ def skeleton(root: Node) -> list[tuple[str, int, int]]:
 def align(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
     """Pairs (node of a, node of b) of a largest top-down, order-keeping matching: simple tree matching.
 
-    Children lists beyond FULL_ALIGNMENT go through the same dynamic program row by row: of
+    Of equally large matchings of two lists of children one wins whose matched subtrees are
+    alike, texts included, as often as can be, so a constant line meets itself among
+    paragraphs of any number. Children lists beyond FULL_ALIGNMENT go through the same dynamic program row by row: of
     n rows about twice the square root of n are kept at a time.
     """
     kids_a, kids_b = ([[] for _ in t] for t in (a, b))
@@ -240,38 +257,53 @@ def align(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
         return out
 
     shape_a, shape_b = shapes(a, kids_a), shapes(b, kids_b)
+    whole: dict[tuple, int] = {}
+
+    def wholes(tree: list[tuple], kids: list[list[int]]) -> list[int]:
+        """Each node's subtree as a number: equal ones have the same labels and texts throughout."""
+        out = [0] * len(tree)
+        for i in range(len(tree) - 1, -1, -1):
+            out[i] = whole.setdefault((tree[i][0], tree[i][2], *[out[k] for k in kids[i]]), len(whole))
+        return out
+
+    whole_a, whole_b = wholes(a, kids_a), wholes(b, kids_b)
     memo: dict[tuple[int, int], int] = {}
 
     def table(p: list[int], q: list[int]) -> list[list[int]]:
-        """Sizes of the best matchings of the first i and j children."""
+        """Values of the best matchings of the first i and j children: MORE a node, and 1 for a subtree that meets its like."""
         m = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
         for i, x in enumerate(p, 1):
             for j, y in enumerate(q, 1):
-                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + size(x, y))
+                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + MORE * size(x, y) + (whole_a[x] == whole_b[y]))
         return m
 
     def stepper(p: list[int], q: list[int]):
         """A function from row i - 1 of the table and i to row i."""
         _, first, kind = np.unique([shape_b[y] for y in q], return_index=True, return_inverse=True)
+        like = np.array([whole_b[y] for y in q])
         sizes: dict[int, np.ndarray] = {}
 
         def step(above: np.ndarray, i: int) -> np.ndarray:
             x = p[i - 1]
             if shape_a[x] not in sizes:
-                sizes[shape_a[x]] = np.array([size(x, q[k]) for k in first], np.int32)
+                sizes[shape_a[x]] = MORE * np.array([size(x, q[k]) for k in first], np.int64)
             row = np.zeros_like(above)
-            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + sizes[shape_a[x]][kind]), out=row[1:])
+            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + sizes[shape_a[x]][kind] + (like == whole_a[x])), out=row[1:])
             return row
 
         return step
 
     def best(p: list[int], q: list[int]) -> int:
         if len(p) * len(q) <= FULL_ALIGNMENT**2:
-            return table(p, q)[-1][-1]
-        step, row = stepper(p, q), np.zeros(len(q) + 1, np.int32)
+            return table(p, q)[-1][-1] // MORE
+        step, row = stepper(p, q), np.zeros(len(q) + 1, np.int64)
         for i in range(1, len(p) + 1):
             row = step(row, i)
-        return int(row[-1])
+        return int(row[-1]) // MORE
+
+    def told(x: int, y: int) -> bool:
+        """Whether ``size`` is known without looking at the children's matching."""
+        return a[x][0] != b[y][0] or shape_a[x] == shape_b[y] or not kids_a[x] or not kids_b[y] or (shape_a[x], shape_b[y]) in memo
 
     def size(x: int, y: int) -> int:
         if a[x][0] != b[y][0]:
@@ -280,10 +312,21 @@ def align(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
             return nodes[shape_a[x]]
         if not kids_a[x] or not kids_b[y]:
             return 1
-        key = (shape_a[x], shape_b[y])
-        if key not in memo:
-            memo[key] = 1 + best(kids_a[x], kids_b[y])
-        return memo[key]
+        return memo[shape_a[x], shape_b[y]]
+
+    # Children before their parents, on a stack of its own: pages may be nested deeper than Python calls.
+    waiting = [(0, 0)]
+    while waiting:
+        x, y = waiting[-1]
+        if told(x, y):
+            waiting.pop()
+            continue
+        p, q = ({shape[k]: k for k in kids}.values() for shape, kids in ((shape_a, kids_a[x]), (shape_b, kids_b[y])))
+        open_ = [(c, d) for c in p for d in q if not told(c, d)]
+        waiting.extend(open_)
+        if not open_:
+            memo[shape_a[x], shape_b[y]] = 1 + best(kids_a[x], kids_b[y])
+            waiting.pop()
 
     def trace(rows, low: int, i: int, j: int) -> tuple[int, int]:
         """Walks back from (i, j) to row ``low`` of a table of which ``rows`` are rows ``low`` and on."""
@@ -303,11 +346,14 @@ def align(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
         x, y = todo.pop()
         out.append((x, y))
         p, q = kids_a[x], kids_b[y]
+        if shape_a[x] == shape_b[y]:
+            todo.extend(zip(p, q, strict=True))
+            continue
         if len(p) * len(q) <= FULL_ALIGNMENT**2:
             trace(table(p, q), 0, len(p), len(q))
             continue
         step, apart = stepper(p, q), isqrt(len(p)) + 1
-        row = np.zeros(len(q) + 1, np.int32)
+        row = np.zeros(len(q) + 1, np.int64)
         kept = [row]
         for i in range(1, len(p) + 1):
             row = step(row, i)
@@ -336,12 +382,23 @@ def host(url_col: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def _by_host(pages: DataFrame, known: DataFrame, counted: DataFrame, how: str = "inner") -> DataFrame:
+    """``pages`` (with _host, _h) joined with the host's row of ``known``; hosts of more than a HOST_SHARE-th of all pages are dealt over several tasks."""
+    total = counted.agg(F.sum("pages").alias("total"))
+    large = counted.crossJoin(F.broadcast(total)).withColumn("parts", F.ceil(F.col("pages") * HOST_SHARE / F.col("total")).cast("int")).where("parts > 1")
+    large = F.broadcast(large.select(F.col("_host").alias("_large"), "parts"))  # fewer than HOST_SHARE rows
+    parts = F.coalesce("parts", F.lit(1))
+    left = pages.join(large, F.col("_host") == F.col("_large"), "left").withColumn("_part", F.pmod("_h", parts).cast("int")).drop("_large", "parts")
+    right = known.join(large, F.col("_host") == F.col("_large"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_large", "parts")
+    return left.join(right, ["_host", "_part"], how).drop("_part")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: id, url, text, n_chars (code points of text).
 
     Null and empty pages have an empty text. Pages without a host are one host. On hosts
-    of fewer than LEAST_PAGES pages nothing counts as template. Rows that repeat an id are extracted each; null ids are
-    kept. Empty tables give no rows. Other columns are ignored.
+    of a few pages nothing is proven to be template. Rows that repeat an id are extracted
+    each; null ids are kept. Empty tables give no rows. Other columns are ignored.
     """
     keyed = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host(url_col).alias("_host"))
 
@@ -352,18 +409,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             roots = list(map(parse, htmls))
             found = [[(b.text, b.slot, b.article) for b in blocks(r)[0]] for r in roots]
             trees = list(map(skeleton, roots))
-            return {"_id": ids, "_url": urls, "_host": hosts, "blocks": found, "nodes": list(map(len, trees)), "tree": list(map(json.dumps, trees))}
+            packed = list(map(json.dumps, trees))
+            return {"_id": ids, "_url": urls, "_host": hosts, "blocks": found, "nodes": list(map(len, trees)), "tree": packed, "_h": list(map(mark, packed))}
 
         return step
 
     block = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("mark", T.LongType()), T.StructField("article", T.BooleanType())]))
-    schema = T.StructType([keyed.schema["_id"], keyed.schema["_url"], T.StructField("_host", T.StringType()), T.StructField("blocks", block), T.StructField("nodes", T.LongType()), T.StructField("tree", T.StringType())])
+    schema = T.StructType([keyed.schema["_id"], keyed.schema["_url"], T.StructField("_host", T.StringType()), T.StructField("blocks", block), T.StructField("nodes", T.LongType()), T.StructField("tree", T.StringType()), T.StructField("_h", T.LongType())])
     trees = materialize(map_rows(keyed, ["_id", "_url", "_host", "_html"], shape, schema), "trees")
-    # The reference page of a host: the one nearest to the median number of nodes, whichever of those its hash puts first.
-    middle = trees.groupBy("_host").agg(F.percentile_approx("nodes", 0.5, 100).alias("middle"), F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    near = F.struct(F.abs(F.col("nodes") - F.col("middle")).alias("off"), F.xxhash64("tree").alias("h"), F.col("tree").alias("t"))
-    reference = trees.select("_host", "nodes", "tree").join(middle, "_host").groupBy("_host", "pages").agg(F.min(near).getField("t").alias("reference"))
+    # Copies of a page have one tree; they say nothing new about its host's template.
+    distinct = trees.groupBy("_host", "_h").agg(F.first("tree").alias("tree"), F.first("nodes").alias("nodes"))
+    distinct = materialize(distinct, "distinct-trees")
+    # The reference page: of up to DRAWN pages that their hashes pick, the middle one by nodes. Combines before the shuffle.
+    draw = F.struct("_h", "nodes", "tree")
+    drawn = distinct.groupBy("_host", F.pmod("_h", F.lit(DRAWN)).alias("_draw")).agg(F.min(draw).alias("d"), F.count("*").alias("n"))
+    some = F.array_sort(F.collect_list(F.struct("d.nodes", "d._h", "d.tree")))
+    reference = drawn.groupBy("_host").agg(F.sum("n").alias("pages"), some.alias("some"))
+    reference = reference.select("_host", "pages", F.get("some", (F.size("some") / 2).cast("int"))["tree"].alias("reference"))
     reference = materialize(reference, "reference")
+    counted = reference.select("_host", "pages")
 
     def meet():
         known = lru_cache(256)(json.loads)  # reference trees
@@ -379,15 +443,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         return step
 
-    met = map_rows(trees.join(reference, "_host").select("_host", "reference", "tree"), ["_host", "reference", "tree"], meet, T.StructType([T.StructField("_host", T.StringType()), T.StructField("text", T.LongType())]))
-    same = met.groupBy("_host", "text").count().join(reference.select("_host", "pages"), "_host")
-    template = same.where(F.col("count") >= TEMPLATE_SHARE * F.col("pages")).groupBy("_host").agg(F.collect_set("text").alias("template"))
+    pairs = _by_host(distinct.select("_host", "_h", "tree"), reference.select("_host", "reference"), counted)
+    met = map_rows(pairs, ["_host", "reference", "tree"], meet, T.StructType([T.StructField("_host", T.StringType()), T.StructField("text", T.LongType())]))
+    same = met.groupBy("_host", "text").count().join(counted, "_host")
+    template = same.where(is_template(F.col("count"), F.col("pages"))).groupBy("_host").agg(F.collect_set("text").alias("template"))
     template = materialize(template, "template")
 
     # As ``article`` does, on blocks that are read already.
-    met = trees.select("_id", "_url", "_host", "blocks").join(template, "_host", "left")
+    met = _by_host(trees.select("_id", "_url", "_host", "_h", "blocks"), template, counted, "left")
     slots = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce("template", F.array().cast("array<bigint>")), b["mark"]))
     met = met.withColumn("_varying", F.when(F.size(slots) > 0, slots).otherwise(F.col("blocks")))
     inner = F.filter("_varying", lambda b: b["article"])
     text = F.array_join(F.transform(F.when(F.size(inner) > 0, inner).otherwise(F.col("_varying")), lambda b: b["text"]), "\n")
     return met.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def is_template(k, n):
+    """True if a text that comes up on k of a host's n pages is template: columns or numbers."""
+    share, z = k / n, ERRORS * ERRORS
+    middle, spread = share + z / (2 * n), share * (1 - share) / n + z / (4 * n * n)
+    # The bound (middle - ERRORS * sqrt(spread)) / (1 + z / n) is over CERTAIN, without the root.
+    over = middle - CERTAIN * (1 + z / n)
+    return (share >= TEMPLATE_SHARE) & (over > 0) & (over * over > z * spread)

@@ -1,5 +1,6 @@
 """Wrapper induction: alignment, regions, templates, odd markup."""
 
+import json
 import random
 
 import pytest
@@ -9,7 +10,9 @@ from lumenspan.llm import wrapper
 
 
 def text(page: str, template=()):
-    return wrapper.article(wrapper.parse(page), frozenset(map(wrapper.mark, template)))
+    """The main text, when the template holds every block whose text is listed."""
+    root = wrapper.parse(page)
+    return wrapper.article(root, frozenset(b.slot for b in wrapper.blocks(root)[0] if b.text in template))
 
 
 @pytest.mark.parametrize(
@@ -39,6 +42,116 @@ def test_template_text_goes_unless_all_is():
     assert text("<article><p>story</article>", ["story"]) == "story"
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<![foo[bar]]><p>kept", "kept"),
+        ("<p>a<![CDATA[x]]>b", "ab"),
+        ("<p>a<![if IE]>b<![endif]>c", "abc"),
+        ("<p>kept<![", "kept"),
+        ("<!DOCTYPE html [<!ENTITY x 'y'>]><p>kept", "]>\nkept"),
+        ("<p>a<? php ?>b<!foo>c", "abc"),
+    ],
+)
+def test_odd_declarations(page, expected):
+    assert text(page) == expected
+
+
+def test_few_pages_prove_little():
+    assert [n for n in range(1, 12) if wrapper.is_template(n, n)] == list(range(5, 12))
+    assert not wrapper.is_template(79, 100) and wrapper.is_template(80, 100) and not wrapper.is_template(4, 5)
+    for n in range(1, 60):
+        for k in range(n + 1):
+            z, p = wrapper.ERRORS, k / n
+            low = (p + z * z / 2 / n - z * (p * (1 - p) / n + z * z / 4 / n / n) ** 0.5) / (1 + z * z / n)
+            assert wrapper.is_template(k, n) == (p >= wrapper.TEMPLATE_SHARE and low > wrapper.CERTAIN + 1e-15)
+
+
+def test_deep_trees_align():
+    deep = wrapper.skeleton(wrapper.parse("<div><p>x</p>" * 900 + "a"))
+    other = wrapper.skeleton(wrapper.parse("<div><p>x</p>" * 899 + "<ul><li>y</ul>b"))
+    assert len(wrapper.align(deep, deep)) == len(deep) and len(wrapper.align(deep, other)) >= 2 * 899
+
+
+def plain_extract(rows):
+    """The whole operator by plain code: reference page, plain tree matching, counts, template, main text."""
+    from collections import Counter, defaultdict
+
+    from urllib.parse import urlsplit
+
+    hosts = defaultdict(list)
+    for i, url, html in rows:
+        hosts[urlsplit(url).hostname or "" if url else ""].append((i, url, wrapper.parse(html)))
+    out = {}
+    for pages in hosts.values():
+        trees = {}
+        for *_, root in pages:
+            tree = wrapper.skeleton(root)
+            trees[wrapper.mark(json.dumps(tree))] = tree
+        drawn = {}
+        for h, tree in sorted(trees.items()):
+            drawn.setdefault(h % wrapper.DRAWN, (len(tree), h, json.dumps(tree), tree))
+        reference = sorted(drawn.values(), key=lambda d: d[:3])[len(drawn) // 2][3]
+        count = Counter()
+        for tree in trees.values():
+            count.update({reference[x][2] for x, y in plain_match(reference, tree) if reference[x][2] and reference[x][2] == tree[y][2]})
+        template = frozenset(t for t, k in count.items() if wrapper.is_template(k, len(trees)))
+        for i, _, root in pages:
+            out[i] = wrapper.article(root, template)
+    return out
+
+
+def plain_match(a, b, x=0, y=0):
+    """Pairs of one largest matching by the definition, children by a table; among equals one with most like subtrees."""
+
+    def whole(t, n):
+        return (t[n][0], t[n][2], *[whole(t, k) for k in range(1, len(t)) if t[k][1] == n])
+
+    p, q = ([k for k in range(1, len(t)) if t[k][1] == n] for t, n in ((a, x), (b, y)))
+    each = {(c, d): (plain_match(a, b, c, d), whole(a, c) == whole(b, d)) for c in p for d in q if a[c][0] == b[d][0]}
+    m = {(i, j): ([], 0) for i in range(len(p) + 1) for j in range(len(q) + 1) if not i or not j}
+    for i, c in enumerate(p, 1):
+        for j, d in enumerate(q, 1):
+            own, like = each.get((c, d), ([], 0))
+            met = m[i - 1, j - 1]
+            m[i, j] = max(m[i - 1, j], m[i, j - 1], (met[0] + own, met[1] + like), key=lambda v: (len(v[0]), v[1]))
+    return [(x, y), *m[len(p), len(q)][0]]
+
+
+def test_extract_is_brute_force(spark):
+    rng = random.Random(7)
+    rows = []
+    for n, site in enumerate(["a.example", "b.example", "c.example"]):
+        for i in range([60, 12, 3][n]):
+            paras = "".join(f"<p>{site} {i} {rng.random()}</p>" for _ in range(rng.randint(1, 4)))
+            side = "<ul><li>Home<li>News</ul>" if rng.random() < 0.9 else "<ul><li>News</ul>"
+            note = "<p>Share this page</p>" if rng.random() < 0.9 else ""
+            body = f"<div>{side}<div>Welcome to {site}</div><article><h1>T {i}</h1>{note}{paras}<p>Subscribe now</p></article><p>All rights reserved</p></div>"
+            if site == "b.example":
+                body = body.replace("article>", "section>")
+            rows.append((len(rows), f"https://{site}/{i}", body))
+    rows += [(len(rows) + k, "https://b.example/copy", rows[61][2]) for k in range(30)]  # copies prove nothing
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == plain_extract(rows)
+    assert "Share" not in got[5] and "Subscribe" not in got[5] and "Welcome" not in got[65]
+    assert "Share" in got[73]  # three pages prove nothing
+
+
+def test_an_empty_template_shows(spark, monkeypatch):
+    """The induced template, not regions, takes constant lines out of articles."""
+    rows = [(i, "http://a.example/", f"<article><h1>T {i}</h1><p>Share</p></article>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["text"] for r in wrapper.extract(df).collect()} == {f"T {i}" for i in range(20)}
+    monkeypatch.setattr(wrapper, "TEMPLATE_SHARE", 2.0)
+    assert {r["text"] for r in wrapper.extract(df).collect()} == {f"T {i}\nShare" for i in range(20)}
+
+
+def test_deep_pages_through_extract(spark):
+    rows = [(i, "http://deep.example/", "<div>" * 3000 + f"<p>deep {i % 3}" + "</div>" * i + f"<p>x {i}") for i in range(7)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(f"x {i}" in t for i, t in got.items()) and len(got) == 7
+
+
 def test_alignment_is_largest():
     def tree(*labels):
         return [("#root", -1, 0), *[(x, 0, 0) for x in labels]]
