@@ -386,7 +386,7 @@ def _by_host(pages: DataFrame, known: DataFrame, counted: DataFrame, how: str =
     """``pages`` (with _host, _h) joined with the host's row of ``known``; hosts of more than a HOST_SHARE-th of all pages are dealt over several tasks."""
     total = counted.agg(F.sum("pages").alias("total"))
     large = counted.crossJoin(F.broadcast(total)).withColumn("parts", F.ceil(F.col("pages") * HOST_SHARE / F.col("total")).cast("int")).where("parts > 1")
-    large = F.broadcast(large.select(F.col("_host").alias("_large"), "parts"))  # fewer than HOST_SHARE rows
+    large = F.broadcast(large.select(F.col("_host").alias("_large"), "parts"))  # at most HOST_SHARE rows
     parts = F.coalesce("parts", F.lit(1))
     left = pages.join(large, F.col("_host") == F.col("_large"), "left").withColumn("_part", F.pmod("_h", parts).cast("int")).drop("_large", "parts")
     right = known.join(large, F.col("_host") == F.col("_large"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_large", "parts")
@@ -417,35 +417,34 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     block = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("mark", T.LongType()), T.StructField("article", T.BooleanType())]))
     schema = T.StructType([keyed.schema["_id"], keyed.schema["_url"], T.StructField("_host", T.StringType()), T.StructField("blocks", block), T.StructField("nodes", T.LongType()), T.StructField("tree", T.StringType()), T.StructField("_h", T.LongType())])
     trees = materialize(map_rows(keyed, ["_id", "_url", "_host", "_html"], shape, schema), "trees")
-    # Copies of a page have one tree; they say nothing new about its host's template.
-    distinct = trees.groupBy("_host", "_h").agg(F.first("tree").alias("tree"), F.first("nodes").alias("nodes"))
-    distinct = materialize(distinct, "distinct-trees")
-    # The reference page: of up to DRAWN pages that their hashes pick, the middle one by nodes. Combines before the shuffle.
-    draw = F.struct("_h", "nodes", "tree")
-    drawn = distinct.groupBy("_host", F.pmod("_h", F.lit(DRAWN)).alias("_draw")).agg(F.min(draw).alias("d"), F.count("*").alias("n"))
-    some = F.array_sort(F.collect_list(F.struct("d.nodes", "d._h", "d.tree")))
-    reference = drawn.groupBy("_host").agg(F.sum("n").alias("pages"), some.alias("some"))
-    reference = reference.select("_host", "pages", F.get("some", (F.size("some") / 2).cast("int"))["tree"].alias("reference"))
+    # Copies of a page have one tree and count once: they say nothing new about their host's template.
+    ids = trees.select("_host", "_h", "nodes").distinct()
+    # The reference page: of up to DRAWN pages that their hashes pick, the middle one by nodes. No tree is shuffled to find it.
+    drawn = ids.groupBy("_host", F.pmod("_h", F.lit(DRAWN)).alias("_draw")).agg(F.min(F.struct("_h", "nodes")).alias("d"), F.count("*").alias("n"))
+    some = F.array_sort(F.collect_list(F.struct("d.nodes", "d._h")))
+    drawn = drawn.groupBy("_host").agg(F.sum("n").alias("pages"), some.alias("some"))
+    counted = materialize(drawn.select("_host", "pages", F.get("some", (F.size("some") / 2).cast("int"))["_h"].alias("_h")), "hosts")
+    reference = trees.select("_host", "_h", "tree").join(counted, ["_host", "_h"]).groupBy("_host").agg(F.min("tree").alias("reference"))
     reference = materialize(reference, "reference")
-    counted = reference.select("_host", "pages")
 
     def meet():
         known = lru_cache(256)(json.loads)  # reference trees
 
-        def step(hosts, refs, own):
-            out = {"_host": [], "text": []}
-            for h, r, o in zip(hosts, refs, own, strict=True):
+        def step(hosts, marks, refs, own):
+            out = {"_host": [], "_h": [], "text": []}
+            for h, m, r, o in zip(hosts, marks, refs, own, strict=True):
                 a, b = known(r), json.loads(o)
                 same = {a[x][2] for x, y in align(a, b) if a[x][2] and a[x][2] == b[y][2]}
                 out["_host"] += [h] * len(same)
+                out["_h"] += [m] * len(same)
                 out["text"] += same
             return out
 
         return step
 
-    pairs = _by_host(distinct.select("_host", "_h", "tree"), reference.select("_host", "reference"), counted)
-    met = map_rows(pairs, ["_host", "reference", "tree"], meet, T.StructType([T.StructField("_host", T.StringType()), T.StructField("text", T.LongType())]))
-    same = met.groupBy("_host", "text").count().join(counted, "_host")
+    pairs = _by_host(trees.select("_host", "_h", "tree"), reference, counted)
+    met = map_rows(pairs, ["_host", "_h", "reference", "tree"], meet, T.StructType([T.StructField("_host", T.StringType()), T.StructField("_h", T.LongType()), T.StructField("text", T.LongType())]))
+    same = met.distinct().groupBy("_host", "text").count().join(counted.select("_host", "pages"), "_host")
     template = same.where(is_template(F.col("count"), F.col("pages"))).groupBy("_host").agg(F.collect_set("text").alias("template"))
     template = materialize(template, "template")
 
