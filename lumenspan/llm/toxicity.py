@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,7 @@ SPAN, DECAY, POWER = 6, 0.5, 3
 ALPHABET, OTHERS = 128, 97
 #: Longest piece of a unit; longer units are cut into pieces that overlap by half.
 PIECE = 24
-LANDMARKS = 320
+LANDMARKS = 256
 #: A landmark is left out whose kernel value with a better one is at least this.
 ALIKE = 0.2
 #: Bound of the training sample: documents with either label, sentences taken of each, characters of one; and sentences in all.
@@ -80,64 +81,77 @@ def summary(margins: np.ndarray) -> list[float]:
     return [*np.clip(best, -2, 2), math.log1p(len(margins))]
 
 
-def _codes(unit: str) -> list[list[int]]:
-    """Character classes of a unit's letters between end marks; one list per piece."""
-    body = [ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % OTHERS for c in unit if c.isalpha()]
-    if not body:
-        return []
-    body = [ALPHABET - 2, *body, ALPHABET - 1]
-    return [body[at : at + PIECE] for at in range(0, max(1, len(body) - PIECE // 2), PIECE // 2)] if len(body) > PIECE else [body]
-
-
-def _matrix(pieces: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    long = np.array([len(p) for p in pieces])
-    codes = np.zeros((len(pieces), PIECE), np.int32)
-    codes[np.arange(PIECE) < long[:, None]] = np.concatenate([np.array(p, np.int32) for p in pieces]) if pieces else 0
-    return codes, long
-
-
-def features(pieces: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse features of length one: piece, subsequence, value; sorted by both, each pair once."""
-    codes, long = _matrix(pieces)
+def _pieces(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Character classes of units' letters between end marks (a row a piece), the pieces' lengths, and the unit of each."""
+    spelled = ["".join(filter(str.isalpha, u)) for u in names]
+    long = np.fromiter(map(len, spelled), np.int64, len(names))
+    flat = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), np.uint32)
+    classes = np.where((flat > 96) & (flat < 123), flat - 96, 27 + flat % OTHERS).astype(np.int32)
+    # Units that fill one piece.
+    first = np.cumsum(long) - long
+    short = np.flatnonzero((long > 0) & (long <= PIECE - 2))
+    codes = np.zeros((len(short), PIECE), np.int32)
+    row = np.repeat(np.arange(len(short)), long[short])
+    at = np.arange(len(row)) - np.repeat(np.cumsum(long[short]) - long[short], long[short])
+    codes[row, at + 1] = classes[np.repeat(first[short], long[short]) + at]
+    codes[:, 0] = ALPHABET - 2
+    codes[np.arange(len(short)), long[short] + 1] = ALPHABET - 1
+    # Longer ones overlap by half.
+    more, owner = [], []
+    for k in np.flatnonzero(long > PIECE - 2):
+        body = np.concatenate([[ALPHABET - 2], classes[first[k] : first[k] + long[k]], [ALPHABET - 1]])
+        for low in range(0, len(body) - PIECE // 2, PIECE // 2):
+            more.append(body[low : low + PIECE])
+            owner.append(k)
+    if more:
+        tail = np.zeros((len(more), PIECE), np.int32)
+        for i, m in enumerate(more):
+            tail[i, : len(m)] = m
+        codes = np.concatenate([codes, tail])
+    return codes, np.append(long[short] + 2, np.array(list(map(len, more)), np.int64)), np.append(short, np.array(owner, np.int64))
+
+
+def features(codes: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse features of length one of pieces: piece, subsequence, value; sorted by both, each pair once."""
     cells, vals = [], []
     for a, b in OFFSETS:
-        wide = PIECE - b
+        wide = max(0, int(long.max(initial=0)) - b)
         number = (codes[:, :wide] * ALPHABET + codes[:, a : a + wide]) * ALPHABET + codes[:, b : b + wide]
         row, at = np.nonzero(np.arange(wide) < (long - b)[:, None])
         cells.append(row * ALPHABET**3 + number[row, at])
         vals.append(np.full(len(row), DECAY ** (b - 2)))
     cells, vals = np.concatenate(cells), np.concatenate(vals)
-    order = np.argsort(cells, kind="stable")
+    order = np.argsort(cells)
     cells, vals = cells[order], vals[order]
     first = np.flatnonzero(np.diff(cells, prepend=-1))
     vals = np.add.reduceat(vals, first) if len(first) else vals
     rows, cols = np.divmod(cells[first], ALPHABET**3)
-    return rows, cols, vals / np.sqrt(np.bincount(rows, vals * vals, len(pieces)))[rows]
+    return rows, cols, vals / np.sqrt(np.bincount(rows, vals * vals, len(codes)))[rows]
 
 
 class Landmarks:
     """Landmark pieces as an inverted index: ``kernel`` gives pieces' powers of the cosine with each of them."""
 
-    def __init__(self, pieces: list[list[int]]):
-        rows, cols, vals = features(pieces)
+    def __init__(self, codes: np.ndarray, long: np.ndarray):
+        rows, cols, vals = features(codes, long)
         order = np.argsort(cols, kind="stable")
-        self.many, self.rows, self.vals = len(pieces), rows[order].astype(np.int32), vals[order]
+        self.many, self.rows, self.vals = len(codes), rows[order].astype(np.int32), vals[order]
         found, count = np.unique(cols, return_counts=True)
         self.slot = np.full(ALPHABET**3, -1, np.int32)
         self.slot[found] = np.arange(len(found))
         self.count = count
         self.start = np.cumsum(count) - count
-        self.own = self.kernel(pieces)
+        self.own = self.kernel(codes, long)
 
-    def kernel(self, pieces: list[list[int]]) -> np.ndarray:
-        rows, cols, vals = features(pieces)
+    def kernel(self, codes: np.ndarray, long: np.ndarray) -> np.ndarray:
+        rows, cols, vals = features(codes, long)
         slot = self.slot[cols]
         hit = slot >= 0
         rows, slot, vals = rows[hit], slot[hit], vals[hit]
         n = self.count[slot]
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[slot], n)
-        cosine = np.bincount(np.repeat(rows * self.many, n) + self.rows[at], np.repeat(vals, n) * self.vals[at], len(pieces) * self.many)
-        return (cosine**POWER).reshape(len(pieces), self.many)
+        cosine = np.bincount(np.repeat(rows * self.many, n) + self.rows[at], np.repeat(vals, n) * self.vals[at], len(codes) * self.many)
+        return (cosine**POWER).reshape(len(codes), self.many)
 
 
 @dataclass
@@ -147,13 +161,16 @@ class Model:
     bias: float
     curve: np.ndarray  # logistic weights of a document's summary, the last one alone
 
+    def name(self) -> str:
+        """Tells models apart."""
+        return xxhash.xxh64_hexdigest(self.weights.tobytes() + self.curve.tobytes())
+
     def values(self, names: list[str]) -> np.ndarray:
         """What each unit adds to its sentence's margin."""
         out = np.zeros(len(names))
-        pieces, owner = _pieces(names)
-        for low in range(0, len(pieces), 512):
-            some = pieces[low : low + 512]
-            np.add.at(out, owner[low : low + 512], self.landmarks.kernel(some) @ self.weights)
+        codes, long, owner = _pieces(names)
+        for low in range(0, len(codes), 512):
+            np.add.at(out, owner[low : low + 512], self.landmarks.kernel(codes[low : low + 512], long[low : low + 512]) @ self.weights)
         return out
 
     def margins(self, found: list[list[str]], known: dict[str, float] | None = None) -> np.ndarray:
@@ -171,16 +188,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(at, -30, 30)))
 
 
-def _pieces(names: list[str]) -> tuple[list[list[int]], np.ndarray]:
-    """All pieces of units, and the unit of each."""
-    pieces, owner = [], []
-    for i, t in enumerate(names):
-        for p in _codes(t):
-            pieces.append(p)
-            owner.append(i)
-    return pieces, np.array(owner, np.int64)
-
-
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
     """Linear squared-hinge machine by Newton steps with halving; the last column of ``x`` is the bias's, rows of weight 0 don't count."""
     w = np.zeros(x.shape[1])
@@ -254,9 +261,9 @@ def _choose(toxic: Counter, clean: Counter, many: int) -> list[str]:
 
     ranked = sorted(toxic | clean, key=lambda u: (-apart(u), u))
     # One of several alike spans what they have in common: those near a better ranked one are passed over.
-    pieces, owner = _pieces(ranked[: 4 * many])
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    near = Landmarks([pieces[i] for i in first]).own
+    codes, long, owner = _pieces(ranked[: 4 * many])
+    first = np.unique(owner, return_index=True)[1]
+    near = Landmarks(codes[first], long[first]).own
     chosen: list[int] = []
     for k in range(len(first)):
         if len(chosen) < many // 2 and (not chosen or near[k, chosen].max() < ALIKE):
@@ -294,7 +301,7 @@ def fit(labelled: Iterable[tuple[int, int, str]], landmarks: int = LANDMARKS, st
     for sign in (1, -1):
         n = np.bincount(np.concatenate([found[i] for i in np.flatnonzero(alone & (label == sign))] or [np.zeros(0, np.int32)]), minlength=len(names))
         counts.append(Counter({names[k]: int(n[k]) for k in np.flatnonzero(n)}))
-    marks = Landmarks(_pieces(_choose(*counts, landmarks))[0])
+    marks = Landmarks(*_pieces(_choose(*counts, landmarks))[:2])
     x, project = _project(marks, names, found)
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     y, positive = label[first], label > 0
@@ -322,10 +329,10 @@ def _project(marks: Landmarks, names: list[str], found: list[np.ndarray]) -> tup
     for low in range(0, len(found), 256):
         some = found[low : low + 256]
         present, place = np.unique(np.concatenate(some), return_inverse=True)
-        pieces, owner = _pieces([names[k] for k in present])
+        codes, long, owner = _pieces([names[k] for k in present])
         each = np.zeros((len(present), marks.many))
-        for at in range(0, len(pieces), 512):
-            np.add.at(each, owner[at : at + 512], marks.kernel(pieces[at : at + 512]))
+        for at in range(0, len(codes), 512):
+            np.add.at(each, owner[at : at + 512], marks.kernel(codes[at : at + 512], long[at : at + 512]))
         starts = np.cumsum([0] + [len(s) for s in some])[:-1]
         x[low : low + 256, :-1] = np.add.reduceat(each[place], starts)
     for low in range(0, len(x), 8192):
@@ -374,12 +381,19 @@ def score_texts(model: Model | None, known: dict[str, float], texts: list[str |
     return model.probability([summary(margin[b - len(some) : b]) for some, b in zip(found, ends, strict=True)]).tolist()
 
 
+_values: dict[str, dict[str, float]] = {}
+
+
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row of ``docs``, from its whole text and nothing else; null and empty texts score as one without sentences."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        known: dict[str, float] = {}
+        # A worker process keeps units' values from task to task.
+        name = shared.value.name() if shared.value else ""
+        if name not in _values:
+            _values.clear()
+        known = _values.setdefault(name, {})
         return lambda ids, texts: {id_col: ids, "score": score_texts(shared.value, known, texts)}
 
     return map_rows(docs, [id_col, text_col], make, T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())]))

@@ -95,7 +95,8 @@ def test_machine_learns_from_sentences():
 def plain_features(unit):
     """Normalised counts of gapped triples, piece by piece."""
     out = []
-    for codes in toxicity._codes(unit):
+    rows, long, _ = toxicity._pieces([unit])
+    for codes in (r[:n].tolist() for r, n in zip(rows, long, strict=True)):
         count: dict = {}
         for i in range(len(codes)):
             for j in range(i + 1, len(codes)):
@@ -107,10 +108,18 @@ def plain_features(unit):
     return out
 
 
+def test_long_units_are_overlapping_pieces():
+    codes, long, owner = toxicity._pieces(["b" * 60, "", "ab"])
+    assert owner.tolist() == [2, 0, 0, 0, 0, 0] and long.tolist() == [4, 24, 24, 24, 24, 14] and codes[0, :4].tolist() == [126, 1, 2, 127]
+    assert codes[1, 0] == 126 and (codes[2] == 2).all() and codes[5, 13] == 127
+
+
 @pytest.mark.parametrize("unit", ["banana", "a", "aaaaaaaa", "über", "x" * 60, "日本語"])
 def test_kernel_is_subsequence_count(unit):
-    pieces = toxicity._codes(unit)
-    rows, cols, vals = toxicity.features(pieces)
+    codes, long, owner = toxicity._pieces([unit, "!", unit])
+    assert owner.tolist().count(0) == owner.tolist().count(2) == len(codes) / 2
+    pieces = codes[owner == 0]
+    rows, cols, vals = toxicity.features(pieces, long[owner == 0])
     n = toxicity.ALPHABET
     got = [{(c // n // n, c // n % n, c % n): v for c, v in zip(cols[rows == k].tolist(), vals[rows == k], strict=True)} for k in range(len(pieces))]
     want = plain_features(unit)
@@ -128,7 +137,7 @@ def test_score_is_brute_force():
     marks = model.landmarks
 
     def value(unit):
-        return sum(sum(w * k for w, k in zip(model.weights, marks.kernel([p])[0], strict=True)) for p in toxicity._codes(unit))
+        return sum(sum(w * k for w, k in zip(model.weights, marks.kernel(c[None], n[None])[0], strict=True)) for c, n, _ in zip(*toxicity._pieces([unit]), strict=True))
 
     def plain(text):
         found = []
@@ -149,8 +158,8 @@ def test_score_is_brute_force():
 
 def test_landmark_kernel_is_the_cosine():
     units = ["grotmuk", "gromuk", "banana", "ananas", "x" * 20]
-    marks = toxicity.Landmarks(toxicity._pieces(units[:3])[0])
-    got = marks.kernel(toxicity._pieces(units)[0])
+    marks = toxicity.Landmarks(*toxicity._pieces(units[:3])[:2])
+    got = marks.kernel(*toxicity._pieces(units)[:2])
     each = [plain_features(u)[0] for u in units]
     want = [[sum(v * b.get(k, 0) for k, v in a.items()) ** toxicity.POWER for b in each[:3]] for a in each]
     assert np.allclose(got, want)
