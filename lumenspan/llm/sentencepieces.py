@@ -6,14 +6,20 @@ byte pieces. Spaces are written as the marker U+2581, one is put before each tex
 decoding undoes both. No piece holds a marker behind another character, so a best path
 passes through every place before a run of markers, and none holds a line end: texts
 are cut there and each
-distinct stretch is segmented once, many at a time.
+distinct stretch is segmented once, many at a time in numpy, long ones one by one.
+
+The scores are whatever the model file gives its pieces. The public model at hand was
+trained as byte-pair merges, so its scores are merge ranks (0, -1, -2, ...), not log
+probabilities; the best path is the one of the largest sum either way.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,6 +32,8 @@ UNKNOWN_PENALTY = 10.0
 CACHE_STRETCHES = 400_000
 #: Stretches of up to this many characters are segmented together; longer ones by themselves.
 TOGETHER = 64
+#: Stretches of more bytes are read position by position: there a round in numpy for each byte costs more than it saves.
+LONG = 256
 STRETCH = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 
 
@@ -134,6 +142,56 @@ class Unigram:
 
     def segment(self, stretches: list[bytes]) -> list[bytes]:
         """Ids of each byte string's best path, as unsigned 32-bit little-endian numbers. Of equally good paths the one whose last piece starts first wins, as positions are read upwards."""
+        short = iter(self._segment_together([s for s in stretches if len(s) <= LONG]))
+        return [next(short) if len(s) <= LONG else self.segment_long(s) for s in stretches]
+
+    @cached_property
+    def _lists(self) -> tuple[list[int], list[int], list[int], list[float]]:
+        return self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.pieces.scores.tolist()
+
+    def segment_long(self, data: bytes) -> bytes:
+        """``segment`` of one byte string of any length; holds 16 bytes for each of its bytes."""
+        (base, check, value, scores), n = self._lists, len(data)
+        size, least = len(check), float("-inf")
+        score, back, via = array("d", [0.0]) + array("d", [least]) * n, array("i", [-1]) * (n + 1), array("i", [-1]) * (n + 1)
+        for i, lead in enumerate(data):
+            here = score[i]
+            if here == least or lead & 0xC0 == 0x80:
+                continue
+            char = min(n, i + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4))
+            single, node, j = False, 0, i
+            while j < n:
+                at = base[node] + data[j]
+                if not 0 < at < size or check[at] != node:
+                    break
+                node = at
+                j += 1
+                piece = value[at]
+                if piece >= 0:
+                    single |= j == char
+                    total = here + scores[piece]
+                    if total > score[j]:
+                        score[j], back[j], via[j] = total, i, piece
+            if not single and here + self.unknown_score > score[char]:
+                score[char], back[char], via[char] = here + self.unknown_score, i, -1
+        out, at = [], n
+        while at > 0:
+            out.append((via[at], back[at], at))
+            at = back[at]
+        return self._ids(data, reversed(out))
+
+    def _ids(self, data: bytes, path) -> bytes:
+        """Ids of a path of (piece or -1, start, end), unknown characters as bytes."""
+        ids: list[int] = []
+        for p, low, high in path:
+            if p >= 0:
+                ids.append(p)
+            else:
+                fallback = self.pieces.byte_ids[np.frombuffer(data[low:high], np.uint8)]
+                ids.extend(fallback if (fallback >= 0).all() else [self.pieces.unknown])
+        return np.array(ids, "<u4").tobytes()
+
+    def _segment_together(self, stretches: list[bytes]) -> list[bytes]:
         n = len(stretches)
         long = np.fromiter(map(len, stretches), np.int64, n)
         width = int(long.max()) if n else 0
@@ -193,14 +251,7 @@ class Unigram:
         out = [flat[a:b] for a, b in zip((4 * (stops - counts)).tolist(), (4 * stops).tolist(), strict=True)]
         for k in np.unique(owner[order][piece < 0]):
             own = slice(stops[k] - counts[k], stops[k])
-            ids: list[int] = []
-            for p, low, high in zip(piece[own], first[own], at[own], strict=True):
-                if p >= 0:
-                    ids.append(p)
-                else:
-                    fallback = self.pieces.byte_ids[np.frombuffer(stretches[k][low:high], np.uint8)]
-                    ids.extend(fallback if (fallback >= 0).all() else [self.pieces.unknown])
-            out[k] = np.array(ids, "<u4").tobytes()
+            out[k] = self._ids(stretches[k], zip(piece[own], first[own], at[own], strict=True))
         return out
 
     def _learn(self, stretches: set[str]) -> None:
@@ -228,6 +279,9 @@ class Unigram:
         return data.removeprefix(b" ").decode("utf-8", "replace")
 
 
+_models: dict[str, Unigram] = {}
+
+
 def sentence_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_ids, ids_crc32 (of the ids as unsigned 32-bit little-endian), round_trip (decoding gives the text), and ids if asked for.
 
@@ -238,7 +292,10 @@ def sentence_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model_path))
 
     def make():
-        model = Unigram(shared.value)
+        # A worker process goes on with the trie and the stretches of its earlier tasks.
+        if model_path not in _models:
+            _models[model_path] = Unigram(shared.value)
+        model = _models[model_path]
 
         def step(keys, texts):
             ids = model.encode(texts)

@@ -4,13 +4,15 @@ The vocabulary is a trie; a failure link leads from a trie node to the node of w
 left after its text's longest pieces are taken off the front, and says how many pieces
 that popped. Reading a word is one pass over its characters: follow the trie, or count
 the popped pieces and follow the failure link. No piece is ever built. Words of a slice
-advance together, one character column at a time, in numpy.
+advance together, one character column at a time, in numpy; long words, such as texts
+without white space, are read one by one over the same links.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from .common import map_rows
 #: Ends every word; the vocabulary's word-final pieces carry it as END_MARK.
 END_MARK = "</w>"
 CACHE_WORDS = 400_000
+#: Words of more bytes are read by themselves: there a round in numpy for each byte costs more than it saves.
+LONG = 128
 #: Characters of the texts that are counted together.
 CHARS = 3 << 20
 #: Splits at ASCII white space; letters, single digits and runs of anything else stand apart.
@@ -121,8 +125,40 @@ class LongestMatch:
             at[todo] = (at[todo] + 1) & (self.size - 1)
         return out
 
+    @cached_property
+    def _links(self) -> tuple[dict[int, int], list[int], list[int]]:
+        there = self.slots >= 0
+        return dict(zip(self.slots[there].tolist(), self.to[there].tolist(), strict=True)), self.fail.tolist(), self.pops.tolist()
+
+    def count_long(self, word: bytes) -> int:
+        """Pieces of one word; the word end is added here."""
+        (edges, fail, pops), node, total = self._links, 0, 0
+        step = edges.get
+        for byte in word + b"\xff":
+            to = step(node << 8 | byte)
+            while to is None:
+                total += pops[node]
+                node = fail[node]
+                if node < 0:
+                    return 1
+                to = step(node << 8 | byte)
+            node = to
+        while node > 0:
+            total += pops[node]
+            node = fail[node]
+        return total if node == 0 else 1
+
     def count(self, words: list[bytes]) -> np.ndarray:
         """Pieces of each word; the word end is added here."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self._count_together(words)
+        out = np.zeros(len(words), np.int64)
+        out[[i for i, w in enumerate(words) if len(w) <= LONG]] = self._count_together([w for w in words if len(w) <= LONG])
+        out[long] = [self.count_long(words[i]) for i in long]
+        return out
+
+    def _count_together(self, words: list[bytes]) -> np.ndarray:
         n = len(words)
         long = np.fromiter(map(len, words), np.int64, n) + 1
         order = np.argsort(-long, kind="stable")
@@ -155,6 +191,11 @@ class LongestMatch:
         return out
 
 
+@cache  # a worker goes on with the automaton and the words of its earlier tasks
+def worker_counter(path: str):
+    return counter(load_pieces(path))
+
+
 def counter(pieces: list[bytes]):
     """A function from texts to (words, tokens) of each. Texts are lower-cased and split by SPLIT."""
     automaton = LongestMatch(pieces)
@@ -208,7 +249,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """
 
     def make():
-        count = counter(load_pieces(vocabulary_path))
+        count = worker_counter(vocabulary_path)
 
         def step(ids, texts):
             words, tokens = count(texts)

@@ -107,6 +107,33 @@ def test_automaton_equals_greedy_matching(seed):
     assert wordpiece.LongestMatch(pieces).count(words).tolist() == [greedy(w, set(pieces), 7) for w in words]
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_long_words_are_read_alike(seed, monkeypatch):
+    rng = random.Random(seed)
+    pieces = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 5))) + (b"\xff" if rng.random() < 0.4 else b"") for _ in range(rng.randint(1, 14))]
+    words = [bytes(rng.choice(b"abcd" if rng.random() < 0.02 else b"abc") for _ in range(rng.randint(0, 300))) for _ in range(30)]
+    both = wordpiece.LongestMatch(pieces)
+    want = [greedy(w, set(pieces), 7) for w in words]
+    assert both.count(words).tolist() == want
+    monkeypatch.setattr(wordpiece, "LONG", -1)
+    assert both.count(words).tolist() == want
+
+
+def test_unbroken_text_is_quick(word_bpe, unigram):
+    """A megabyte without white space, in letters of several scripts; the check is on CPU time and far off what it takes."""
+    import time
+
+    rng = random.Random(1)
+    for letters in ("etaoinshrdlu", "".join(map(chr, range(0x4E00, 0x4F00))), "".join(map(chr, range(0xE01, 0xE2F)))):
+        text = "".join(rng.choice(letters) for _ in range((1 << 20) // len(letters[0].encode())))
+        began = time.process_time()
+        words, tokens = wordpiece.worker_counter(word_bpe)([text])
+        counted = time.process_time()
+        ids = unigram.encode([text])[0]
+        assert time.process_time() - counted < 10 and counted - began < 10
+        assert words == [1] and tokens[0] > 1000 and unigram.decode(ids) == text
+
+
 def test_token_counts(spark, word_bpe):
     import regex
 
@@ -156,6 +183,16 @@ def test_viterbi(unigram, text):
     assert unigram.decode(unigram.encode([text])[0]) == text
 
 
+def test_long_stretches_are_read_alike(unigram, monkeypatch):
+    rng = random.Random(5)
+    letters = "etaoin日本語ก😀é\x00"
+    stretches = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 400))).encode() for _ in range(60)] + [b"", b"a", b"\xe3\x80"]
+    monkeypatch.setattr(sentencepieces, "LONG", 1 << 30)
+    together = unigram.segment(stretches)
+    monkeypatch.setattr(sentencepieces, "LONG", -1)
+    assert unigram.segment(stretches) == together
+
+
 def test_decoding_equals_the_library(unigram):
     import sentencepiece
 
@@ -178,6 +215,35 @@ def test_double_array():
         assert trie.value[node] == i
 
 
+def plain_ids(model, text):
+    """Ids of the best path by a plain program over characters; ties go to the piece that starts first."""
+    if not text:
+        return []
+    data = (" " + text).replace(" ", sentencepieces.MARK)
+    number = {t.decode(): i for i, t in enumerate(model.pieces.texts) if t}
+    best, back = [0.0] + [-np.inf] * len(data), [None] * (len(data) + 1)
+    for i in range(len(data)):
+        for j in range(i + 1, min(len(data), i + 48) + 1):
+            k = number.get(data[i:j])
+            if k is not None and best[i] + model.pieces.scores[k] > best[j]:
+                best[j], back[j] = best[i] + model.pieces.scores[k], (i, [k])
+        if data[i] not in number and best[i] + model.unknown_score > best[i + 1]:
+            best[i + 1], back[i + 1] = best[i] + model.unknown_score, (i, [int(model.pieces.byte_ids[b]) for b in data[i].encode("utf-8", "surrogatepass")])
+    out, at = [], len(data)
+    while at:
+        at, ids = back[at]
+        out = ids + out
+    return out
+
+
+def test_sentence_pieces_are_brute_force(spark, unigram):
+    docs = read(spark, SF, "documents").limit(25).select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string"))
+    got = {r["doc_id"]: (r["n_ids"], r["ids_crc32"], list(r["ids"])) for r in sentencepieces.sentence_pieces(docs, tokenizer_file("piece_bpe_32k.model"), with_ids=True).collect()}
+    for r in docs.collect():
+        want = plain_ids(unigram, r["text"])
+        assert got[r["doc_id"]] == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()), want)
+
+
 def test_sentence_pieces(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(None, "a ▁ b"), (0, "x")], "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("n_ids", F.lit(2))
     got = {(r["doc_id"], r["round_trip"]) for r in sentencepieces.sentence_pieces(docs, tokenizer_file("piece_bpe_32k.model")).collect()}
