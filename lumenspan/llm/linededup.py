@@ -55,16 +55,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines all go becomes empty. Empty tables give no rows. Columns of ``docs`` named
     n_lines or n_removed are replaced.
     """
-    cuts = later_windows(docs, id_col, text_col).select(F.col("id").alias("_cut_id"), F.col("starts").alias("_starts"))
-    met = docs.drop("n_lines", "n_removed").join(cuts, F.col(id_col).eqNullSafe(F.col("_cut_id")), "left")
-    lines = _lines(text_col)
+    # Columns have names of their own until the end, so none of the caller's is in the way.
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)])
+    own_id, own_text = f"c{kept.index(id_col)}", f"c{kept.index(text_col)}"
+    cuts = later_windows(plain, own_id, own_text).select(F.col("id").alias("cut_id"), "starts")
+    met = plain.join(cuts, F.col(own_id).eqNullSafe(F.col("cut_id")), "left")
+    lines, cut = _lines(own_text), F.col("starts").isNotNull()
     # Kept lines lie between the end of one cut window and the start of the next.
-    stops = F.concat(F.array(F.lit(-LINES)), F.col("_starts"), F.array(F.size(lines)))
-    met = met.withColumn("_lines", F.when(F.col("_starts").isNotNull(), lines)).withColumn("_stops", F.when(F.col("_starts").isNotNull(), stops))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_stops") - 2), lambda i: F.slice(F.col("_lines"), F.get("_stops", i) + LINES + 1, F.greatest(F.lit(0), F.get("_stops", i + 1) - F.get("_stops", i) - LINES))))
-    met = met.withColumn("_kept", F.when(F.col("_starts").isNotNull(), kept))
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)
-    met = met.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long"))
-    met = met.withColumn("n_removed", F.when(F.col("_starts").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_removed")))
-    text = F.when(F.col("_starts").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
-    return met.withColumn(text_col, text).select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    stops = F.concat(F.array(F.lit(-LINES)), F.col("starts"), F.array(F.size(lines)))
+    met = met.withColumn("lines", F.when(cut, lines)).withColumn("stops", F.when(cut, stops))
+    rest = F.flatten(F.transform(F.sequence(F.lit(0), F.size("stops") - 2), lambda i: F.slice(F.col("lines"), F.get("stops", i) + LINES + 1, F.greatest(F.lit(0), F.get("stops", i + 1) - F.get("stops", i) - LINES))))
+    met = met.withColumn("rest", F.when(cut, rest))
+    n = F.when(F.col(own_text).isNull(), 0).otherwise(F.length(own_text) - F.length(F.replace(F.col(own_text), F.lit("\n"), F.lit(""))) + 1)
+    gone = F.when(cut, F.size("lines") - F.size("rest")).otherwise(0)
+    text = F.when(cut, F.array_join("rest", "\n")).otherwise(F.col(own_text))
+    out = {c: F.col(f"c{i}") for i, c in enumerate(kept)} | {text_col: text, "n_lines": n.cast("long"), "n_removed": gone.cast("long")}
+    return met.select(*[v.alias(c) for c, v in out.items()])

@@ -1,5 +1,6 @@
 """Near-duplicates and line dedup against brute force, on data with copies, clusters, ties and odd rows."""
 
+import itertools
 import random
 
 import numpy as np
@@ -67,7 +68,9 @@ def test_links_equal_brute_force(spark, kind):
 
 def test_thresholds():
     costs = np.array([[0, 5, 12, 99], [0, 5, 12, 99], [0, 5, 12, 99], [0, 50, 60, 99]], float)
-    got = simhash.allocate(costs, 3)
+    costs = np.hstack([costs, np.full((4, 1), 200)])
+    total, got = simhash.allocate(costs, 3)
+    assert total == costs[range(4), [t + 1 for t in got]].sum()
     assert sum(got) == 0 and got[3] == -1 and sorted(got[:3]) == [0, 0, 1]
     together = np.full((64, 64), 25)
     np.fill_diagonal(together, 50)
@@ -77,6 +80,86 @@ def test_thresholds():
     assert any({3, 40} <= set(g) for g in groups)
 
 
+def test_meetings_are_pairs_of_values():
+    rng = np.random.default_rng(0)
+    values = rng.integers(0, 1 << simhash.WIDTH, 300)
+    values[:120] &= 7
+    met = simhash.meetings(np.bincount(values, minlength=1 << simhash.WIDTH))
+    want = np.bincount((values[:, None] ^ values[None]).ravel(), minlength=1 << simhash.WIDTH)
+    assert (met == want).all()
+    # Buckets with t bits left out, by looking at all of them.
+    for t in (0, 1, 2):
+        sizes = []
+        for gone in itertools.combinations(range(simhash.WIDTH), t):
+            kept = values & ~sum(1 << b for b in gone)
+            sizes.append((kept[:, None] == kept[None]).sum() / len(values))
+        assert simhash._bucket(met, len(values), t) == pytest.approx(np.mean(sizes))
+
+
+@pytest.mark.parametrize("kind", ["random", "low bits alike", "one value"])
+def test_plans_are_sound(spark, kind):
+    rng = random.Random(kind)
+    fps = {"random": [rng.getrandbits(64) for _ in range(500)], "low bits alike": [rng.getrandbits(24) << 40 | rng.getrandbits(2) for _ in range(500)], "one value": [5]}[kind]
+    dealt = simhash.plan(spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in set(fps)], "fp long"))
+    assert sorted(b for bits, _ in dealt for b in bits) == list(range(64)) and sum(t for _, t in dealt) == 3 - len(dealt) + 1
+
+
+def test_measured_pairs_decide_the_plan(monkeypatch):
+    """Few fingerprints: four narrow groups, equal values only. Billions: wide groups. A group whose values all share is skipped."""
+
+    def dealt(n, *tables):
+        together = np.full((64, 64), n // 4)
+        np.fill_diagonal(together, n // 2)
+        monkeypatch.setattr(simhash, "_together", lambda fps: (together, n))
+        monkeypatch.setattr(simhash, "_histograms", lambda fps, groups: np.array(tables))
+        return simhash.plan(None)
+
+    cells = 1 << simhash.WIDTH
+    even = lambda n: np.full(cells, n / cells)
+    one = lambda n: np.eye(1, cells)[0] * n
+    assert [(len(b), t) for b, t in dealt(1 << 17, *[even(1 << 17)] * 4)] == [(16, 0)] * 4
+    many = dealt(1 << 36, *[even(1 << 36)] * 4)
+    assert max(len(b) for b, _ in many) >= 32 and sum(t for _, t in many) == 4 - len(many)
+    skewed = dealt(1 << 24, even(1 << 24), even(1 << 24), one(1 << 24), one(1 << 24))
+    assert len(skewed) < 4 or any(t < 0 for _, t in skewed)
+    assert sum(t for _, t in skewed) == 4 - len(skewed)
+
+
+def test_near_templates_are_not_squared(spark, monkeypatch):
+    """Thousands of fingerprints in one bucket, four bits apart or more: comparisons stay far under all pairs."""
+    rng = random.Random(8)
+
+    def word():  # extended Hamming code of 32 bits: any two words differ in four bits or more
+        data = [rng.getrandbits(1) for _ in range(26)]
+        bits, at = [0] * 32, 0
+        for i in range(1, 32):
+            if i & (i - 1):
+                bits[i], at = data[at], at + 1
+        for p in (1, 2, 4, 8, 16):
+            bits[p] = sum(bits[i] for i in range(1, 32) if i & p and i != p) % 2
+        bits[0] = sum(bits[1:]) % 2
+        return sum(b << 2 * i for i, b in enumerate(bits))
+
+    fps = sorted({word() for _ in range(5000)})
+    linked = [(f, f ^ 2 ^ 8 ^ 32) for f in fps[:20]]  # three of the bits that are otherwise alike
+    everything = fps + [b for _, b in linked]
+    compared = []
+
+    def counting(rows, sizes, total, tau, meet=simhash._meet):
+        n = [r["n"] for r in sizes.collect()]
+        compared.append(sum(k * (k - 1) // 2 if k <= simhash.SMALL_BUCKET else simhash.PIVOTS * k for k in n))
+        return meet(rows, sizes, total, tau)
+
+    monkeypatch.setattr(simhash, "_meet", counting)
+    _, found = simhash.links(spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in everything], "fp long"))
+    got: dict = {}
+    for r in found.collect():
+        got.setdefault(r["component"], set()).add(r["node"] % (1 << 64))
+    want = {frozenset(s) for s in linked}
+    assert {frozenset(s) for s in got.values()} == want
+    assert sum(compared) < len(everything) ** 2 / 2 / 10 and len(compared) <= 6
+
+
 def plain_fingerprint(text):
     import xxhash
 
@@ -111,8 +194,9 @@ def test_near_duplicates(spark):
             c = comp[fps.index(m)]
             least[c] = min(least.get(c, i), i)
     assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in got} == {(i, m, least.get(comp[fps.index(m)])) for i, m in marks}
+    both = both.withColumn("turn", F.lit(7)).withColumn("_turn", F.lit(8)).withColumn("first_id", F.lit(9)).withColumn("component_id", F.lit(10)).withColumn("key", F.lit(11))
     kept = simhash.keep_first(both)
-    assert kept.columns == both.columns
+    assert kept.columns == both.columns and {tuple(r)[-5:] for r in kept.collect()} == {(7, 8, 9, 10, 11)}
     ids = [r["doc_id"] for r in kept.collect()]
     assert set(ids) == {None} | set(least.values()) and ids.count(None) == 1 and len(ids) == len(set(ids))
 
@@ -154,8 +238,12 @@ def test_line_dedup(spark):
     texts = ["\n".join(rng.choice("abcd") for _ in range(rng.randrange(12))) for _ in range(60)]
     rows = list(enumerate(texts)) + [(100, None), (101, ""), (102, "\n\n\n\n"), (103, "x\ny"), (104, "q\n" * 5000), (None, "a\nb\nc\nd\n"), (105, "\r\n \n\n" * 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash")).withColumn("starts", F.lit(1)).withColumn("id", F.lit(2))
+    own = ["_starts", "_cut_id", "_lines", "_kept", "_stops", "lines", "c0", "cut_id"]
+    for c in own:
+        df = df.withColumn(c, F.lit(c))
     got = linededup.dedup_lines(df)
-    assert got.columns == ["doc_id", "text", "starts", "id", "n_lines", "n_removed"]
+    assert got.columns == ["doc_id", "text", "starts", "id", *own, "n_lines", "n_removed"]
+    assert {tuple(r) for r in got.select(*own).collect()} == {tuple(own)}
     assert sorted(map(str, [tuple(r) for r in got.select("doc_id", "text", "n_lines", "n_removed").collect()])) == sorted(map(str, plain_lines(rows)))
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
