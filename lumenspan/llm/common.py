@@ -62,6 +62,25 @@ def release(df: DataFrame) -> None:
     fs.delete(where, True)
 
 
+#: ``hot_join`` deals keys with more than one in so many rows over several tasks.
+HOT = 1024
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: Sequence[str], total: int, salt, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and in ``n`` how many of ``left``'s ``total`` rows have that key.
+
+    A key with more than a HOT-th of all rows gets as many copies of its row, and
+    ``left``'s rows are dealt among them by ``salt`` (a long column). Only those keys,
+    fewer than HOT, are broadcast. The result has no column ``n``.
+    """
+    many = F.col("n") * HOT > F.lit(total)
+    hot = F.broadcast(right.where(many).select(*on, F.ceil(F.col("n") * HOT / F.lit(max(1, total))).cast("int").alias("parts_")))
+    dealt = left.join(hot, list(on), "left").withColumn("part_", F.pmod(salt, F.coalesce("parts_", F.lit(1))).cast("int")).drop("parts_")
+    parts = F.when(many, F.ceil(F.col("n") * HOT / F.lit(max(1, total)))).otherwise(1).cast("int")
+    copied = right.withColumn("part_", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return dealt.join(copied, [*on, "part_"], how).drop("part_")
+
+
 def map_rows(df: DataFrame, columns: Sequence[str], make: Callable[[], Callable[..., dict]], schema: T.StructType, rows: int = SLICE) -> DataFrame:
     """Runs a function over slices of the given columns, in Arrow batches.
 

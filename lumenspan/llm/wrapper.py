@@ -25,15 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, materialize
+from .common import hot_join, map_rows, materialize
 
 #: A reference node is template if this share of the host's pages has its text there, and the share's
 #: lower confidence bound (Wilson, so many standard errors) is over CERTAIN: few pages prove little.
 TEMPLATE_SHARE, CERTAIN, ERRORS = 0.8, 0.5, 2.0
 #: A host's reference page is the middle one, by nodes, of up to so many drawn from its pages.
 DRAWN = 15
-#: No task is dealt more than about this share of all pages for belonging to one host.
-HOST_SHARE = 1024
 #: Lists of children up to this long (in the geometric mean) are aligned on one table; longer ones row by row.
 FULL_ALIGNMENT = 60
 #: What a matched node counts beside a subtree that meets its like; more than there are children.
@@ -382,17 +380,6 @@ def host(url_col: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _by_host(pages: DataFrame, known: DataFrame, counted: DataFrame, how: str = "inner") -> DataFrame:
-    """``pages`` (with _host, _h) joined with the host's row of ``known``; hosts of more than a HOST_SHARE-th of all pages are dealt over several tasks."""
-    total = counted.agg(F.sum("pages").alias("total"))
-    large = counted.crossJoin(F.broadcast(total)).withColumn("parts", F.ceil(F.col("pages") * HOST_SHARE / F.col("total")).cast("int")).where("parts > 1")
-    large = F.broadcast(large.select(F.col("_host").alias("_large"), "parts"))  # at most HOST_SHARE rows
-    parts = F.coalesce("parts", F.lit(1))
-    left = pages.join(large, F.col("_host") == F.col("_large"), "left").withColumn("_part", F.pmod("_h", parts).cast("int")).drop("_large", "parts")
-    right = known.join(large, F.col("_host") == F.col("_large"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_large", "parts")
-    return left.join(right, ["_host", "_part"], how).drop("_part")
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: id, url, text, n_chars (code points of text).
 
@@ -418,13 +405,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     schema = T.StructType([keyed.schema["_id"], keyed.schema["_url"], T.StructField("_host", T.StringType()), T.StructField("blocks", block), T.StructField("nodes", T.LongType()), T.StructField("tree", T.StringType()), T.StructField("_h", T.LongType())])
     trees = materialize(map_rows(keyed, ["_id", "_url", "_host", "_html"], shape, schema), "trees")
     # Copies of a page have one tree and count once: they say nothing new about their host's template.
-    ids = trees.select("_host", "_h", "nodes").distinct()
+    ids = trees.groupBy("_host", "_h", "nodes").agg(F.count("*").alias("rows"))
     # The reference page: of up to DRAWN pages that their hashes pick, the middle one by nodes. No tree is shuffled to find it.
-    drawn = ids.groupBy("_host", F.pmod("_h", F.lit(DRAWN)).alias("_draw")).agg(F.min(F.struct("_h", "nodes")).alias("d"), F.count("*").alias("n"))
+    drawn = ids.groupBy("_host", F.pmod("_h", F.lit(DRAWN)).alias("_draw")).agg(F.min(F.struct("_h", "nodes")).alias("d"), F.count("*").alias("pages"), F.sum("rows").alias("n"))
     some = F.array_sort(F.collect_list(F.struct("d.nodes", "d._h")))
-    drawn = drawn.groupBy("_host").agg(F.sum("n").alias("pages"), some.alias("some"))
-    counted = materialize(drawn.select("_host", "pages", F.get("some", (F.size("some") / 2).cast("int"))["_h"].alias("_h")), "hosts")
-    reference = trees.select("_host", "_h", "tree").join(counted, ["_host", "_h"]).groupBy("_host").agg(F.min("tree").alias("reference"))
+    drawn = drawn.groupBy("_host").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"), some.alias("some"))
+    counted = materialize(drawn.select("_host", "pages", "n", F.get("some", (F.size("some") / 2).cast("int"))["_h"].alias("_h")), "hosts")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    reference = trees.select("_host", "_h", "tree").join(counted, ["_host", "_h"]).groupBy("_host", "n").agg(F.min("tree").alias("reference"))
     reference = materialize(reference, "reference")
 
     def meet():
@@ -442,14 +430,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         return step
 
-    pairs = _by_host(trees.select("_host", "_h", "tree"), reference, counted)
+    pairs = hot_join(trees.select("_host", "_h", "tree"), reference, ["_host"], total, F.col("_h"))
     met = map_rows(pairs, ["_host", "_h", "reference", "tree"], meet, T.StructType([T.StructField("_host", T.StringType()), T.StructField("_h", T.LongType()), T.StructField("text", T.LongType())]))
-    same = met.distinct().groupBy("_host", "text").count().join(counted.select("_host", "pages"), "_host")
-    template = same.where(is_template(F.col("count"), F.col("pages"))).groupBy("_host").agg(F.collect_set("text").alias("template"))
+    same = met.distinct().groupBy("_host", "text").count().join(counted.select("_host", "pages", "n"), "_host")
+    template = same.where(is_template(F.col("count"), F.col("pages"))).groupBy("_host", "n").agg(F.collect_set("text").alias("template"))
     template = materialize(template, "template")
 
     # As ``article`` does, on blocks that are read already.
-    met = _by_host(trees.select("_id", "_url", "_host", "_h", "blocks"), template, counted, "left")
+    met = hot_join(trees.select("_id", "_url", "_host", "_h", "blocks"), template, ["_host"], total, F.col("_h"), "left")
     slots = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce("template", F.array().cast("array<bigint>")), b["mark"]))
     met = met.withColumn("_varying", F.when(F.size(slots) > 0, slots).otherwise(F.col("blocks")))
     inner = F.filter("_varying", lambda b: b["article"])
