@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import hot_join, materialize, release
 
 
 def _toward_least(edges: DataFrame, node: str, other: str) -> DataFrame:
-    """(node, least) with the least of a node and its neighbours; combines before the shuffle, keeps no neighbour lists."""
-    return edges.groupBy(F.col(node).alias("node")).agg(F.least(F.min(other), F.col("node")).alias("least"))
+    """(node, least, n): the least of a node and its neighbours, and its edges; combines before the shuffle, keeps no neighbour lists."""
+    return edges.groupBy(F.col(node).alias(node)).agg(F.least(F.min(other), F.col(node)).alias("least"), F.count("*").alias("n"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = _toward_least(both, "a", "b")
-    return both.where("b > a").join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    met = hot_join(both.where("b > a"), _toward_least(both, "a", "b"), ["a"], total, F.xxhash64("b"))
+    return met.select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = _toward_least(edges, "a", "b")
-    kept = edges.join(least, F.col("a") == F.col("node"))
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    kept = hot_join(edges, _toward_least(edges, "a", "b"), ["a"], total, F.xxhash64("b"))
     moved = kept.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(kept.select("a", F.col("least").alias("b")))
     return moved.where("a <> b").distinct()
 
@@ -40,6 +39,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if tuple(mark) == seen or not mark[0]:
             break
         seen, before = tuple(mark), now
-        now = materialize(_small_star(_large_star(now)), name)
+        large = materialize(_large_star(now, mark[0]), name)
+        now = materialize(_small_star(large, mark[0]), name)
         release(before)
+        release(large)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,17 +1,19 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
 Fingerprints link at ``tau`` or fewer differing bits. The 64 bits are dealt into m
-groups of correlated bits; group i gets a threshold t_i in {-1, 0, 1, 2} with
+groups of correlated bits; group i gets a threshold t_i of -1 or more with
 sum(t_i) = tau - m + 1. If two fingerprints differ in at most tau bits, some group
 holds at most t_i of the differences (else sum(t_i + 1) = tau + 1 bits would differ),
-so probing each group within its own threshold misses no link. The thresholds are
-unequal where it pays: a dynamic program takes those with the fewest candidates, as
-counted over all fingerprints.
+so probing each group within its own threshold misses no link. Thresholds are unequal,
+and groups wide or narrow, where it pays: a dynamic program takes those with the least
+cost, by the pairs that each group brings together within each threshold, as counted
+over all fingerprints.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .common import hot_join, map_rows, materialize
 from .components import components
 
 BITS = 64
@@ -27,7 +29,11 @@ BITS = 64
 SMALL_BUCKET = 10
 #: Fingerprints of a large bucket that every other one in it is compared with.
 PIVOTS = 3
-THRESHOLDS = (-1, 0, 1, 2)
+#: Classes of bits that a large bucket is dealt by, tau + 1 at the usual tau.
+CLASSES = 4
+THRESHOLDS = (-1, 0, 1, 2, 3)
+#: Bits of the narrowest groups; a table of all their values has 2 ** 16 cells, whatever the number of fingerprints.
+WIDTH = 16
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -82,8 +88,8 @@ def correlated_groups(together: np.ndarray, total: int, m: int) -> list[list[int
     return groups
 
 
-def allocate(costs: np.ndarray, tau: int) -> list[int]:
-    """Thresholds, one per group, of least total cost with sum tau - m + 1; costs[i, k] is that of THRESHOLDS[k] in group i."""
+def allocate(costs: np.ndarray, tau: int) -> tuple[float, list[int]]:
+    """Least total cost and its thresholds, one per group, with sum tau - m + 1; costs[i, k] is that of THRESHOLDS[k] in group i."""
     m, goal = len(costs), tau - len(costs) + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for i in range(m):
@@ -94,7 +100,7 @@ def allocate(costs: np.ndarray, tau: int) -> list[int]:
                 if found < step.get(total + t, (np.inf, []))[0]:
                     step[total + t] = (found, [*chosen, t])
         best = step
-    return best[goal][1]
+    return best[goal]
 
 
 def _gather(fp, bits: list[int]):
@@ -134,21 +140,55 @@ def _together(fps: DataFrame) -> tuple[np.ndarray, int]:
     return flat[:-1].reshape(BITS, BITS), int(flat[-1])
 
 
-def _candidates(fps: DataFrame, groups: list[list[int]]) -> np.ndarray:
-    """costs[i, k]: pairs met when group i is probed within THRESHOLDS[k] (large buckets meet through pivots), plus the keys that takes, over all fingerprints."""
-    costs = np.zeros((len(groups), len(THRESHOLDS)))
-    keyed = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("part"), _gather(F.col("fp"), g).alias("value")) for i, g in enumerate(groups)])).alias("k")).groupBy("k.part", "k.value").count()
-    got = {r["part"]: r for r in keyed.groupBy("part").agg(F.sum(F.col("count").cast("double") * F.least(F.col("count"), F.lit(SMALL_BUCKET + PIVOTS))).alias("pairs"), F.sum("count").alias("n")).collect()}
-    for i, g in enumerate(groups):
-        pairs, n, width = got[i]["pairs"], got[i]["n"], len(g)
-        extra = max(0.0, pairs - n)
-        for k, t in enumerate(THRESHOLDS):
-            if t >= 0:
-                # Values within t bits meet too; each ball holds sum(C(width, j)) values as full as the bucket's own surroundings.
-                ball = sum(_choose(width, j) for j in range(t + 1))
-                near = n * n / 2.0**width * ball
-                costs[i, k] = extra + near + n * _choose(width, t)
-    return costs
+def _histograms(fps: DataFrame, groups: list[list[int]]) -> np.ndarray:
+    """Counts of each group's values over all fingerprints: one table of 2 ** WIDTH cells a group."""
+
+    def run(batches):
+        total = np.zeros(len(groups) << WIDTH, np.int64)
+        for batch in batches:
+            got = batch.column(0).to_numpy().view(np.uint64)
+            for i, bits in enumerate(groups):
+                value = np.zeros(len(got), np.int64)
+                for k, b in enumerate(bits):
+                    value |= ((got >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << k
+                total += np.bincount(value + (i << WIDTH), minlength=len(total))
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"cell": cell, "n": total[cell]})
+
+    found = fps.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(groups) << WIDTH)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(len(groups), -1)
+
+
+def meetings(histogram: np.ndarray) -> np.ndarray:
+    """For each pattern d of differing bits: ordered pairs (each with itself included) whose values differ in exactly d; by a Walsh-Hadamard transform."""
+    out = histogram.astype(np.float64)
+    for turn in range(2):
+        step = 1
+        while step < len(out):
+            both = out.reshape(-1, 2, step)
+            out = np.stack([both[:, 0] + both[:, 1], both[:, 0] - both[:, 1]], 1).reshape(-1)
+            step *= 2
+        out = out * out if not turn else out / len(out)
+    return np.maximum(np.rint(out), 0)
+
+
+def _bucket(met: np.ndarray, n: int, t: int) -> float:
+    """Fingerprints that one meets in its bucket, on average over the fingerprints and the choices of t bits that are left out."""
+    one = 1 << np.arange(WIDTH)
+    pairs = one[:, None] | one[None, :]
+    shares = [met[0], met[one].mean(), met[pairs[np.triu_indices(WIDTH, 1)]].mean()]
+    triples = [a | b | c for a, b, c in combinations(one.tolist(), 3)]
+    shares.append(met[triples].mean())
+    # Values that agree in all bits but t given ones differ in any subset of those.
+    return sum(_choose(t, j) * shares[j] for j in range(t + 1)) / max(n, 1)
+
+
+def _work(meets: float, width: int, t: int) -> float:
+    """Rows and comparisons a fingerprint costs in a group of ``width`` bits within t, if ``meets`` others are in each of its buckets: large buckets meet through pivots and are dealt once more."""
+    each = meets if meets <= SMALL_BUCKET else PIVOTS + CLASSES * (1 + meets / 2.0 ** ((BITS - width) / CLASSES))
+    return _choose(width, t) * (1 + each)
 
 
 def _choose(n: int, k: int) -> int:
@@ -159,77 +199,142 @@ def _choose(n: int, k: int) -> int:
 
 
 def plan(fps: DataFrame, tau: int = 3) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each group, from counts over all fingerprints; the number of groups grows with their thresholds' cost."""
-    together, total = _together(fps)
-    if not total:  # nothing to link: any sound plan will do
+    """(bits, threshold) of each group, from counts over all fingerprints.
+
+    The candidates are the four groups of correlated bits and all ways of merging some of
+    them: fewer and wider groups bring fewer pairs together for more keys. A merged
+    group's pairs are those of its parts, taken as independent of each other.
+    """
+    together, n = _together(fps)
+    if not n:  # nothing to link: any sound plan will do
         return [(list(range(i, BITS, tau + 1)), 0) for i in range(tau + 1)]
-    guess = {}
-    for m in range(2, tau + 2):
-        width = BITS // m
-        spare = tau - m + 1
-        level = [spare // m + (i < spare % m) for i in range(m)]
-        guess[m] = sum(_choose(width, t) * total + total * total / 2.0**width * sum(_choose(width, j) for j in range(t + 1)) for t in level)
-    m = min(guess, key=guess.get)
-    groups = correlated_groups(together, total, m)
-    thresholds = allocate(_candidates(fps, groups), tau)
-    return list(zip(groups, thresholds, strict=True))
+    fours = correlated_groups(together, n, BITS // WIDTH)
+    met = [meetings(h) for h in _histograms(fps, fours)]
+    others = [[_bucket(m, n, t) - 1 for t in range(len(THRESHOLDS) - 1)] for m in met]
+
+    def cost(group: tuple[int, ...], t: int) -> float:
+        if t < 0:
+            return 0.0
+        # The t bits left out fall on the parts in every way; parts are alike enough to be averaged.
+        if len(group) == 1:
+            return _work(others[group[0]][t], WIDTH, t)
+        ways, meets = 0, 0.0
+        for spent in product(range(t + 1), repeat=len(group)):
+            if sum(spent) == t:
+                many = math.prod(_choose(WIDTH, k) for k in spent)
+                ways += many
+                meets += many * n * math.prod(max(0.0, others[g][k]) / n for g, k in zip(group, spent, strict=True))
+        return _work(meets / ways, WIDTH * len(group), t)
+
+    best = None
+    for parts in _partitions(tuple(range(len(fours)))):
+        if len(parts) > tau + 1:
+            continue
+        costs = np.array([[cost(g, t) for t in THRESHOLDS] for g in parts])
+        total, thresholds = allocate(costs, tau)
+        if best is None or total < best[0]:
+            best = total, [(sorted(sum((fours[g] for g in group), [])), t) for group, t in zip(parts, thresholds, strict=True)]
+    return best[1]
+
+
+def _partitions(items: tuple[int, ...]):
+    """All ways to split ``items`` into groups."""
+    if not items:
+        yield []
+        return
+    for rest in _partitions(items[1:]):
+        yield [(items[0],), *rest]
+        for i, group in enumerate(rest):
+            yield [*rest[:i], (items[0], *group), *rest[i + 1 :]]
 
 
 def _differ(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def _buckets(fps: DataFrame, dealt: list[tuple[list[int], int]]) -> DataFrame:
-    keys = [F.struct(F.lit(i).alias("part"), k["gone"].alias("gone"), k["value"].alias("value")) for i, (bits, t) in enumerate(dealt) for k in _keys(F.col("fp"), bits, t)]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.part", "k.gone", "k.value")
+    """(fp, key, left): the buckets of each fingerprint, and the bits that members of one may still differ in, but for those left out."""
+    keys = []
+    for i, (bits, t) in enumerate(dealt):
+        left = F.lit(_signed(((1 << BITS) - 1) ^ sum(1 << b for b in bits))).cast("long")
+        keys += [F.struct(F.xxhash64(F.lit(i), k["gone"], k["value"]).alias("key"), left.alias("left")) for k in _keys(F.col("fp"), bits, t)]
+    return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.key", "k.left")
+
+
+def _deal_on(rows: DataFrame, level: int, tau: int) -> DataFrame:
+    """Members of buckets dealt once more: the bits they may differ in fall into tau + 1 classes, and of at most tau differences one class has none.
+
+    So two members that link share at least one of the new buckets.
+    """
+    order = np.random.default_rng(level).permutation(BITS)
+    masks = [_signed(sum(1 << int(b) for b in order[q :: tau + 1])) for q in range(tau + 1)]
+    own = [F.col("left").bitwiseAND(F.lit(m).cast("long")) for m in masks]
+    deal = [F.struct(F.xxhash64("key", F.lit(q), F.col("fp").bitwiseAND(m)).alias("key"), F.col("left").bitwiseXOR(m).alias("left")) for q, m in enumerate(own)]
+    return rows.select("fp", "label", F.explode(F.array(*deal)).alias("k")).select("fp", "label", "k.key", "k.left")
+
+
+def _meet(rows: DataFrame, sizes: DataFrame, total: int, tau: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, large): linked pairs (a, b, la, lb) of different labels, and the rows of large buckets with their ``n``.
+
+    Members of buckets of up to SMALL_BUCKET meet each other; those of larger ones meet
+    PIVOTS of their members.
+    """
+    few = materialize(rows.join(sizes.where(F.col("n") <= SMALL_BUCKET), "key"), "few")
+    other = few.select("key", F.col("fp").alias("b"), F.col("label").alias("lb"))
+    met = few.select("key", F.col("fp").alias("a"), F.col("label").alias("la")).join(other, "key").where(F.col("a") < F.col("b"))
+    large = materialize(hot_join(rows, sizes.where(F.col("n") > SMALL_BUCKET).withColumn("size", F.col("n")), ["key"], total, F.xxhash64("fp")), "many")
+    salted = [F.min(F.struct(F.xxhash64("fp", F.lit(i)), F.col("fp"), F.col("label"))).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = large.groupBy("key", "size").agg(*salted)
+    pivots = pivots.select("key", F.col("size").alias("n"), F.array(*[F.struct(f"p{i}.fp", f"p{i}.label") for i in range(PIVOTS)]).alias("pivots"))
+    through = hot_join(large, pivots, ["key"], total, F.xxhash64("fp")).select(F.col("fp").alias("a"), F.col("label").alias("la"), F.explode(F.array_distinct("pivots")).alias("p"))
+    through = through.select("a", F.col("p.fp").alias("b"), "la", F.col("p.label").alias("lb"))
+    pairs = met.select("a", "b", "la", "lb").unionByName(through).where(F.col("la") != F.col("lb")).where(_differ("a", "b") <= tau)
+    return materialize(pairs.distinct(), "pairs"), large
 
 
 def links(fps: DataFrame, tau: int = 3) -> tuple[DataFrame, DataFrame]:
     """(edges, components) over distinct fingerprints ``fps`` (fp: long); edges (a, b) span every component.
 
-    Small buckets compare all pairs. In large ones every member meets PIVOTS members;
-    what then still lies in another component than most of its bucket meets the whole
-    bucket, dealt once more by four quarters of the bits outside the group (at most tau
-    = 3 of them differ, so one quarter is equal). Pairs inside a component need no
-    comparison: nothing is lost and no bucket is squared.
+    Small buckets compare all pairs. In large ones every member meets PIVOTS members. A
+    large bucket whose members then lie in several components is dealt once more, by
+    classes of the bits its members may still differ in, and so on until buckets are
+    small or of one component: a link is in at least one bucket of each level, pairs
+    inside a component need no comparison, and no bucket of more than SMALL_BUCKET is
+    squared. A level has at most tau + 1 rows for each row that is dealt on, and as three
+    quarters of the differing bits are left each time, there are few levels.
     """
-    dealt = plan(fps, tau)
-    spread = materialize(_buckets(fps, dealt), "buckets")
-    by = ["part", "gone", "value"]
-    salted = [F.min(F.struct(F.xxhash64("fp", F.lit(i)), F.col("fp"))).getField("fp").alias(f"p{i}") for i in range(PIVOTS)]
-    sizes = materialize(spread.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    small, large = sizes.where(F.col("n") <= SMALL_BUCKET).select(*by), sizes.where(F.col("n") > SMALL_BUCKET)
-    few = materialize(spread.join(small, by), "few")
-    other = few.select(*by, F.col("fp").alias("b"))
-    near = few.withColumnRenamed("fp", "a").join(other, by).where(F.col("a") < F.col("b")).where(_differ("a", "b") <= tau).select("a", "b")
-    many = materialize(spread.join(large, by), "many")
-    pivots = many.groupBy(*by).agg(*salted).select(*by, F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("b"))
-    through = many.withColumnRenamed("fp", "a").join(pivots, by).where(F.col("a") != F.col("b")).where(_differ("a", "b") <= tau).select("a", "b")
-    edges = near.unionByName(through).distinct()
-    found = components(edges, "fp-components")
-    if many.limit(1).count():
-        found = materialize(found, "labels")
-        labelled = many.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", *by, F.coalesce("component", "fp").alias("label"))
-        labelled = materialize(labelled, "labelled")
-        # The label of most members of each large bucket.
-        most = labelled.groupBy(*by, "label").count().groupBy(*by).agg(F.max(F.struct("count", "label")).getField("label").alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-        mixed = labelled.join(most, by)
-        outside = [[b for b in range(BITS) if b not in bits] for bits, _ in dealt]
-        quarter = F.lit(None)
-        for i, rest in enumerate(outside):
-            quarters = F.array(*[F.struct(F.lit(q).alias("q"), _gather(F.col("fp"), rest[q :: tau + 1]).alias("rest")) for q in range(tau + 1)])
-            quarter = F.when(F.col("part") == i, quarters).otherwise(quarter)
-        fine = materialize(mixed.withColumn("k", F.explode(quarter)).select("fp", "label", "most", *by, "k.q", "k.rest"), "fine")
-        on = [*by, "q", "rest"]
-        minor = fine.where(F.col("label") != F.col("most")).select(*on, F.col("fp").alias("a"), F.col("label").alias("la"))
-        late = minor.join(fine.select(*on, F.col("fp").alias("b"), F.col("label").alias("lb")), on).where(F.col("la") != F.col("lb")).where(_differ("a", "b") <= tau)
-        merged = components(late.select(F.col("la").alias("a"), F.col("lb").alias("b")), "late")
-        edges = edges.unionByName(late.select("a", "b"))
-        found = found.join(merged.withColumnRenamed("component", "joined"), F.col("component") == merged["node"], "left").select(found["node"], F.coalesce("joined", "component").alias("component"))
-        # Nodes without an early edge that a late one joins.
-        alone = merged.join(found.select("node"), "node", "left_anti")
-        found = found.unionByName(alone.select("node", "component"))
-    return edges, found
+    rows = materialize(_buckets(fps, plan(fps, tau)).withColumn("label", F.col("fp")), "buckets")
+    edges, found, level = None, None, 0
+    while True:
+        mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        sizes = materialize(mixed.where("n > 1 and low <> high").select("key", "n"), "sizes")
+        total = sizes.agg(F.sum("n")).first()[0] or 0
+        pairs, large = _meet(rows, sizes, total, tau)
+        merged = components(pairs.select(F.col("la").alias("a"), F.col("lb").alias("b")), "fp-components")
+        now = pairs.select("a", "b")
+        edges = now if edges is None else edges.unionByName(now)
+        found = merged if found is None else _follow(found, merged)
+        if not total or not large.limit(1).count():
+            return edges, found
+        # Large buckets of several components go on.
+        moved = merged.select(F.col("node").alias("label"), "component")
+        rows = large.join(moved, "label", "left").select("fp", "key", "left", F.coalesce("component", "label").alias("label"))
+        rows = materialize(rows, "labelled")
+        several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+        level += 1
+        rows = hot_join(rows, several, ["key"], total, F.xxhash64("fp"))
+        rows = materialize(_deal_on(rows, level, tau), "dealt")
+
+
+def _follow(found: DataFrame, merged: DataFrame) -> DataFrame:
+    """``found`` (node, component) after components were ``merged``; nodes that had no link before come in."""
+    joined = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left")
+    moved = joined.select("node", F.coalesce("joined", "component").alias("component"))
+    return materialize(moved.unionByName(merged.join(found.select("node"), "node", "left_anti")), "fp-labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 3, shingle: int = 3) -> DataFrame:
@@ -255,7 +360,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     can't be told apart and stay. All columns of ``docs`` are kept.
     """
     found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, tau)
-    first = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    turn = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    kept = docs.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").withColumn("_turn", F.row_number().over(turn)).where("_turn = 1").drop("_turn")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("first_id")).distinct()
+    # Columns have names of their own until the end, so none of the caller's is in the way.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    key, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    turn = Window.partitionBy(key).orderBy(F.xxhash64(text))
+    kept = plain.join(first, key == F.col("first_id"), "left_semi").withColumn("turn", F.row_number().over(turn)).where("turn = 1").drop("turn")
+    return kept.unionByName(plain.where(key.isNull())).toDF(*docs.columns)
