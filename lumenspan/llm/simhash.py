@@ -26,7 +26,7 @@ from .components import components
 
 BITS = 64
 #: Buckets with more fingerprints link through pivots first; smaller ones compare all their pairs.
-SMALL_BUCKET = 10
+SMALL_BUCKET = 32
 #: Fingerprints of a large bucket that every other one in it is compared with.
 PIVOTS = 3
 #: Classes of bits that a large bucket is dealt by, tau + 1 at the usual tau.
@@ -283,14 +283,14 @@ def _meet(rows: DataFrame, sizes: DataFrame, total: int, tau: int) -> tuple[Data
     Members of buckets of up to SMALL_BUCKET meet each other; those of larger ones meet
     PIVOTS of their members.
     """
-    few = materialize(rows.join(sizes.where(F.col("n") <= SMALL_BUCKET), "key"), "few")
+    mixed = materialize(rows.join(sizes, "key"), "mixed")
+    few, large = mixed.where(F.col("n") <= SMALL_BUCKET), mixed.where(F.col("n") > SMALL_BUCKET)
     other = few.select("key", F.col("fp").alias("b"), F.col("label").alias("lb"))
     met = few.select("key", F.col("fp").alias("a"), F.col("label").alias("la")).join(other, "key").where(F.col("a") < F.col("b"))
-    large = materialize(hot_join(rows, sizes.where(F.col("n") > SMALL_BUCKET).withColumn("size", F.col("n")), ["key"], total, F.xxhash64("fp")), "many")
     salted = [F.min(F.struct(F.xxhash64("fp", F.lit(i)), F.col("fp"), F.col("label"))).alias(f"p{i}") for i in range(PIVOTS)]
-    pivots = large.groupBy("key", "size").agg(*salted)
-    pivots = pivots.select("key", F.col("size").alias("n"), F.array(*[F.struct(f"p{i}.fp", f"p{i}.label") for i in range(PIVOTS)]).alias("pivots"))
-    through = hot_join(large, pivots, ["key"], total, F.xxhash64("fp")).select(F.col("fp").alias("a"), F.col("label").alias("la"), F.explode(F.array_distinct("pivots")).alias("p"))
+    pivots = large.groupBy("key", "n").agg(*salted)
+    pivots = pivots.select("key", "n", F.array(*[F.struct(f"p{i}.fp", f"p{i}.label") for i in range(PIVOTS)]).alias("pivots"))
+    through = hot_join(large.drop("n"), pivots, ["key"], total, F.xxhash64("fp")).select(F.col("fp").alias("a"), F.col("label").alias("la"), F.explode(F.array_distinct("pivots")).alias("p"))
     through = through.select("a", F.col("p.fp").alias("b"), "la", F.col("p.label").alias("lb"))
     pairs = met.select("a", "b", "la", "lb").unionByName(through).where(F.col("la") != F.col("lb")).where(_differ("a", "b") <= tau)
     return materialize(pairs.distinct(), "pairs"), large
@@ -324,9 +324,9 @@ def links(fps: DataFrame, tau: int = 3) -> tuple[DataFrame, DataFrame]:
         moved = merged.select(F.col("node").alias("label"), "component")
         rows = large.join(moved, "label", "left").select("fp", "key", "left", F.coalesce("component", "label").alias("label"))
         rows = materialize(rows, "labelled")
-        several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+        several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
         level += 1
-        rows = hot_join(rows, several, ["key"], total, F.xxhash64("fp"))
+        rows = rows.join(several, "key", "left_semi")
         rows = materialize(_deal_on(rows, level, tau), "dealt")
 
 
