@@ -221,9 +221,16 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_known(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without texts whose language isn't told (``und``) or told with a score under ``least``; all columns are kept."""
+    """``docs`` without texts whose language isn't told (``und``) or told with a score under ``least``; all columns are kept.
+
+    An empty table stays empty. Rows from which nothing can be learnt raise ValueError, as
+    every document would go.
+    """
     own = docs.schema.fields
+    net = train(docs, id_col, text_col, lang_col)
+    if net is None and not docs.isEmpty():
+        raise ValueError(f"no row has {lang_col} and a text to learn from")
     plain = docs.select(*[F.col(f.name).alias(f"_{i}") for i, f in enumerate(own)])
     at = {f.name: f"_{i}" for i, f in enumerate(own)}
-    found = identify(plain, train(docs, id_col, text_col, lang_col), at[id_col], at[text_col], tuple(m for m in at.values() if m != at[id_col]))
+    found = identify(plain, net, at[id_col], at[text_col], tuple(m for m in at.values() if m != at[id_col]))
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(at[f.name]).alias(f.name) for f in own])

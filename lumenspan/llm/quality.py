@@ -139,28 +139,36 @@ def first_step():
     return F.least(*out)
 
 
+def least_labels(alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """Labelled good documents under which no bound at level ``delta`` reaches ``alpha``, even without a false rejection."""
+    return math.ceil(math.log(delta) / math.log1p(-alpha))
+
+
 def fit(stats: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
     """Cutoffs from all labelled good rows of ``stats`` that pass the base rules (quality = 1; null labels take no part).
 
-    Only counts reach the driver: one row per stratum and rule, one number per cutoff.
+    A document labelled both 0 and 1 counts as good. Only counts reach the driver: one row
+    per stratum with at least ``least_labels`` documents, whose tests the others don't
+    share the risk of, as none of theirs could pass.
     """
     tests = features()
     good = labels.where("quality = 1").select(F.col(id_col).alias("_labelled")).distinct()
     held = stats.where(~base_failed()).join(good, F.col(id_col) == F.col("_labelled"), "left_semi").withColumn("_step", first_step())
     above = [F.count_if(tests[r] > c).alias(f"{r}_{i}") for r, grid in GRIDS.items() for i, c in enumerate(grid)]
     above += [F.count_if(F.col("_step") <= i).alias(f"joint_{i}") for i in range(len(JOINT))]
-    found = held.groupBy(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")).agg(F.count("*").alias("n"), *above).collect()
+    counts = materialize(held.groupBy(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")).agg(F.count("*").alias("n"), *above), "rule-counts")
+    found = counts.where(F.col("n") >= least_labels(alpha, delta)).collect()
     return certify({(r["stratum"], rule): [r[f"{rule}_{i}"] for i in range(len(grid))] for r in found for rule, grid in GRIDS.items()}, {r["stratum"]: r["n"] for r in found}, alpha, delta, {r["stratum"]: [r[f"joint_{i}"] for i in range(len(JOINT))] for r in found})
 
 
 def verdict(cutoffs: dict[tuple[str, str], float], stratum: str = "lang"):
-    """True unless the base rules or a certified rule of the row's stratum reject it."""
+    """True unless the base rules or a certified rule of the row's stratum reject it: a look-up of the stratum's cutoff for each rule."""
     own = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
     over = F.lit(False)
     for rule, value in features().items():
-        for (name, r), cutoff in cutoffs.items():
-            if r == rule:
-                over = over | ((own == name) & (value > cutoff))
+        known = [F.lit(x) for (name, r), cutoff in cutoffs.items() if r == rule for x in (name, cutoff)]
+        if known:
+            over = over | F.coalesce(value > F.try_element_at(F.create_map(*known), own), F.lit(False))
     return ~base_failed() & ~over
 
 

@@ -45,6 +45,47 @@ def test_lookup_tables_equal_convolution():
     assert np.allclose(net.freeze().predict(rows), plain, atol=1e-4)
 
 
+def test_prediction_is_brute_force():
+    """Language and score of whole texts by plain code: windows, convolution at every place, maximum, softmax, mean."""
+    net = langid.ByteNet(["a", "b", "c"]).freeze()
+    texts = ["Hello there, " * 60, "ÄÖ ß " * 3, "x", "日本語" * 200, None, "", "12 !"]
+
+    def plain(text):
+        if not text or not any(c.isalpha() for c in text):
+            return "und", 0.0
+        data = text.lower().encode()
+        data += b" " * (-len(data) % langid.WINDOW)
+        total, weights = np.zeros(3), 0.0
+        for low in range(0, len(data), langid.WINDOW):
+            row = data[low : low + langid.WINDOW]
+            pooled = []
+            for w in langid.WIDTHS:
+                kernel = net.weights[f"filter{w}"]
+                pooled.append(np.max([sum(net.weights["embed"][row[p + k]] @ kernel[k] for k in range(w)) for p in range(langid.WINDOW - w + 1)], 0))
+            logits = (np.maximum(np.concatenate(pooled) + net.weights["bias"], 0) @ net.weights["out"] + net.weights["out_bias"]).astype(float)
+            weight = sum(b > 32 for b in row) + 1e-9
+            total += weight * (logits - logits.max() - np.log(np.exp(logits - logits.max()).sum()))
+            weights += weight
+        p = np.exp(total / weights - (total / weights).max())
+        return net.languages[int(p.argmax())], float((p / p.sum()).max())
+
+    got = list(zip(*langid.predict_texts(net, texts), strict=True))
+    for (a, x), (b, y) in zip(got, map(plain, texts), strict=True):
+        assert a == b and x == pytest.approx(y, abs=1e-4)
+
+
+def test_language_ties_go_to_the_first():
+    net = langid.ByteNet(["b", "c"]).freeze()
+    net.weights["out"][:], net.weights["out_bias"][:] = 0, 0
+    assert langid.predict_texts(net, ["some text"]) == (["b"], [0.5])
+
+
+def test_nothing_learnt_keeps_nothing_quietly(spark, docs):
+    with pytest.raises(ValueError):
+        langid.keep_known(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert langid.keep_known(docs.limit(0)).count() == 0
+
+
 def test_language_odd_rows(spark, docs):
     odd = spark.createDataFrame(ODD, ODD_SCHEMA)
     got = langid.language_id(docs.select("doc_id", "text", "lang").withColumn("n_words", F.lit(0)).unionByName(odd).withColumn("lang_pred", F.lit(1)))
@@ -237,6 +278,68 @@ def test_every_language_of_sf01_has_cutoffs(spark):
     assert {s for s, _ in cutoffs} >= {"de", "en", "es", "fr"}
 
 
+def plain_cutoffs(rows, good):
+    """Certified cutoffs by the definition, from (stratum, features) of labelled good rows."""
+    held: dict = {}
+    for stratum, values in rows:
+        held.setdefault(stratum, []).append(values)
+    held = {s: v for s, v in held.items() if (1 - quality.ALPHA) ** len(v) <= quality.DELTA}
+    out, walks = {}, max(1, len(held) * len(quality.GRIDS))
+
+    def fine(k, n, alpha):
+        return k < n and sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1)) <= quality.DELTA / walks
+
+    for s, docs_ in held.items():
+        n = len(docs_)
+        if fine(0, n, quality.ALPHA / len(quality.GRIDS)):
+            for rule, grid in quality.GRIDS.items():
+                for c in grid:
+                    if not fine(sum(d[rule] > c for d in docs_), n, quality.ALPHA / len(quality.GRIDS)):
+                        break
+                    out[s, rule] = c
+        else:
+            own: dict = {}
+            for rule, c in quality.JOINT:
+                own[rule] = c
+                if not fine(sum(any(d[r] > x for r, x in own.items()) for d in docs_), n, quality.ALPHA):
+                    break
+                out[s, rule] = c
+    return out
+
+
+def test_kept_is_brute_force(spark):
+    """The verdict on every row of sf0.1, by plain counts, plain cutoffs and plain comparisons."""
+    big, known = read(spark, "/root/testdata/sf0.1", "documents").where("length(text) < 4000"), read(spark, "/root/testdata/sf0.1", "labels")
+    good = {r["doc_id"] for r in known.where("quality = 1").collect()}
+    rows = {}
+    for r in big.select("doc_id", "lang", "text").collect():
+        words, chars, symbols, dup, repeat = plain_counts(r["text"]) if len(r["text"]) < 1500 else quality.base_counts(r["text"])[:5]
+        shouts = sum(w.isupper() and len(w) > 1 for w in r["text"].encode().split())
+        n = max(1, words)
+        values = {"symbol_share": symbols / n, "repeat_share": repeat / n, "dup_line_share": dup / max(1, r["text"].count("\n") + 1), "long_word": chars / n, "shout_share": shouts / n}
+        rows[r["doc_id"]] = (r["lang"], values, words < quality.MIN_WORDS or 100 * repeat > quality.REPEAT_PERCENT * words)
+    cutoffs = plain_cutoffs([(s, v) for i, (s, v, failed) in rows.items() if i in good and not failed], good)
+    want = {i: not failed and not any(v[rule] > cutoffs.get((s, rule), math.inf) for rule in v) for i, (s, v, failed) in rows.items()}
+    assert len({s for s, _ in cutoffs}) >= 2
+    assert {r["doc_id"]: r["kept"] for r in quality.assess(big, known).collect()} == want
+
+
+def test_false_rejections_stay_under_alpha():
+    """Cutoffs from 400 holdouts drawn 300 times: in at most a DELTA of the draws (and some luck) over ALPHA of the population is rejected."""
+    rng = np.random.default_rng(6)
+    values = {"symbol_share": rng.exponential(0.03, 40_000), "repeat_share": rng.beta(1, 12, 40_000), "dup_line_share": rng.beta(1, 20, 40_000), "long_word": rng.normal(6, 1.5, 40_000), "shout_share": rng.exponential(0.02, 40_000)}
+    step = np.full(40_000, len(quality.JOINT))
+    for i, (rule, c) in reversed([*enumerate(quality.JOINT)]):
+        step = np.where(values[rule] > c, i, step)
+    bad = 0
+    for _ in range(300):
+        pick = rng.integers(0, 40_000, 400)
+        joint = {"x": [int((step[pick] <= i).sum()) for i in range(len(quality.JOINT))]}
+        got = quality.certify({("x", r): [int((values[r][pick] > c).sum()) for c in g] for r, g in quality.GRIDS.items()}, {"x": 400}, joint=joint)
+        bad += np.any([values[r] > c for (_, r), c in got.items()], axis=0).mean() > quality.ALPHA if got else 0
+    assert bad <= 300 * quality.DELTA + 8
+
+
 def test_quality_on_documents(spark, docs, labels):
     big, known = read(spark, "/root/testdata/sf0.1", "documents"), read(spark, "/root/testdata/sf0.1", "labels")
     got = quality.assess(big, known)
