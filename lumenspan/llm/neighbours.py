@@ -9,6 +9,7 @@ force, reaches a goal; where those hold too few rows, the next likeliest follow.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +26,8 @@ NEIGHBOURS = 12
 PART_ROWS, LEAST_PARTS, MOST_PARTS = 4_000, 4, 128
 HIDDEN, EPOCHS, RATE = 128, 24, 0.003
 RECALL_GOAL = 0.97
-#: Rows and queries of one block; a part of any size is searched block by block.
-BLOCK_ROWS, BLOCK_QUERIES = 20_000, 4_000
+#: Numbers in one block of rows or queries; a part of any size is searched block by block.
+BLOCK_VALUES = 1_500_000
 TOP = 20
 
 
@@ -104,6 +105,7 @@ class Router:
     w2: np.ndarray
     b2: np.ndarray
     probes: int = 1
+    recall: float = 1.0  # of the sample's own neighbours within that many parts
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x.astype(np.float32) * self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
@@ -135,10 +137,10 @@ def train_router(x: np.ndarray, part: np.ndarray, parts: int, seed: int = 13) ->
     return Router(scale, *net)
 
 
-def fit(x: np.ndarray, rows: int, goal: float = RECALL_GOAL, part_rows: int = PART_ROWS) -> Router:
+def fit(x: np.ndarray, rows: int, goal: float = RECALL_GOAL, part_rows: int = PART_ROWS, most_parts: int = MOST_PARTS) -> Router:
     """A router for ``rows`` rows from the sample ``x``; probes reach ``goal`` recall of the sample's own neighbours."""
-    parts = LEAST_PARTS
-    while parts < MOST_PARTS and parts * part_rows < rows and parts * 64 < len(x):
+    parts = min(LEAST_PARTS, most_parts)
+    while parts < most_parts and parts * part_rows < rows and parts * 64 < len(x):
         parts *= 2
     graph = neighbour_graph(x, NEIGHBOURS) if len(x) > 1 else np.zeros((len(x), 0), np.int64)
     router = train_router(x, balanced_parts(x, graph, parts), parts)
@@ -151,10 +153,51 @@ def fit(x: np.ndarray, rows: int, goal: float = RECALL_GOAL, part_rows: int = PA
         hit = (found[:, :, None] == ranked[:, None, :probes]).any(2).mean()
         if hit >= goal:
             break
-    router.probes = probes
+    router.probes, router.recall = probes, float(hit)
     return router
 
 
+@dataclass
+class Tree:
+    """One router, or one and another for each of its parts; parts are numbered through."""
+
+    root: Router
+    children: dict[int, Router]
+
+    @property
+    def stride(self) -> int:
+        return max([1, *[len(c.b2) for c in self.children.values()]])
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The part that each row belongs to."""
+        out = self.root.scores(x).argmax(1) * self.stride
+        for p, child in self.children.items():
+            own = np.flatnonzero(out == p * self.stride)
+            if len(own):
+                out[own] += child.scores(x[own]).argmax(1)
+        return out
+
+    def probe(self, x: np.ndarray, sizes: np.ndarray, need: np.ndarray) -> list[np.ndarray]:
+        """The parts that each query looks into: the likeliest ones, and further ones until they hold ``need`` rows."""
+        ranked = np.argsort(-self.root.scores(x), axis=1, kind="stable")
+        inner = {p: np.argsort(-c.scores(x), axis=1, kind="stable") for p, c in self.children.items()}
+        out = []
+        for q, order in enumerate(ranked):
+            first, rest = [], []
+            for at, p in enumerate(order.tolist()):
+                child = self.children.get(p)
+                own = p * self.stride + (inner[p][q] if child else np.zeros(1, np.int64))
+                cut = 0 if at >= self.root.probes else child.probes if child else 1
+                first.append(own[:cut])
+                rest.append(own[cut:])
+            chosen, more = np.concatenate(first), np.concatenate(rest)
+            short = need[q] - sizes[chosen].sum()
+            if short > 0:
+                chosen = np.append(chosen, more[: int(np.searchsorted(np.cumsum(sizes[more]), short)) + 1])
+            out.append(chosen.astype(np.int32))
+        return out
+
+
 def block_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of each query's ``top`` best rows, own id left out; ties to the smaller id.
 
@@ -183,7 +226,46 @@ def block_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ro
     return tuple(np.concatenate(x) for x in out)
 
 
-def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, router: Router | None = None, goal: float = RECALL_GOAL) -> DataFrame:
+def _vectors(column, dim: int) -> np.ndarray:
+    """A batch's list column as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
+
+
+def train_tree(usable: DataFrame, dim: int, rows: int, goal: float, part_rows: int, most_parts: int) -> Tree:
+    """Routers for all ``rows`` of ``usable`` (id, v), from bounded samples: SAMPLE rows at the root, and SAMPLE rows of each of its parts where one level isn't enough."""
+    deep = rows > most_parts * part_rows
+    goal = goal**0.5 if deep else goal
+    sample = usable.where(by_hash(sample_share(SAMPLE, rows), "id")).orderBy("id").select("v").toPandas()["v"]
+    root = fit(np.array(sample.tolist(), np.float64).reshape(-1, dim), rows, goal, part_rows, most_parts)
+    if not deep:
+        return Tree(root, {})
+    spark = usable.sparkSession
+    shared = spark.sparkContext.broadcast(Tree(root, {}))
+
+    def place(batches):
+        for batch in batches:
+            home = shared.value.home(_vectors(batch.column(1), dim))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.float64())), pa.array(home, pa.int32())], names=["id", "v", "part"])
+
+    placed = materialize(usable.select("id", "v").mapInArrow(place, "id long, v array<double>, part int"), "placed")
+    held = placed.groupBy("part").count()  # at most MOST_PARTS rows
+    there = {r["part"]: r["count"] for r in held.collect()}
+    share = F.lit(0.0)
+    for part, n in there.items():
+        share = F.when(F.col("part") == part, sample_share(SAMPLE, n)).otherwise(share)
+
+    def learn(own: pa.Table) -> pa.Table:
+        own = own.sort_by("id")
+        part = own.column("part")[0].as_py()
+        child = fit(_vectors(own.column("v"), dim), there[part], goal, part_rows, most_parts)
+        return pa.table({"part": pa.array([part], pa.int32()), "router": pa.array([pickle.dumps(child)], pa.binary())})
+
+    found = placed.where(by_hash(share, "id", 11)).groupBy("part").applyInArrow(learn, "part int, router binary").collect()
+    return Tree(root, {r["part"]: pickle.loads(r["router"]) for r in found})
+
+
+def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, tree: Tree | None = None, goal: float = RECALL_GOAL, part_rows: int = PART_ROWS, most_parts: int = MOST_PARTS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that satisfies ``is_query``, its nearest other rows by inner product.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor
@@ -197,47 +279,47 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, count = sizes
     usable = usable.where(F.size("v") == dim)
-    if router is None:
-        sample = usable.where(by_hash(sample_share(SAMPLE, count), "id")).orderBy("id").select("v").toPandas()["v"]
-        router = fit(np.array(sample.tolist(), np.float64).reshape(-1, dim), count, goal)
-    shared = vectors.sparkSession.sparkContext.broadcast(router)
+    if tree is None:
+        tree = train_tree(usable, dim, count, goal, part_rows, most_parts)
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast(tree)
+    parts = len(tree.root.b2) * tree.stride
+    block = max(256, BLOCK_VALUES // dim)
 
     def route(batches):
-        net = shared.value
         for batch in batches:
-            x = batch.column(1).values.to_numpy(zero_copy_only=False)[batch.column(1).offsets[0].as_py() :][: batch.num_rows * dim].reshape(-1, dim)
-            ranked = np.argsort(-net.scores(x), axis=1, kind="stable").astype(np.int32)
-            lengths = np.where(batch.column(2).to_numpy(zero_copy_only=False), ranked.shape[1], 1)  # all parts of queries, the own one of others
-            flat = ranked[np.arange(ranked.shape[1]) < lengths[:, None]]
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.float64())), batch.column(2), lists], names=["id", "v", "asks", "parts"])
-
-    routed = materialize(usable.select("id", F.col("v").cast("array<double>").alias("v"), "asks").mapInArrow(route, "id long, v array<double>, asks boolean, parts array<int>"), "routed")
-    held = routed.groupBy(F.get("parts", F.lit(0)).alias("part")).agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    there = {r["part"]: r["n"] for r in held.collect()}  # at most MOST_PARTS
-    sizes = F.array(*[F.lit(there.get(i, 0)).cast("long") for i in range(len(router.scores(np.zeros((1, dim)))[0]))])
-    # A query looks into its first parts, and further ones until they hold ``top`` rows besides those of its id.
+            home = shared.value.home(_vectors(batch.column(1), dim))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.float64())), batch.column(2), pa.array(home, pa.int32())], names=["id", "v", "asks", "part"])
+
+    routed = materialize(usable.select("id", "v", "asks").mapInArrow(route, "id long, v array<double>, asks boolean, part int"), "routed")
+    held = routed.groupBy("part").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    there = np.zeros(parts, np.int64)
+    for r in held.collect():  # a row a part
+        there[r["part"]] = r["n"]
+    # Rows that repeat a query's id are none of its neighbours.
     again = routed.groupBy("id").count().where("count > 1")
-    need = F.lit(top) + F.coalesce("count", F.lit(1))
-    short = lambda at: (at["probes"] < router.probes) | (at["n"] < need)
-    start = F.struct(F.lit(0).alias("probes"), F.lit(0).cast("long").alias("n"))
-    probes = F.aggregate("parts", start, lambda at, part: F.when(short(at), F.struct((at["probes"] + 1).alias("probes"), (at["n"] + F.get(sizes, part)).alias("n"))).otherwise(at), lambda at: at["probes"])
-    asking = routed.where("asks").join(again, "id", "left").select("id", "v", F.slice("parts", F.lit(1), probes).alias("parts"))
-    asked = asking.select(F.explode("parts").alias("part")).groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("rounds"))
-    grid = F.broadcast(held.join(asked, "part"))  # a row a part: at most MOST_PARTS
+    asking = routed.where("asks").join(again, "id", "left").select("id", "v", (F.lit(top) + F.coalesce("count", F.lit(1))).alias("need"))
+
+    def ask(batches):
+        for batch in batches:
+            found = shared.value.probe(_vectors(batch.column(1), dim), there, batch.column(2).to_numpy())
+            ends = np.cumsum([0] + [len(f) for f in found]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(ends, np.concatenate([*found, np.zeros(0, np.int32)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "v", "parts"])
+
+    asking = materialize(asking.mapInArrow(ask, "id long, v array<double>, parts array<int>"), "asking")
+    asked = asking.select(F.explode("parts").alias("part")).groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("rounds"))
+    grid = F.broadcast(held.join(asked, "part"))  # a row a part: at most the square of MOST_PARTS
 
     def spread(n, seed, key="id"):
         return F.pmod(F.xxhash64(key, F.lit(seed)), n).cast("int")
 
-    rows = routed.select("id", "v", F.get("parts", F.lit(0)).alias("part")).join(grid, "part").withColumn("block", spread(F.col("blocks"), 1)).withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
+    rows = routed.select("id", "v", "part").join(grid, "part").withColumn("block", spread(F.col("blocks"), 1)).withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
     asks = asking.select(F.col("id").alias("asker"), F.col("v").alias("asked"), F.explode("parts").alias("part")).join(grid, "part").withColumn("round", spread(F.col("rounds"), 2, "asker")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left_cell, cell = [F.col(c).alias(f"asked_{c}") for c in ("part", "round", "block")], ["part", "round", "block"]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        def matrix(t: pa.Table) -> np.ndarray:
-            return np.asarray(t.column(1).combine_chunks().flatten(), np.float64).reshape(-1, dim)
-
-        q, r, s = block_search(left.column(0).to_numpy(), matrix(left), right.column(0).to_numpy(), matrix(right), top)
+        q, r, s = block_search(left.column(0).to_numpy(), _vectors(left.column(1), dim), right.column(0).to_numpy(), _vectors(right.column(1), dim), top)
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(r, pa.int64()), "score": pa.array(s, pa.float64())})
 
     met = asks.select("asker", "asked", *left_cell).groupBy(*[f"asked_{c}" for c in cell]).cogroup(rows.select("id", "v", *cell).groupBy(*cell)).applyInArrow(meet, "query_id long, vec_id long, score double")

@@ -39,6 +39,30 @@ def test_recall(spark):
         assert found == sorted(found, key=lambda x: (-x[2], x[1])) or [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
 
 
+def test_parts_grow_with_the_rows(spark):
+    """Two levels: recall stays, and with every part probed the result is brute force."""
+    e = read(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding")
+    rows = [(r["vec_id"], r["embedding"]) for r in e.collect()]
+    want = brute(rows, lambda i: i % 20 == 0)
+    for goal, least in ((0.95, 0.9), (1.0, 1.0)):
+        got: dict = {}
+        for r in neighbours.search(e, F.col("vec_id") % 20 == 0, goal=goal, part_rows=120, most_parts=4).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert sum(len(got[q] & {v for v, _ in w}) for q, w in want.items()) >= least * sum(map(len, want.values()))
+
+
+def test_probes_go_on_until_enough_rows_are_covered():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6))
+    child = {p: neighbours.fit(x[p::4], 100, 0.5, 25, 4) for p in range(4)}
+    tree = neighbours.Tree(neighbours.fit(x, 400, 0.5, 100, 4), child)
+    sizes = np.bincount(tree.home(x), minlength=4 * tree.stride)
+    assert sizes.sum() == 400
+    for need in (1, 30, 150, 400, 1000):
+        for found in tree.probe(x[:20], sizes, np.full(20, need)):
+            assert len(set(found.tolist())) == len(found) and sizes[found].sum() >= min(need, 400)
+
+
 def test_ties_odd_vectors_and_few_rows(spark):
     rng = np.random.default_rng(2)
     same = [1.0, 2.0, 2.0]
