@@ -429,52 +429,29 @@ def dense_enrich(spark, sf_dir):
 
 # -- results ------------------------------------------------------------------
 
-HITS_SQL = "hits AS (SELECT file_id, path, filename, extension, folder_path, modified_at, doc_id, round(size_bytes % 101 / 100.0, 6) AS score, CAST(doc_id % 7 + 1 AS INT) AS match_source FROM files WHERE doc_id % 3 <> 1)"
-#: The queries named ..._all take every file; their namesakes take a part, as their SQL does.
-ALL_HITS_SQL = HITS_SQL.replace(" WHERE doc_id % 3 <> 1", "")
+HITS_SQL = "hits AS (SELECT file_id, path, filename, extension, folder_path, modified_at, doc_id, round(size_bytes % 101 / 100.0, 6) AS score, CAST(doc_id % 7 + 1 AS INT) AS match_source FROM files)"
 STEM_SQL = "regexp_replace(filename, '\\.[^./]*$', '')"
 
 
-def _all_hits(spark, sf_dir) -> DataFrame:
-    return T.files(spark, sf_dir).withColumn("score", F.round((F.col("size_bytes") % 101) / 100.0, 6)).withColumn("match_source", (F.col("doc_id") % 7 + 1).cast("int"))
-
-
 def _hits(spark, sf_dir) -> DataFrame:
-    return _all_hits(spark, sf_dir).where("doc_id % 3 <> 1")
-
-
-FAMILY_SQL = "lower('/corpus|doc ' || regexp_extract(filename, 'doc_(\\d+)_v', 1))"
-
-
-@register(f"SELECT {FAMILY_SQL} AS family_key, list(file_id ORDER BY score DESC, file_id) AS files, max(modified_at) AS latest, max(score) AS score, count(*) AS n_files FROM hits GROUP BY 1", FILES_SQL, HITS_SQL.replace("WHERE doc_id % 3 <> 1", "WHERE doc_id >= 200"))
-def result_families(spark, sf_dir):
-    """AGG7, FN18"""
-    hits = T.files(spark, sf_dir).where("doc_id >= 200").withColumn("folder_path", F.lit("/corpus")).withColumn("score", F.round((F.col("size_bytes") % 101) / 100.0, 6))
-    return R.families(hits)
-
-
-@register(f"SELECT file_id, versions, CAST(position AS INT) AS position, position = 1 AS is_latest FROM (SELECT file_id, count(*) OVER (PARTITION BY {FAMILY_SQL}) AS versions, row_number() OVER (PARTITION BY {FAMILY_SQL} ORDER BY score DESC, file_id) AS position FROM hits) WHERE versions > 1", FILES_SQL, HITS_SQL.replace("WHERE doc_id % 3 <> 1", "WHERE doc_id >= 200"))
-def family_positions(spark, sf_dir):
-    """TOP10"""
-    hits = T.files(spark, sf_dir).where("doc_id >= 200").withColumn("folder_path", F.lit("/corpus")).withColumn("score", F.round((F.col("size_bytes") % 101) / 100.0, 6))
-    return R.family_positions(hits)
+    return T.files(spark, sf_dir).withColumn("score", F.round((F.col("size_bytes") % 101) / 100.0, 6)).withColumn("match_source", (F.col("doc_id") % 7 + 1).cast("int"))
 
 
 # Numbers of one or two digits, and those that read as dates, are no part of a family's name.
-ALL_FAMILY_SQL = "'/corpus|doc' || CASE WHEN regexp_full_match(n, '\\d{1,2}|[012]\\d(0[1-9]|1[0-2])(0[1-9]|[12]\\d|3[01])|20\\d{6}') THEN '' ELSE ' ' || n END"
+FAMILY_SQL = "'/corpus|doc' || CASE WHEN regexp_full_match(n, '\\d{1,2}|[012]\\d(0[1-9]|1[0-2])(0[1-9]|[12]\\d|3[01])|20\\d{6}') THEN '' ELSE ' ' || n END"
 NUMBERED_SQL = "numbered AS (SELECT *, regexp_extract(filename, 'doc_(\\d+)_v', 1) AS n FROM hits)"
 
 
-@register(f"SELECT {ALL_FAMILY_SQL} AS family_key, list(file_id ORDER BY score DESC, file_id) AS files, max(modified_at) AS latest, max(score) AS score, count(*) AS n_files FROM numbered GROUP BY 1", FILES_SQL, ALL_HITS_SQL, NUMBERED_SQL)
-def result_families_all(spark, sf_dir):
+@register(f"SELECT {FAMILY_SQL} AS family_key, list(file_id ORDER BY score DESC, file_id) AS files, max(modified_at) AS latest, max(score) AS score, count(*) AS n_files FROM numbered GROUP BY 1", FILES_SQL, HITS_SQL, NUMBERED_SQL)
+def result_families(spark, sf_dir):
     """AGG7, FN18"""
-    return R.families(_all_hits(spark, sf_dir).withColumn("folder_path", F.lit("/corpus")))
+    return R.families(_hits(spark, sf_dir).withColumn("folder_path", F.lit("/corpus")))
 
 
-@register(f"SELECT file_id, versions, CAST(position AS INT) AS position, position = 1 AS is_latest FROM (SELECT file_id, count(*) OVER (PARTITION BY {ALL_FAMILY_SQL}) AS versions, row_number() OVER (PARTITION BY {ALL_FAMILY_SQL} ORDER BY score DESC, file_id) AS position FROM numbered) WHERE versions > 1", FILES_SQL, ALL_HITS_SQL, NUMBERED_SQL)
-def family_positions_all(spark, sf_dir):
+@register(f"SELECT file_id, versions, CAST(position AS INT) AS position, position = 1 AS is_latest FROM (SELECT file_id, count(*) OVER (PARTITION BY {FAMILY_SQL}) AS versions, row_number() OVER (PARTITION BY {FAMILY_SQL} ORDER BY score DESC, file_id) AS position FROM numbered) WHERE versions > 1", FILES_SQL, HITS_SQL, NUMBERED_SQL)
+def family_positions(spark, sf_dir):
     """TOP10"""
-    return R.family_positions(_all_hits(spark, sf_dir).withColumn("folder_path", F.lit("/corpus")))
+    return R.family_positions(_hits(spark, sf_dir).withColumn("folder_path", F.lit("/corpus")))
 
 
 FOLDERS_SQL = "SELECT lower(folder_path) AS folder_key, min(folder_path) AS folder, count(*) AS n_files, max(score) AS score, max(modified_at) AS latest FROM {} GROUP BY 1 ORDER BY score DESC, folder_key LIMIT 50"
@@ -486,12 +463,6 @@ def folder_rollup(spark, sf_dir):
     return R.folders(_hits(spark, sf_dir))
 
 
-@register(FOLDERS_SQL.format("hits"), FILES_SQL, ALL_HITS_SQL)
-def folder_rollup_all(spark, sf_dir):
-    """AGG8"""
-    return R.folders(_all_hits(spark, sf_dir))
-
-
 MERGED_SQL = "SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY folder_key ORDER BY n_files DESC, score DESC) AS n FROM (SELECT * FROM (" + FOLDERS_SQL.format("hits") + ") UNION ALL SELECT * FROM (" + FOLDERS_SQL.format("(SELECT * FROM hits WHERE (match_source & 4) <> 0)") + "))) WHERE n = 1 ORDER BY n_files DESC, folder_key LIMIT 10"
 
 
@@ -501,12 +472,6 @@ def folder_merge(spark, sf_dir):
     return _merged(_hits(spark, sf_dir))
 
 
-@register(MERGED_SQL, FILES_SQL, ALL_HITS_SQL)
-def folder_merge_all(spark, sf_dir):
-    """AGG9, SET1"""
-    return _merged(_all_hits(spark, sf_dir))
-
-
 def _merged(h: DataFrame) -> DataFrame:
     return R.merge_folders(R.folders(h), R.folders(h.where(F.col("match_source").bitwiseAND(F.lit(4)) != 0)))
 
@@ -530,12 +495,6 @@ def content_threshold(spark, sf_dir):
     return R.content_threshold(_hits(spark, sf_dir)).select("file_id", "score")
 
 
-@register(THRESHOLD_SQL, FILES_SQL, ALL_HITS_SQL)
-def content_threshold_all(spark, sf_dir):
-    """FLT15"""
-    return R.content_threshold(_all_hits(spark, sf_dir)).select("file_id", "score")
-
-
 OPENED_SQL = "opened AS (SELECT lower(path) AS path_key, max(modified_at) AS last_opened FROM files WHERE doc_id % 5 = 0 GROUP BY 1)"
 SECTIONS_SQL = """both_ AS (SELECT file_id, path, score, match_source, 0 AS list FROM hits UNION ALL SELECT file_id, path, score / 2, 1, 1 FROM (SELECT *, round(size_bytes % 101 / 100.0, 6) AS score FROM files WHERE doc_id % 50 = 1)),
 names AS (SELECT *, row_number() OVER (ORDER BY list, score DESC, file_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY list, score DESC) AS n FROM both_ WHERE (match_source & 1) <> 0) WHERE n = 1),
@@ -548,11 +507,11 @@ placed AS (SELECT file_id, 'filename' AS section, CAST(place AS INT) AS place, s
 UNION ALL SELECT file_id, 'opened', CAST(place AS INT), score FROM seen WHERE place <= 5 UNION ALL SELECT file_id, 'content', CAST(place AS INT), score FROM content WHERE place <= 50)"""
 
 
-def _placed(spark, sf_dir, hits: Query = _hits) -> DataFrame:
+def _placed(spark, sf_dir) -> DataFrame:
     f = T.files(spark, sf_dir)
     quick = f.where("doc_id % 50 = 1").select("file_id", "path", (F.round((F.col("size_bytes") % 101) / 100.0, 6) / 2).alias("score"))
     opened = f.where("doc_id % 5 = 0").groupBy(X.click_path(F.col("path")).alias("path_key")).agg(F.max("modified_at").alias("last_opened"))
-    return R.sections(hits(spark, sf_dir), quick, opened)
+    return R.sections(_hits(spark, sf_dir), quick, opened)
 
 
 @register("SELECT * FROM placed", FILES_SQL, HITS_SQL, OPENED_SQL, SECTIONS_SQL)
@@ -561,12 +520,6 @@ def result_sections(spark, sf_dir):
     return _placed(spark, sf_dir)
 
 
-@register("SELECT * FROM placed", FILES_SQL, ALL_HITS_SQL, OPENED_SQL, SECTIONS_SQL)
-def result_sections_all(spark, sf_dir):
-    """JN15, SET1, SET2, SET5, TOP8, Q10, Q29"""
-    return _placed(spark, sf_dir, _all_hits)
-
-
 POSITIONS_SQL = "SELECT file_id, CAST(row_number() OVER (ORDER BY CASE section WHEN 'filename' THEN 0 WHEN 'opened' THEN 1 ELSE 2 END, place) - 1 AS INT) AS position FROM placed"
 
 
@@ -576,12 +529,6 @@ def result_positions(spark, sf_dir):
     return R.positions(_placed(spark, sf_dir)).select("file_id", "position")
 
 
-@register(POSITIONS_SQL, FILES_SQL, ALL_HITS_SQL, OPENED_SQL, SECTIONS_SQL)
-def result_positions_all(spark, sf_dir):
-    """TOP12"""
-    return R.positions(_placed(spark, sf_dir, _all_hits)).select("file_id", "position")
-
-
 @register("SELECT folder_path, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE 1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS distance FROM (SELECT folder_path, coalesce(list(DISTINCT extension) FILTER (doc_id % 3 = 0), []) AS a, coalesce(list(DISTINCT extension) FILTER (doc_id % 2 = 0), []) AS b FROM files GROUP BY folder_path)", FILES_SQL)
 def jaccard(spark, sf_dir):
     """SET4"""
@@ -592,7 +539,7 @@ def jaccard(spark, sf_dir):
 @register()
 def badges(spark, sf_dir):
     """§2.10, JN14, AGG10, TOP9 (tested against a plain version)."""
-    h = _all_hits(spark, sf_dir)
+    h = _hits(spark, sf_dir)
     opened = h.where("doc_id % 5 = 0").select(X.click_path(F.col("path")).alias("path_key"), (F.col("modified_at") + F.expr("interval 150 days")).alias("last_opened"), (F.col("doc_id") % 9).alias("clicks"))
     matched = h.where("doc_id % 2 = 0").select("file_id", (F.col("doc_id") % 4).alias("match_count"), (F.col("doc_id") % 5).cast("int").alias("first_match"))
     out = R.badges(h, now(), opened, R.family_positions(h), matched)
@@ -757,19 +704,18 @@ def highlights(spark, sf_dir):
     return T.table(spark, sf_dir, "documents").select("doc_id", X.highlight(F.col("text"), ["erin"]).alias("marked"))
 
 
+def _decoded_sql(c: str) -> str:
+    """The references that the pages hold, with and without their semicolon; the ampersand last, so none is decoded twice."""
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("nbsp", " "), ("lt", "<"), ("gt", ">")):
+        c = f"regexp_replace({c}, '&{name};?', '{char}', 'g')"
+    return f"regexp_replace({c}, '&amp;?', '&', 'g')"
+
+
 @register(
-    """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(?:script)[^>]*>.*?</script>|<(?:style)[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS text
-FROM pages WHERE NOT regexp_matches(html, '&(#|lt|gt|apos)') AND NOT regexp_matches(html, '&(a|am|amp|q|qu|quo|quot)(<|[^a-z;])')"""
+    f"""SELECT page_id, trim(regexp_replace({_decoded_sql("regexp_replace(regexp_replace(html, '(?is)<(?:script)[^>]*>.*?</script>|<(?:style)[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS text FROM pages"""
 )
 def html_text(spark, sf_dir):
-    """SRC4, FN30, on pages whose references SQL can decode."""
-    p = T.table(spark, sf_dir, "pages").where(~F.col("html").rlike("&(#|lt|gt|apos)") & ~F.col("html").rlike("&(a|am|amp|q|qu|quo|quot)(<|[^a-z;])"))
-    return p.select("page_id", X.html_text(F.col("html")).alias("text"))
-
-
-@register()
-def html_text_all(spark, sf_dir):
-    """SRC4, FN30 on every page; SQL can't decode all references (tested against html.unescape)."""
+    """SRC4, FN30 on every page; references that the tables don't hold are tested against html.unescape."""
     return T.table(spark, sf_dir, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
 
 
