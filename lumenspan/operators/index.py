@@ -1,81 +1,191 @@
-"""The stored inverted index: postings partitioned by the head of their term (SNK12, §1.3).
+"""The stored inverted index (SNK12, SNK13, §1.3).
 
-A query for a term or prefix of three characters or more reads one partition; the term
-filter is pushed to its Parquet files, which are sorted by term.
+Postings lie sorted by term in files of about ROWS_A_FILE rows, so their number grows with
+the corpus and a frequent term has as many files as it needs; a small directory tells
+each file's first and last term. A query opens only the files that hold its terms, and
+the term filter is pushed down to them. Chunks are stored too, sorted by id, so the few
+candidates' texts are found without a scan of all. Corpus statistics are one row.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.query import Query, atoms
-from .search import B, COLUMNS, K1, _atom_terms, matches, with_terms
+from ..sources import store
+from .search import B, COLUMNS, K1, _atom_terms, matches
 
-HEAD, PARTITIONS = 3, 64
-VERSION = "1"
+#: Changes whenever terms would come out otherwise; an index of another version is built anew.
+VERSION = "2"
+ROWS_A_FILE = 1_000_000
+#: Files of the directory are few enough to be told apart on the driver; a prefix may span many.
+NAMES = [c for c, _, _ in COLUMNS]
+POSTINGS = "term string, chunk_id string, file_id string, chunk_index int, long int, " + ", ".join(f"n_{c} int, at_{c} array<int>" for c in NAMES)
 
 
-def _bucket(term):
-    return F.pmod(F.crc32(F.substring(term, 1, HEAD)), F.lit(PARTITIONS)).cast("int")
+def _terms(tokenizer: str):
+    import regex
+
+    if tokenizer == "simple":
+        run = regex.compile(r"[\p{L}\p{N}]+")
+        return lambda text: run.findall(text.lower()) if text else []
+    return lambda text: X.porter_terms(X.split_bigrams(text))
+
+
+def postings(chunks: DataFrame, tokenizer: str = "porter") -> DataFrame:
+    """One row per chunk and term: how often it occurs in each column and where; long counts the chunk's terms of all columns. Each chunk is read once and nothing is shuffled."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(POSTINGS))
+
+    def run(batches):
+        cut = _terms(tokenizer)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 128):
+                out: dict[str, list] = {f.name: [] for f in arrow}
+                for row in batch.slice(low, 128).to_pylist():
+                    found: dict[str, list[list[int]]] = defaultdict(lambda: [[] for _ in NAMES])
+                    long = 0
+                    for k, c in enumerate(NAMES):
+                        for i, t in enumerate(cut(row[c])):
+                            found[t][k].append(i)
+                            long += 1
+                    for t, places in found.items():
+                        for name in ("chunk_id", "file_id", "chunk_index"):
+                            out[name].append(row[name])
+                        out["term"].append(t)
+                        out["long"].append(long)
+                        for c, p in zip(NAMES, places, strict=True):
+                            out[f"n_{c}"].append(len(p))
+                            out[f"at_{c}"].append(p)
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+
+    return chunks.select("chunk_id", "file_id", "chunk_index", *NAMES).mapInArrow(run, POSTINGS)
+
+
+def build(chunks: DataFrame, path: str, tokenizer: str = "porter") -> None:
+    """Writes postings, their directory, chunks and corpus statistics below ``path``; the statistics come last and tell that all is there."""
+    spark, home = chunks.sparkSession, f"{path}/version={VERSION}-{tokenizer}"
+    raw = f"{home}/raw"
+    chunks.write.mode("overwrite").parquet(f"{home}/plain")
+    kept = spark.read.schema(chunks.schema).parquet(f"{home}/plain")
+    postings(kept, tokenizer).write.mode("overwrite").parquet(raw)
+    found = spark.read.schema(POSTINGS).parquet(raw)
+    n = found.count()
+    files = max(1, -(-n // ROWS_A_FILE))
+    found.repartitionByRange(files, "term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{home}/postings")
+    stored = spark.read.schema(POSTINGS).parquet(f"{home}/postings")
+    ends = stored.groupBy(F.input_file_name().alias("file")).agg(F.min("term").alias("low"), F.max("term").alias("high"), F.count("*").alias("rows"))
+    ends.coalesce(1).write.mode("overwrite").parquet(f"{home}/directory")
+    many = max(1, -(-kept.count() // ROWS_A_FILE))
+    kept.repartitionByRange(many, "chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(f"{home}/chunks")
+    longs = found.groupBy("chunk_id").agg(F.max("long").alias("long")).agg(F.coalesce(F.sum("long"), F.lit(0)).alias("terms"))
+    count = kept.agg(F.count("*").alias("n"))
+    count.crossJoin(longs).coalesce(1).write.mode("overwrite").parquet(f"{home}/corpus")  # one row each
+    store.delete(spark, raw)
+    store.delete(spark, f"{home}/plain")
+
+
+class Index:
+    """A stored index that is there; ``ensure`` makes one."""
+
+    def __init__(self, spark: SparkSession, path: str, tokenizer: str = "porter"):
+        self.spark, self.tokenizer, self.home = spark, tokenizer, f"{path}/version={VERSION}-{tokenizer}"
+        row = spark.read.parquet(f"{self.home}/corpus").first()
+        self.rows, self.average = row["n"], row["terms"] / row["n"] if row["n"] else 1.0
+        self.directory = spark.read.parquet(f"{self.home}/directory")
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.home}/chunks")
+
+    def _open(self, term: str, prefix: bool) -> DataFrame:
+        """Postings of a term, or of all terms that go on from it, out of the files that may hold them."""
+        own = F.col("low").startswith(term) | (F.col("low") <= term) & (F.col("high") >= term) if prefix else (F.col("low") <= term) & (F.col("high") >= term)
+        files = [r["file"] for r in self.directory.where(own).select("file").collect()]
+        rows = self.spark.read.schema(POSTINGS)
+        rows = rows.parquet(*files) if files else self.spark.createDataFrame([], POSTINGS)
+        return rows.where(F.col("term").startswith(term) if prefix else F.col("term") == term)
+
+    def _atom(self, atom) -> DataFrame | None:
+        """(chunk_id, file_id, chunk_index, long, n_...) of the chunks where an atom occurs; None for one without terms."""
+        parts = _atom_terms(atom, self.tokenizer)
+        key = ["chunk_id", "file_id", "chunk_index", "long"]
+        if not parts:
+            return None
+        if len(parts) == 1:
+            rows = self._open(parts[0], atom.prefix).select(*key, *[f"n_{c}" for c in NAMES])
+            # Several terms may go on from a prefix.
+            return rows.groupBy(*key).agg(*[F.sum(f"n_{c}").alias(f"n_{c}") for c in NAMES]) if atom.prefix else rows
+        met = None
+        for k, term in enumerate(parts):
+            last = atom.prefix and k == len(parts) - 1
+            starts = [F.transform(f"at_{c}", _back(k)).alias(f"s_{c}") for c in NAMES]
+            rows = self._open(term, last).select(*key, *starts)
+            if last:
+                rows = rows.groupBy(*key).agg(*[F.flatten(F.collect_list(f"s_{c}")).alias(f"s_{c}") for c in NAMES])
+            if met is None:
+                met = rows
+            else:
+                other = rows.select(F.col("chunk_id").alias("o"), *[F.col(f"s_{c}").alias(f"o_{c}") for c in NAMES])
+                met = met.join(other, F.col("chunk_id") == F.col("o")).select(*key, *[F.array_intersect(f"s_{c}", f"o_{c}").alias(f"s_{c}") for c in NAMES])
+        counts = met.select(*key, *[F.size(f"s_{c}").alias(f"n_{c}") for c in NAMES])
+        return counts.where(reduce(lambda a, b: a + b, [F.col(f"n_{c}") for c in NAMES]) > 0)
+
+    def search(self, query: Query) -> DataFrame:
+        """FTS2-FTS7, AGG24: matching chunks (chunk_id, file_id, chunk_index, bm25, match_source) as ``operators.search.bm25`` gives them.
+
+        Only the query's own postings are read and shuffled.
+        """
+        asked = atoms(query)
+        found = [(i, rows) for i, a in enumerate(asked) if (rows := self._atom(a)) is not None]
+        if not found:
+            return self.spark.createDataFrame([], "chunk_id string, file_id string, chunk_index int, bm25 double, match_source int")
+        hits = reduce(DataFrame.unionByName, [rows.withColumn("atom", F.lit(i)) for i, rows in found])
+        df = hits.groupBy("atom").agg(F.count("*").alias("df"))
+        known = hits.join(F.broadcast(df), "atom")  # a row an atom
+        f = reduce(lambda a, b: a + b, [F.col(f"n_{c}") * w for c, w, _ in COLUMNS])
+        idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(self.rows)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("long") / F.lit(self.average)))
+        source = reduce(lambda a, b: a.bitwiseOR(b), [F.max(F.when(F.col(f"n_{c}") > 0, bit).otherwise(0)) for c, _, bit in COLUMNS])
+        per = known.withColumn("part", part).groupBy("chunk_id", "file_id", "chunk_index").agg(F.sum("part").alias("bm25"), source.alias("match_source"), F.collect_set("atom").alias("have"))
+        return per.where(matches(query, {a: F.array_contains("have", i) for i, a in enumerate(asked)})).drop("have")
+
+    def texts(self, chunk_ids: list[str]) -> DataFrame:
+        """The stored chunks of a few ids: the list is pushed down to files sorted by id."""
+        return self.chunks.where(F.col("chunk_id").isin(chunk_ids[:MOST_TEXTS]))
+
+
+MOST_TEXTS = 600
 
 
 def _back(k: int):
     return lambda p: p - k
 
 
-def postings(chunks: DataFrame, tokenizer: str = "porter") -> DataFrame:
-    """(chunk_id, file_id, chunk_index, column, term, tf, positions, long): one row per chunk, column and term; long counts the chunk's terms of all columns."""
-    rows = with_terms(chunks, tokenizer)
-    long = reduce(lambda a, b: a + b, [F.size(f"_{c}") for c, _, _ in COLUMNS])
-
-    def tag(k: int):
-        return lambda t, i: F.struct(F.lit(k).alias("column"), t.alias("term"), i.alias("pos"))
-
-    tagged = F.concat(*[F.transform(F.col(f"_{c}"), tag(k)) for k, (c, _, _) in enumerate(COLUMNS)])
-    flat = rows.select("chunk_id", "file_id", "chunk_index", long.alias("long"), F.explode(tagged).alias("t")).select("chunk_id", "file_id", "chunk_index", "long", "t.*")
-    # A chunk's terms are grouped where the chunk lies: the key starts with chunk_id and combines before the shuffle.
-    return flat.groupBy("chunk_id", "file_id", "chunk_index", "long", "column", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
-def build(chunks: DataFrame, path: str, tokenizer: str = "porter", files_each: int = 4) -> None:
-    """Writes postings, sorted by term within their partition, and the one row of corpus statistics; ``files_each`` tasks share a partition."""
-    found = postings(chunks, tokenizer).withColumn("bucket", _bucket(F.col("term")))
-    found.repartition(PARTITIONS * files_each, "bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(files_each))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={VERSION}/postings")
-    rows = with_terms(chunks, tokenizer)
-    long = reduce(lambda a, b: a + b, [F.size(f"_{c}") for c, _, _ in COLUMNS])
-    rows.agg(F.count("*").alias("n"), F.avg(long).alias("average")).write.mode("overwrite").parquet(f"{path}/version={VERSION}/corpus")
-
-
-def lookup(spark: SparkSession, path: str, query: Query, tokenizer: str = "porter") -> DataFrame:
-    """Matching chunks with ``bm25`` by the stored index: (chunk_id, file_id, chunk_index, bm25). Phrases need their terms' positions in a row."""
-    import zlib
-
-    stored = spark.read.parquet(f"{path}/version={VERSION}/postings")
-    corpus = spark.read.parquet(f"{path}/version={VERSION}/corpus")
-    asked = atoms(query)
-    weight = F.element_at(F.array(*[F.lit(w) for _, w, _ in COLUMNS]), F.col("column") + 1)
-    parts = []
-    for i, a in enumerate(asked):
-        words = _atom_terms(a, tokenizer)
-        for k, w in enumerate(words):
-            prefix = a.prefix and k == len(words) - 1
-            rows = stored.where(F.col("term").startswith(w) if prefix else F.col("term") == w)
-            if not prefix or len(w) >= HEAD:
-                rows = rows.where(F.col("bucket") == zlib.crc32(w[:HEAD].encode()) % PARTITIONS)
-            parts.append(rows.select("chunk_id", "file_id", "chunk_index", "long", "column", F.lit(i).alias("atom"), F.lit(len(words)).alias("parts"), F.transform("positions", _back(k)).alias("starts"), F.lit(k).alias("part")))
-    if not parts:
-        return stored.select("chunk_id", "file_id", "chunk_index", F.lit(0.0).alias("bm25")).limit(0)
-    met = reduce(DataFrame.unionByName, parts)
-    # A phrase occurs where every part of it starts; single terms need no grouping by start.
-    starts = met.select("chunk_id", "file_id", "chunk_index", "long", "column", "atom", "parts", "part", F.explode("starts").alias("start"))
-    spots = starts.groupBy("chunk_id", "file_id", "chunk_index", "long", "column", "atom", "parts", "start").agg(F.countDistinct("part").alias("have")).where("have = parts")
-    tf = spots.groupBy("chunk_id", "file_id", "chunk_index", "long", "atom").agg(F.sum(weight).alias("f"))
-    n = tf.groupBy("atom").agg(F.count("*").alias("df"))
-    known = tf.join(F.broadcast(n), "atom").crossJoin(F.broadcast(corpus))  # a row an atom, and one row
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    scored = known.withColumn("part_score", idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("long") / F.col("average"))))
-    per = scored.groupBy("chunk_id", "file_id", "chunk_index").agg(F.sum("part_score").alias("bm25"), F.collect_set("atom").alias("have"))
-    return per.where(matches(query, {a: F.array_contains("have", i) for i, a in enumerate(asked)})).drop("have")
+def ensure(spark: SparkSession, path: str, chunks, tokenizer: str = "porter") -> Index:
+    """SNK12: the index below ``path``, built first where it is missing, half done or of another version, which then goes.
+
+    ``chunks`` is called for the chunk table only if it has to be built.
+    """
+    own = f"version={VERSION}-{tokenizer}"
+    if not store.exists(spark, f"{path}/{own}/corpus/_SUCCESS"):
+        build(chunks(), path, tokenizer)
+        for name in store.names(spark, path):
+            if name != own and name.endswith(f"-{tokenizer}"):
+                store.delete(spark, f"{path}/{name}")
+    return Index(spark, path, tokenizer)
+
+
+def synced(stored: DataFrame, changes: DataFrame, key: str = "id", columns: tuple[str, ...] = ("subject", "body")) -> DataFrame:
+    """SNK13: an index of mails (key, terms) after their ``changes`` (key, op: insert, update or delete; the columns): deleted and changed ones go, new texts come in."""
+    gone = stored.join(changes.select(key).distinct(), key, "left_anti")
+    fresh = changes.where(F.lower("op").isin("insert", "update")).select(key, X.terms(F.concat_ws(" ", *columns), "simple").alias("terms"))
+    return gone.select(key, "terms").unionByName(fresh)

@@ -141,16 +141,20 @@ def best_per_file(hits: DataFrame, options: Options) -> DataFrame:
     return out.where(ext) if options.extensions and options.filter_stage == "post" else out
 
 
-def search(chunks: DataFrame, files: DataFrame, text: str, as_of: Column, options: Options = Options(), boosts: DataFrame | None = None) -> DataFrame:
-    """The whole keyword search: best files for a query in words; no rows for a query without any."""
+def search(chunks, files: DataFrame, text: str, as_of: Column, options: Options = Options(), boosts: DataFrame | None = None) -> DataFrame:
+    """The whole keyword search: best files for a query in words; no rows for a query without any.
+
+    ``chunks`` is a stored index, of which only the query's terms are read, or a table
+    of chunks, which is scanned.
+    """
+    from ..functions.query import is_stop, tokens
+
     query = parse(text)
     if query is None:
         query = Any((Atom(""), Atom("")))
-    best = candidates(bm25(chunks, query, options.tokenizer), options)
-    from ..functions.query import is_stop, tokens
-
+    found = bm25(chunks, query, options.tokenizer) if isinstance(chunks, DataFrame) else chunks.search(query)
     plain = [t for t in tokens(text or "") if not is_stop(t)]
-    return best_per_file(score_hits(best, files, plain, as_of, boosts), options)
+    return best_per_file(score_hits(candidates(found, options), files, plain, as_of, boosts), options)
 
 
 def filename_matches(files: DataFrame, token: str, limit: int = 20, tokenizer: str = "porter") -> DataFrame:

@@ -14,11 +14,13 @@ from ..operators import catalogue as C
 from ..operators import chunks as K
 from ..operators import dense as D
 from ..operators import feedback as B
+from ..operators import index as I
 from ..operators import logs as L
 from ..operators import mutations as M
 from ..operators import results as R
 from ..operators import search as S
 from ..sources import corpus as T
+from ..sources import store
 from ..sources.corpus import AS_OF, CHUNKS_SQL, CLICKS_SQL, FILES_SQL, LOG_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,8 +90,15 @@ SIMPLE = S.Options(top=20, per_file=1, tokenizer="simple")
 TOP_SQL = "SELECT file_id, chunk_id, round(bm25, 6) AS bm25, match_source FROM scored ORDER BY bm25 DESC, chunk_id LIMIT 60"
 
 
-def _top_chunks(spark: SparkSession, sf_dir: str, query) -> DataFrame:
-    best = S.candidates(S.bm25(T.chunks(spark, sf_dir), query, "simple").withColumn("bm25", F.round("bm25", 6)), SIMPLE)
+def index(spark: SparkSession, sf_dir: str, tokenizer: str = "simple") -> I.Index:
+    """The stored index of a corpus in the shared folder, built on first use and whenever documents or version change."""
+    at = f"{store.shared_dir(spark)}/lumenspan-index/{store.stamp(spark, f'{sf_dir}/documents.parquet')}"
+    return I.ensure(spark, at, lambda: T.chunks(spark, sf_dir), tokenizer)
+
+
+def _top_chunks(spark: SparkSession, sf_dir: str, query, stored: bool = True) -> DataFrame:
+    found = index(spark, sf_dir).search(query) if stored else S.bm25(T.chunks(spark, sf_dir), query, "simple")
+    best = S.candidates(found.withColumn("bm25", F.round("bm25", 6)), SIMPLE)
     return best.select("file_id", "chunk_id", "bm25", "match_source")
 
 
@@ -111,6 +120,18 @@ def fts_bm25_phrase(spark, sf_dir):
     return _top_chunks(spark, sf_dir, PHRASE)
 
 
+@register(TOP_SQL, FILES_SQL, CHUNKS_SQL, bm25_ctes([Atom("erin"), Atom("thing", True)], "{h0} AND {h1}"))
+def fts_scan(spark, sf_dir):
+    """FTS1-FTS7 without an index: for tables that are searched once."""
+    return _top_chunks(spark, sf_dir, AND_TERMS, False)
+
+
+@register(TOP_SQL, FILES_SQL, CHUNKS_SQL, bm25_ctes([Atom("erin"), Atom("of the thi", True)], "{h0} OR {h1}"))
+def fts_bm25_phrase_prefix(spark, sf_dir):
+    """FTS2, FTS3: a phrase whose last term goes on."""
+    return _top_chunks(spark, sf_dir, Any((Atom("erin"), Atom("of the thi", True))))
+
+
 @register(
     "SELECT file_id, count(*) AS match_count, min(chunk_index) AS first_match FROM scored JOIN files USING (file_id) WHERE extension = '.docx' GROUP BY file_id",
     FILES_SQL,
@@ -136,7 +157,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC,
 def fts_bm25_topk(spark, sf_dir):
     """Flagship: best files for two words, with recency and extension boosts, one chunk a file (FTS10-FTS12, AGG6, TOP2)."""
     files = T.files(spark, sf_dir)
-    best = S.candidates(S.bm25(T.chunks(spark, sf_dir), Any((Atom("erin"), Atom("pour", True))), "simple"), SIMPLE)
+    best = S.candidates(index(spark, sf_dir).search(Any((Atom("erin"), Atom("pour", True)))), SIMPLE)
     out = S.best_per_file(S.score_hits(best, files, ["erin", "pour"], now()), SIMPLE)
     return out.select("file_id", "path", "chunk_id", "match_source", F.round("score", 6).alias("score"))
 
@@ -386,7 +407,7 @@ DENSE_SQL = f"dense AS (SELECT file_id, row_number() OVER (ORDER BY {SIM_SQL} DE
 )
 def rrf_fusion(spark, sf_dir):
     """JN11, FN29, TOP5"""
-    k = S.bm25(T.chunks(spark, sf_dir), OR_TERMS, "simple").groupBy("file_id").agg(F.max("bm25").alias("bm25")).orderBy(F.desc("bm25"), "file_id").limit(50)
+    k = index(spark, sf_dir).search(OR_TERMS).groupBy("file_id").agg(F.max("bm25").alias("bm25")).orderBy(F.desc("bm25"), "file_id").limit(50)
     k = k.select("file_id", F.row_number().over(Window.orderBy(F.desc("bm25"), "file_id")).alias("rank"), F.round("bm25", 6).alias("score"))
     sim = X.cosine(F.col("embedding"), F.array(*[F.lit(x) for x in QUERY_VECTOR]))
     d = _embedded(spark, sf_dir).withColumn("s", sim).orderBy(F.desc("s"), "file_id").limit(50)
@@ -405,7 +426,7 @@ FROM (SELECT k.file_id, k.rank, {SIM_SQL} AS s FROM keyword k JOIN embedded e US
 )
 def cascade_rerank(spark, sf_dir):
     """JN10, TOP4"""
-    k = S.bm25(T.chunks(spark, sf_dir), OR_TERMS, "simple").groupBy("file_id").agg(F.max("bm25").alias("bm25")).orderBy(F.desc("bm25"), "file_id").limit(50)
+    k = index(spark, sf_dir).search(OR_TERMS).groupBy("file_id").agg(F.max("bm25").alias("bm25")).orderBy(F.desc("bm25"), "file_id").limit(50)
     k = k.select("file_id", F.lit(0).alias("chunk_index"), F.row_number().over(Window.orderBy(F.desc("bm25"), "file_id")).alias("bm25_rank"))
     return D.rerank(k, _embedded(spark, sf_dir), QUERY_VECTOR).select("file_id", "dense_rank", six("similarity"))
 
