@@ -162,13 +162,6 @@ def fts_bm25_topk(spark, sf_dir):
     return out.select("file_id", "path", "chunk_id", "match_source", F.round("score", 6).alias("score"))
 
 
-@register()
-def fts_search_words(spark, sf_dir):
-    """API5: a query in words, parsed, stemmed and boosted (rows only: Porter's stemmer has no SQL)."""
-    out = S.search(T.chunks(spark, sf_dir), T.files(spark, sf_dir), "the erin pour", now())
-    return out.select("file_id", "path", "chunk_id", "match_source", six("score"))
-
-
 @register(
     "SELECT file_id, path FROM files WHERE len(list_filter(regexp_extract_all(lower(filename), '[\\p{L}\\p{N}]+'), lambda x: starts_with(x, 'docx'))) + len(list_filter(regexp_extract_all(lower(path), '[\\p{L}\\p{N}]+'), lambda x: starts_with(x, 'docx'))) > 0 ORDER BY modified_at DESC, path LIMIT 20",
     FILES_SQL,
@@ -746,12 +739,6 @@ def xml_unescape(spark, sf_dir):
     return T.table(spark, sf_dir, "pages").select("page_id", X.xml_unescape(F.col("html")).alias("text"))
 
 
-@register()
-def porter_terms(spark, sf_dir):
-    """FTS1: stemmed terms of each document (rows only)."""
-    return T.table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(X.terms(F.col("text")))).alias("n_terms"))
-
-
 @register("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 6) AS squares FROM embeddings")
 def vector_units(spark, sf_dir):
     """FN26, FN28"""
@@ -764,10 +751,3 @@ def vector_units(spark, sf_dir):
 def score_rounding(spark, sf_dir):
     """FN32"""
     return T.table(spark, sf_dir, "documents").select("doc_id", F.bround(F.col("n_chars") / 7, 4).alias("score"))
-
-
-@register("SELECT query, array_to_string(list_filter(regexp_split_to_array(query, '[ ,.\\-_]'), lambda x: x <> '' AND lower(x) NOT IN ('the', 'of')), ' ') AS kept FROM (SELECT 'the q' || doc_id || ' of, x-' || doc_id % 7 AS query FROM documents)")
-def stop_words(spark, sf_dir):
-    """FN4, FN5"""
-    q = F.concat(F.lit("the q"), F.col("doc_id").cast("string"), F.lit(" of, x-"), (F.col("doc_id") % 7).cast("string"))
-    return T.table(spark, sf_dir, "documents").select(q.alias("query"), X.remove_stop_words(q).alias("kept"))

@@ -164,13 +164,36 @@ def odf(data: bytes) -> tuple[str, str]:
     return text, "text"
 
 
+#: One step of an RTF text: a hexadecimal escape, a control word with its number and space, a control symbol, a brace, or plain text.
+RTF_STEP = re.compile(r"\\'(?P<hex>[0-9a-fA-F]{2})|\\(?P<word>[A-Za-z]+)(?:-?\d+)?[ \r\n\t]?|\\(?P<symbol>[^A-Za-z])|(?P<brace>[{}])|(?P<text>[^\\{}]+)")
+RTF_ENDS = {"par": "\n", "line": "\n", "tab": "\t"}
+
+
 def rtf_text(source: str) -> str:
-    """FN31: optional groups, control words and braces out; paragraph and line ends and tabs kept."""
-    keep = {"par": "\n", "line": "\n", "tab": "\t"}
-    text = re.sub(r"\{\\\*\\[^{}]*\}", "", source)
-    text = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: chr(int(m[1], 16)), text)
-    text = re.sub(r"\\([A-Za-z]+)-?\d*\s?", lambda m: keep.get(m[1], ""), text)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[{}]", "", text)).strip()
+    """FN31: one walk over the text's steps; what stands in groups that readers may skip (those that begin with a starred control word and hold no other group) is left out."""
+    out: list[str] = []
+    starts: list[int] = []  # of the open groups, in ``out``
+    nested = starred = False
+    for step in RTF_STEP.finditer(source):
+        if step["brace"] == "{":
+            starts.append(len(out))
+            nested = starred = False
+        elif step["brace"]:
+            if starts:
+                start = starts.pop()
+                if starred and not nested:
+                    del out[start:]
+            nested, starred = True, False
+        elif step["symbol"]:
+            if step["symbol"] == "*":
+                starred = bool(starts) and not nested and len(out) == starts[-1]
+            elif step["symbol"] in "\\~":
+                out.append("\\" if step["symbol"] == "\\" else " ")
+            elif step["symbol"] in "{}":
+                out.append(step["symbol"])
+        else:
+            out.append(chr(int(step["hex"], 16)) if step["hex"] else RTF_ENDS.get(step["word"], "") if step["word"] else step["text"])
+    return re.sub(r"\n{3,}", "\n\n", "".join(out)).strip()
 
 
 def rtf(data: bytes) -> tuple[str, str]:

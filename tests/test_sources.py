@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 
+from lumenspan.sources import compose
 from lumenspan.sources import extract as E
 from lumenspan.sources import scan
 from lumenspan.streaming import jobs
@@ -227,3 +228,37 @@ def test_embedded_sql_functions(spark):
 
     register_functions(spark)
     assert spark.sql("select fts_stem('running') a, split_bigrams('年度報') b, html_unescape('a&amp;b') c, fts_terms('Running dogs') d").first().asDict() == {"a": "run", "b": "年度 度報", "c": "a&b", "d": ["run", "dog"]}
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("", ""),
+        (r"{\rtf1 plain}", "plain"),
+        (r"{\rtf1{\*\generator x y;}kept{\b bold}}", "keptbold"),
+        (r"{\rtf1{\*\a{\b in}out}z}", "inoutz"),
+        (r"a\par b\line c\tab d\parx e", "a\nb\nc\td" + "e"),
+        (r"\'41\'e9\u8364?", "Aé?"),
+        (r"a\par\par\par\par b", "a\n\nb"),
+        (r"\f1\fs24 x\b0 y", "xy"),
+        ("{unclosed", "unclosed"),
+        ("closed}", "closed"),
+    ],
+)
+def test_rtf_text(source, text):
+    assert E.rtf_text(source) == text
+
+
+@pytest.mark.parametrize("ext", sorted(compose.WRITERS))
+def test_composed_files_are_read(ext):
+    lines = ["First line", "zweite Zeile: é & <ü>", "", "x" * 9000]
+    got = E.extract(compose.WRITERS[ext](lines), ext)
+    assert got["success"], got
+    for x in lines[:2]:
+        assert x.replace(" ", "\t") in got["text"] or x in got["text"]
+    assert "x" * 9000 in got["text"]
+
+
+def test_composed_preview():
+    assert E.extract(compose.hwp(["본문"] * 3000, True), ".hwp")["text"] == "\r\n".join(["본문"] * 3000)
+    assert E.extract(compose.hwp(["본문 하나"] * 40_000), ".hwp")["text"] == "본문 하나\n" * 40_000
