@@ -22,13 +22,18 @@ def bounces(events: DataFrame, within_seconds: float = 10.0) -> DataFrame:
     return nxt.where("event_type = 'click'").withColumn("is_bounce", F.coalesce(again, F.lit(False))).drop("_type", "_ts", "_query")
 
 
+def click_key(query: Column) -> Column:
+    """The form of a query that clicks are counted under, in batches and streams alike."""
+    return F.lower(F.trim(X.remove_stop_words(query)))
+
+
 def click_table(clicks: DataFrame, forgive: bool = False) -> DataFrame:
     """SNK10, Q25: per query and path: clicks, last click, least position, bounce.
 
     A bounce stays for good, or with ``forgive`` only until a later click without one.
     """
     last = F.max(F.struct("ts", "is_bounce")).getField("is_bounce") if forgive else F.max("is_bounce")
-    return clicks.groupBy(F.lower(F.trim(X.remove_stop_words(F.col("query")))).alias("query"), X.click_path(F.col("path")).alias("path_key")).agg(F.count("*").alias("click_count"), F.max("ts").alias("last_clicked"), F.min("position").alias("position"), last.alias("is_bounce"))
+    return clicks.groupBy(click_key(F.col("query")).alias("query"), X.click_path(F.col("path")).alias("path_key")).agg(F.count("*").alias("click_count"), F.max("ts").alias("last_clicked"), F.min("position").alias("position"), last.alias("is_bounce"))
 
 
 def boosts(clicks: DataFrame, query: str) -> DataFrame:

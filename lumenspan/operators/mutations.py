@@ -23,6 +23,13 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: str | N
     return met.select(*cols)
 
 
+def update_by_path(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """SNK7: ``files`` with sizes and times from ``changes`` (path, size_bytes, modified_at), met by path, case aside."""
+    new = changes.select(F.lower("path").alias("_path"), F.col("size_bytes").alias("_size"), F.col("modified_at").alias("_time")).dropDuplicates(["_path"])
+    met = files.join(new, F.lower("path") == F.col("_path"), "left")
+    return met.select(*[F.coalesce("_size", c).alias(c) if c == "size_bytes" else F.coalesce("_time", c).alias(c) if c == "modified_at" else F.col(c) for c in files.columns])
+
+
 def without(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """SNK4, SNK5, SNK9, JN8: ``table`` without the rows whose key is in ``gone``."""
     return table.join(gone.select(*keys).distinct(), keys, "left_anti")

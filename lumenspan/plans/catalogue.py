@@ -550,16 +550,6 @@ def jaccard(spark, sf_dir):
     return g.select("folder_path", F.round(R.jaccard_distance(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
-@register()
-def badges(spark, sf_dir):
-    """§2.10, JN14, AGG10, TOP9 (tested against a plain version)."""
-    h = _hits(spark, sf_dir)
-    opened = h.where("doc_id % 5 = 0").select(X.click_path(F.col("path")).alias("path_key"), (F.col("modified_at") + F.expr("interval 150 days")).alias("last_opened"), (F.col("doc_id") % 9).alias("clicks"))
-    matched = h.where("doc_id % 2 = 0").select("file_id", (F.col("doc_id") % 4).alias("match_count"), (F.col("doc_id") % 5).cast("int").alias("first_match"))
-    out = R.badges(h, now(), opened, R.family_positions(h), matched)
-    return out.select("file_id", F.array_join(F.transform("notes", lambda n: F.concat_ws(":", n["priority"].cast("string"), n["code"], n["n"].cast("string"))), ";").alias("notes"))
-
-
 # -- clicks -------------------------------------------------------------------
 
 

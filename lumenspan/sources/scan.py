@@ -18,6 +18,20 @@ EXTRACTED = T.StructType(
 )
 
 
+def scan_roots(asked: list[str] | None = None, settings: dict | None = None, home: str | None = None) -> list[str]:
+    """SRC2: the folders to scan: those asked for, else those of the settings (scan_roots), else the user's home folder."""
+    import os
+
+    return list(asked or ()) or list((settings or {}).get("scan_roots") or ()) or [home or os.path.expanduser("~")]
+
+
+def bare(path: str) -> str:
+    """A local path without its scheme."""
+    import re
+
+    return re.sub(LOCAL, "", path)
+
+
 def _binary(spark: SparkSession, roots: list[str], streaming: bool = False):
     reader = (spark.readStream if streaming else spark.read).format("binaryFile").option("recursiveFileLookup", True)
     if streaming:

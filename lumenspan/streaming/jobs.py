@@ -1,10 +1,11 @@
-"""Structured Streaming jobs: ingest of new files, running click counts, bounces, windows (STR1-STR8)."""
+"""Structured Streaming jobs: ingest of new files, running click counts, bounces, windows (STR1, STR3-STR7)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as X
 from ..operators.chunks import chunk_files
+from ..operators.feedback import click_key
+from ..sources import store
 from ..sources.scan import _binary, describe, with_text
 
 
@@ -37,25 +40,71 @@ def ingest(spark: SparkSession, root: str, out: str, checkpoint: str, once: bool
 
 def click_counts(clicks: DataFrame) -> DataFrame:
     """STR5: running clicks, last click and least position per query and path; for update mode."""
-    return clicks.groupBy(F.lower(F.trim("query")).alias("query"), X.click_path(F.col("path")).alias("path_key")).agg(F.count("*").alias("click_count"), F.max("ts").alias("last_clicked"), F.min("position").alias("position"))
+    return clicks.groupBy(click_key(F.col("query")).alias("query"), X.click_path(F.col("path")).alias("path_key")).agg(F.count("*").alias("click_count"), F.max("ts").alias("last_clicked"), F.min("position").alias("position"))
 
 
-def upsert_sink(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """SNK10: for foreachBatch: each batch of updated keys becomes a folder of its own; ``latest`` reads the newest row of each key."""
+def upsert_sink(path: str, keys: list[str], compact: int = 20) -> Callable[[DataFrame, int], None]:
+    """SNK10: for foreachBatch: each batch of updated keys becomes a folder of its own; ``latest`` reads the newest row of each key.
+
+    Every ``compact`` batches the newest rows of all keys become one snapshot and the
+    folders behind it go, so readers meet a bounded number of them.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.coalesce(8).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number and number % compact == 0:
+            spark = batch.sparkSession
+            old = store.names(spark, path)
+            latest(spark, path, keys).write.mode("overwrite").parquet(f"{path}/snapshot={number}")
+            for name in old:
+                if _number(name) <= number and name != f"snapshot={number}":
+                    store.delete(spark, f"{path}/{name}")
 
     return write
 
 
+def _number(name: str) -> int:
+    head, _, n = name.partition("=")
+    return int(n) if head in ("batch", "snapshot") and n.isdigit() else -1
+
+
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest version of each key of an upsert sink."""
-    rows = spark.read.parquet(path)
+    """The newest version of each key of an upsert sink: of its last whole snapshot and the batches since."""
+    names = store.names(spark, path)
+    whole = [n for n in names if n.startswith("snapshot=") and store.exists(spark, f"{path}/{n}/_SUCCESS")]
+    since = max(map(_number, whole), default=-1)
+    kept = [n for n in names if n.startswith("batch=") and (_number(n) > since or not whole)] + ([f"snapshot={since}"] if whole else [])
+    parts = [spark.read.parquet(f"{path}/{n}").withColumn("batch", F.lit(_number(n)).cast("long")) for n in kept]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
     others = [c for c in rows.columns if c not in (*keys, "batch")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*keys, "r.*")
 
 
+def throttle(events: DataFrame, key: str, phase: str, order: list[str], every: float = 0.5) -> DataFrame:
+    """STR7: the progress reports that are passed on: each change of phase, else one when ``every`` seconds have gone since the last.
+
+    ``events`` sorted by ``order`` (a timestamp first) within their key; keys are walked one
+    row after the other, so a key of any length takes no memory.
+    """
+    schema = events.schema
+    at = schema.fieldNames().index
+
+    def run(batches):
+        now, before, fired = object(), None, None
+        for batch in batches:
+            keys, phases, times = (batch.column(at(c)).to_pylist() for c in (key, phase, order[0]))
+            keep = []
+            for k, p, t in zip(keys, phases, times, strict=True):
+                shown = k != now or p != before or (t - fired).total_seconds() >= every
+                now, before, fired = k, p, t if shown else fired
+                keep.append(shown)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return events.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 BOUNCE_ROWS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("query", T.StringType()), T.StructField("is_bounce", T.BooleanType())])
 BOUNCE_STATE = T.StructType([T.StructField(c, t) for c, t in (("event_id", T.LongType()), ("ms", T.LongType()), ("query", T.StringType()))])
 

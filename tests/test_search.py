@@ -68,7 +68,7 @@ def test_nothing(golden):
 @pytest.fixture(scope="module")
 def built(golden, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("index"))
-    I.build(golden[1], path, files_each=1)
+    I.build(golden[1], path)
     return path
 
 
@@ -76,7 +76,7 @@ def built(golden, tmp_path_factory):
 def test_index_agrees_with_scan(spark, golden, built, query):
     _, chunks = golden
     a = {r["chunk_id"]: round(r["bm25"], 9) for r in S.bm25(chunks, query).collect()}
-    b = {r["chunk_id"]: round(r["bm25"], 9) for r in I.lookup(spark, built, query).collect()}
+    b = {r["chunk_id"]: round(r["bm25"], 9) for r in I.Index(spark, built).search(query).collect()}
     assert a == b and a
 
 
