@@ -1,14 +1,21 @@
 """Learned partitions against brute force; the pipeline against its stages."""
 
 import os
+import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lumenspan.llm import neighbours
+from test_dedup import brute as plain_groups
+from test_dedup import plain_lines
+from test_models import plain_cutoffs
+from test_tokens import plain_best_fit
+
+from lumenspan.llm import langid, neighbours, packing, quality, simhash
 from lumenspan.llm.common import read
+from lumenspan.llm.queries import tokenizer_file
 
 
 def brute(rows, asks, top=20):
@@ -142,3 +149,34 @@ def test_pipeline(spark):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, again.select(columns).collect())) == sorted(map(tuple, kept[5].select(columns).collect()))
     assert again.agg(F.max("sequence_id")).first() == kept[5].agg(F.max("sequence_id")).first()
+    assert sorted(map(tuple, again.select(columns).collect())) == plain_pipeline(docs, read(spark, sf, "labels"))
+    lengths = [r["length"] for r in again.select("length").collect()]
+    assert again.select("sequence_id").distinct().count() == len(plain_best_fit(lengths, 2048))
+
+
+def plain_pipeline(docs, labels):
+    """All five stages in plain code, on rows: only the language model and the tokenizer are the library's own."""
+    net, rows = langid.train(docs), {r["doc_id"]: (r["text"], r["lang"]) for r in docs.collect()}
+    said = {i: langid.predict_texts(net, [t]) for i, (t, _) in rows.items()}
+    rows = {i: r for i, r in rows.items() if said[i][0][0] != "und" and said[i][1][0] >= 0.5}
+    good, judged = {r["doc_id"] for r in labels.where("quality = 1").collect()}, {}
+    for i, (t, lang) in rows.items():
+        words, chars, symbols, dup, repeat, shouts = quality.base_counts(t)
+        n = max(1, words)
+        values = {"symbol_share": symbols / n, "repeat_share": repeat / n, "dup_line_share": dup / max(1, t.count("\n") + 1), "long_word": chars / n, "shout_share": shouts / n}
+        judged[i] = lang, values, words < quality.MIN_WORDS or 100 * repeat > quality.REPEAT_PERCENT * words
+    cutoffs = plain_cutoffs([(s, v) for i, (s, v, failed) in judged.items() if i in good and not failed], good)
+    texts = [(i, rows[i][0]) for i, (s, v, failed) in judged.items() if not failed and not any(v[r] > cutoffs.get((s, r), float("inf")) for r in v)]
+    texts = [(i, t) for i, t, _, _ in plain_lines(texts)]
+    marks = {i: simhash.fingerprint(t) for i, t in texts}
+    fps = sorted(set(marks.values()))
+    group, least = plain_groups(fps), {}
+    for i, m in marks.items():
+        c = group[fps.index(m)]
+        least[c] = min(least.get(c, i), i)
+    encode, out = packing.document_ids(tokenizer_file("word_bpe_49k.json")), []
+    for i, t in texts:
+        if i in set(least.values()):
+            ids = encode([t])[0]
+            out += [(i, n, at // 4, len(c) // 4, zlib.crc32(c)) for n, at in enumerate(range(0, len(ids), 8192)) for c in [ids[at : at + 8192]]]
+    return sorted(out)
