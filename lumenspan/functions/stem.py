@@ -34,7 +34,7 @@ STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ica
 STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 18)
 def porter1(word: str) -> str:
     """Stem by the 1980 algorithm; words of one or two letters and words beyond a to z stay."""
     if len(word) < 3 or not re.fullmatch("[a-z]+", word):
