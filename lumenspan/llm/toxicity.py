@@ -44,6 +44,8 @@ TOXIC_DOCS, CLEAN_DOCS, SENTENCES_PER_DOC, SENTENCE_CHARS = 1200, 4000, 60, 240
 MOST_SENTENCES = 150_000
 #: Sentences that a document's score looks at.
 TOP = 3
+#: Training sentences whose units are compared with the landmarks together, each distinct one once.
+TOGETHER = 4096
 #: Rounds of choosing the toxic documents' positive sentences.
 ROUNDS = 5
 #: A toxic document's sentence counts as toxic if its margin is over that of this share of the clean documents' sentences.
@@ -326,15 +328,15 @@ def _project(marks: Landmarks, names: list[str], found: list[np.ndarray]) -> tup
     sound = values > 1e-6 * values.max()
     project = vectors[:, sound] / np.sqrt(values[sound])
     x = np.ones((len(found), marks.many + 1), np.float32)
-    for low in range(0, len(found), 256):
-        some = found[low : low + 256]
+    for low in range(0, len(found), TOGETHER):
+        some = found[low : low + TOGETHER]
         present, place = np.unique(np.concatenate(some), return_inverse=True)
         codes, long, owner = _pieces([names[k] for k in present])
-        each = np.zeros((len(present), marks.many))
+        each = np.zeros((len(present), marks.many), np.float32)
         for at in range(0, len(codes), 512):
             np.add.at(each, owner[at : at + 512], marks.kernel(codes[at : at + 512], long[at : at + 512]))
         starts = np.cumsum([0] + [len(s) for s in some])[:-1]
-        x[low : low + 256, :-1] = np.add.reduceat(each[place], starts)
+        x[low : low + TOGETHER, :-1] = np.add.reduceat(each[place], starts)
     for low in range(0, len(x), 8192):
         x[low : low + 8192, : project.shape[1]] = x[low : low + 8192, :-1] @ project.astype(np.float32)
     x[:, project.shape[1]] = 1
