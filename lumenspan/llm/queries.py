@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clustering, codebooks, langid, linededup, neighbours, packing, quality, sentencepieces, simhash, toxicity, wordpiece, wrapper
+from . import clustering, codebooks, digests, langid, linededup, neighbours, packing, quality, sentencepieces, simhash, toxicity, wordpiece, wrapper
 from .common import read
 
 
@@ -57,6 +57,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.compare_edits(read(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.compress(read(spark, sf_dir, "embeddings"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_nearest_neighbours,
         op10_toxicity,
+        op11_document_fingerprints,
         op12_vector_codes,
         op13_centroid_clustering,
     )
