@@ -59,26 +59,28 @@ ORACLES: dict[str, str] = {
     "op13_centroid_clustering": _lloyd_sql(),
     "op8_line_dedup": """
 WITH texts AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+  SELECT row_number() OVER () AS r, doc_id, ('0x' || left(md5(text), 15))::BIGINT AS mark, text, string_split(text, chr(10)) AS lines FROM documents
 ), windows AS (
-  SELECT doc_id, pos, lines[pos + 1] AS a, lines[pos + 2] AS b, lines[pos + 3] AS c
-  FROM (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS pos FROM texts WHERE len(lines) >= 3)
+  SELECT doc_id, mark, pos, lines[pos + 1] AS a, lines[pos + 2] AS b, lines[pos + 3] AS c
+  FROM (SELECT doc_id, mark, lines, unnest(range(0, len(lines) - 2)) AS pos
+    FROM (SELECT DISTINCT doc_id, mark, lines FROM texts) WHERE len(lines) >= 3)
 ), turns AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS turn
+  SELECT doc_id, mark, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id NULLS FIRST, mark, pos) AS turn
   FROM windows WHERE regexp_matches(a || b || c, '[^\\x20\\x09-\\x0D]')
 ), cut AS (
-  SELECT DISTINCT doc_id, pos + k AS pos FROM turns, (SELECT unnest([0, 1, 2]) AS k) WHERE turn > 1
+  SELECT DISTINCT r, pos + k AS pos
+  FROM turns JOIN texts t ON t.doc_id IS NOT DISTINCT FROM turns.doc_id AND t.mark = turns.mark, (SELECT unnest([0, 1, 2]) AS k) WHERE turn > 1
 ), parts AS (
-  SELECT t.doc_id, i AS pos, lines[i + 1] AS line
-  FROM (SELECT doc_id, lines, unnest(range(0, len(lines))) AS i FROM texts WHERE text IS NOT NULL) t
+  SELECT t.r, i AS pos, lines[i + 1] AS line
+  FROM (SELECT r, lines, unnest(range(0, len(lines))) AS i FROM texts WHERE text IS NOT NULL) t
 ), kept AS (
-  SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.pos) AS text
-  FROM parts p ANTI JOIN cut USING (doc_id, pos) GROUP BY p.doc_id
+  SELECT p.r, string_agg(p.line, chr(10) ORDER BY p.pos) AS text
+  FROM parts p ANTI JOIN cut USING (r, pos) GROUP BY p.r
 ), gone AS (
-  SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id
+  SELECT r, count(*) AS n FROM cut GROUP BY r
 )
 SELECT t.doc_id, CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
   CASE WHEN t.text IS NULL THEN 0 ELSE len(t.lines) END AS n_lines, coalesce(g.n, 0) AS n_removed
-FROM texts t LEFT JOIN kept k USING (doc_id) LEFT JOIN gone g USING (doc_id)
+FROM texts t LEFT JOIN kept k USING (r) LEFT JOIN gone g USING (r)
 """,
 }

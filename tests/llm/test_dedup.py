@@ -1,6 +1,7 @@
 """Near-duplicates and line dedup against brute force, on data with copies, clusters, ties and odd rows."""
 
 import itertools
+import hashlib
 import random
 
 import numpy as np
@@ -217,7 +218,8 @@ def test_components(spark):
 
 def plain_lines(rows):
     seen, out = {}, []
-    spots = sorted(((i if i is not None else -1, p, tuple(t.split("\n")[p : p + 3])) for i, t in rows if t is not None for p in range(t.count("\n") - 1)), key=lambda x: x[:2])
+    key = lambda i, t: (i if i is not None else -1, int(hashlib.md5(t.encode()).hexdigest()[:15], 16))
+    spots = sorted({(key(i, t), p, tuple(t.split("\n")[p : p + 3])) for i, t in rows if t is not None for p in range(t.count("\n") - 1)}, key=lambda x: x[:2])
     cut = {}
     for i, p, w in spots:
         if not "".join(w).strip(" \t\v\f\r"):
@@ -228,7 +230,7 @@ def plain_lines(rows):
         if t is None:
             out.append((i, None, 0, 0))
             continue
-        lines, gone = t.split("\n"), cut.get(i if i is not None else -1, set())
+        lines, gone = t.split("\n"), cut.get(key(i, t), set())
         out.append((i, "\n".join(x for p, x in enumerate(lines) if p not in gone), len(lines), len(gone & set(range(len(lines))))))
     return out
 
@@ -237,6 +239,7 @@ def test_line_dedup(spark):
     rng = random.Random(2)
     texts = ["\n".join(rng.choice("abcd") for _ in range(rng.randrange(12))) for _ in range(60)]
     rows = list(enumerate(texts)) + [(100, None), (101, ""), (102, "\n\n\n\n"), (103, "x\ny"), (104, "q\n" * 5000), (None, "a\nb\nc\nd\n"), (105, "\r\n \n\n" * 3)]
+    rows += [(200, "p\nq\nr\ns\nu"), (200, "f\ng\nh\nz"), (90, "f\ng\nh"), (300, "k\nl\nm\nn")] + [(300, "k\nl\nm\nn"), (None, "f\ng\nx\ny"), (None, "v\nw\nx\ny")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash")).withColumn("starts", F.lit(1)).withColumn("id", F.lit(2))
     own = ["_starts", "_cut_id", "_lines", "_kept", "_stops", "lines", "c0", "cut_id"]
     for c in own:
@@ -246,6 +249,8 @@ def test_line_dedup(spark):
     assert {tuple(r) for r in got.select(*own).collect()} == {tuple(own)}
     assert sorted(map(str, [tuple(r) for r in got.select("doc_id", "text", "n_lines", "n_removed").collect()])) == sorted(map(str, plain_lines(rows)))
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+    found = sorted((r["doc_id"], r["text"]) for r in got.collect() if r["doc_id"] in (200, 300))
+    assert found == [(200, "p\nq\nr\ns\nu"), (200, "z"), (300, "k\nl\nm\nn"), (300, "k\nl\nm\nn")]  # a text's repeats cut no other text of its id
 
 
 def test_line_dedup_stays_in_the_jvm(spark):
