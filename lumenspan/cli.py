@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .functions import words
 from .operators import logs as L
-from .sources import scan, store
+from .sources import scan, store, tree
 
 
 def session() -> SparkSession:
@@ -55,13 +55,13 @@ def dump(spark: SparkSession, args: list[str]) -> int:
         return 2
     began = time.monotonic()
     only, most = _option(args, "--only"), _option(args, "--max-size")
-    files = scan.describe(scan._binary(spark, [source]), source).where(F.col("extension").isin(words.CONTENT_EXTENSIONS))
+    files = scan.scan(spark, source, content=True).where(F.col("extension").isin(words.CONTENT_EXTENSIONS))
     if only:
         files = files.where(F.col("extension").isin([e.lower() if e.startswith(".") else f".{e.lower()}" for e in only.split(",") if e]))
     if most:
         files = files.where(F.col("size_bytes") <= scan.parse_size(most))
-    root, failed = scan.bare(source), "--include-failed" in args
-    target = scan.bare(out)
+    root, failed = tree.local(source) or source, "--include-failed" in args
+    target = tree.local(out) or out
 
     def write(batches):
         import pyarrow as pa
@@ -71,9 +71,7 @@ def dump(spark: SparkSession, args: list[str]) -> int:
             for path, ok, text, code, detail in zip(*[batch.column(i).to_pylist() for i in range(1, 6)], strict=True):
                 place = target + path.removeprefix(root) + (".txt" if ok else ".error.txt")
                 if ok or failed:
-                    os.makedirs(os.path.dirname(place), exist_ok=True)
-                    with open(place, "w", encoding="utf-8", errors="replace", newline="") as f:
-                        f.write(text or "" if ok else f"ErrorCode: {code}\nDetail: {detail or ''}\n")
+                    tree.put(place, (text or "" if ok else f"ErrorCode: {code}\nDetail: {detail or ''}\n").encode("utf-8", "replace"))
                 results.append("error" if not ok else "success" if text else "success_empty")
                 lengths.append(len(text) if ok and text else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(results, pa.string()), pa.array(lengths, pa.int64()), batch.column(4), batch.column(6)], names=["extension", "path", "result", "text_length", "error_code", "size_bytes"])
@@ -84,8 +82,7 @@ def dump(spark: SparkSession, args: list[str]) -> int:
     each = [{"path": r["path"].removeprefix(root).lstrip("/"), "ext": r["extension"], "size_bytes": r["size_bytes"], "result": r["result"], "text_length": r["text_length"], "error_code": r["error_code"]} for r in done.orderBy("path").toLocalIterator()]
     done.unpersist()
     summary = {"generated_at": datetime.now(UTC).isoformat(), "input_dir": source, "output_dir": out, "total_ms": int((time.monotonic() - began) * 1000), "total_files": len(each), "by_ext": by["extension"], "by_result": by["result"], "files": each}
-    with open(f"{target}/_summary.json", "w", encoding="utf-8") as f:
-        json.dump(summary, f, indent=2, ensure_ascii=False)
+    tree.put(f"{target}/_summary.json", json.dumps(summary, indent=2, ensure_ascii=False).encode())
     print(f"{len(each)} files: {by['result']}")
     return 0
 

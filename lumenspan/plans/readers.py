@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -83,14 +85,18 @@ def read_failures(spark, sf_dir):
 FOLDERS = ["Reports", "Reports/old", "node_modules/x", ".hidden", "Projects"]
 
 
+def _placed(spark, sf_dir, root: str):
+    """Every document as a text file in some folder below ``root``: doc_id, path, content."""
+    folder = F.get(F.array(*map(F.lit, FOLDERS)), (F.col("doc_id") % len(FOLDERS)).cast("int"))
+    path = F.concat(F.lit(f"{root}/"), folder, F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return T.table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("content"))
+
+
 def _tree(spark, sf_dir) -> str:
     """Every document as a text file in some folder of a tree in the shared folder; written once for a table."""
     root = f"{store.shared_dir(spark)}/lumenspan-tree/{store.stamp(spark, f'{sf_dir}/documents.parquet')}"
     if not store.exists(spark, f"{root}.done"):
-        docs = T.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
-        for k, folder in enumerate(FOLDERS):
-            # A file a document.
-            docs.where(F.col("doc_id") % len(FOLDERS) == k).select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(f"{root}/{folder}")
+        scan.write_files(_placed(spark, sf_dir, root))
         spark.range(1).write.mode("overwrite").parquet(f"{root}.done")
     return root
 
@@ -113,10 +119,31 @@ def stream_ingest(spark, sf_dir):
     root, out = _tree(spark, sf_dir), f"{store.shared_dir(spark)}/lumenspan-ingest/{store.stamp(spark, f'{sf_dir}/documents.parquet')}"
     for _ in range(2):
         jobs.ingest(spark, root, f"{out}/tables", f"{out}/mark").awaitTermination()
-    files, chunks = (spark.read.parquet(f"{out}/tables/{name}") for name in ("files", "chunks"))
+    files, chunks = jobs.tables(spark, f"{out}/tables")
     return files.agg(F.count("*").alias("files")).crossJoin(chunks.agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars")))  # one row each
 
 
+@register(
+    """SELECT doc_id, count(*) AS chunks, CAST(sum(length(c)) AS BIGINT) AS chars, bit_xor(('0x' || left(md5(c), 8))::BIGINT) AS mark
+FROM (SELECT doc_id, substr(t, i * 1000 + 1, 1000) AS c FROM (SELECT doc_id, t, unnest(range(0, least(500, CAST(ceil(length(t) / 1000.0) AS BIGINT)))) AS i FROM (
+  SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN 'new ' ELSE '' END || coalesce(text, '') || chr(10) AS t FROM documents WHERE doc_id % 5 NOT IN (2, 3) AND doc_id % 10 <> 5) WHERE strlen(t) >= 10))
+GROUP BY doc_id"""
+)
+def stream_changes(spark, sf_dir):
+    """STR1, STR2, SRC1, FLT2: the chunks of a tree after two cycles: between them a tenth of the files was rewritten, a tenth deleted, a tenth came in; skipped folders stay unseen."""
+    home = f"{store.shared_dir(spark)}/lumenspan-changes/{uuid.uuid4().hex}"
+    fs, where = store.filesystem(spark, home)
+    fs.deleteOnExit(where)
+    docs, kind = _placed(spark, sf_dir, f"{home}/root"), F.col("doc_id") % 10
+    now = F.when(kind == 4, F.concat(F.lit("new "), F.col("content"))).when(kind != 5, F.col("content"))
+    for files in (docs.where(kind != 1), docs.where(kind.isin(1, 4, 5)).withColumn("content", now)):
+        scan.write_files(files)
+        jobs.ingest(spark, f"{home}/root", f"{home}/tables", f"{home}/mark", delete=True).awaitTermination()
+    _, chunks = jobs.tables(spark, f"{home}/tables")
+    doc = F.regexp_extract("filename", "doc_(\\d+)", 1).cast("long").alias("doc_id")
+    return chunks.groupBy(doc).agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.bit_xor(F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long")).alias("mark"))
+
+
 @register("SELECT extension, result, count(*) AS n FROM (SELECT extension, CASE WHEN doc_id % 7 = 0 THEN 'PARSE_ERROR' ELSE 'SUCCESS' END AS result FROM (SELECT doc_id, n_chars, (['.txt', '.md', '.csv'])[doc_id % 3 + 1] AS extension FROM documents) WHERE extension IN ('.txt', '.csv') AND n_chars <= 5000) GROUP BY 1, 2")
 def dump_summary(spark, sf_dir):
     """SNK14, AGG22, FN35: the dump's summary by extension and result."""

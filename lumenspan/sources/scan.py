@@ -1,4 +1,4 @@
-"""File trees as tables: scan, contents, logs, dumps (SRC1, SRC2, SRC13-SRC15, SNK14)."""
+"""Files as tables: scan, contents, logs, dumps (SRC1, SRC2, SRC13-SRC15, SNK14)."""
 
 from __future__ import annotations
 
@@ -9,10 +9,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
-from ..operators.catalogue import in_skipped_folder, scannable
+from .tree import FileTree, put
 
-LOCAL = r"^file:(//)?"
-MAX_BYTES = 500_000_000
 EXTRACTED = T.StructType(
     [T.StructField("success", T.BooleanType())] + [T.StructField(c, T.StringType()) for c in ("text", "source_type", "error_code", "error_detail")]
 )
@@ -25,33 +23,29 @@ def scan_roots(asked: list[str] | None = None, settings: dict | None = None, hom
     return list(asked or ()) or list((settings or {}).get("scan_roots") or ()) or [home or os.path.expanduser("~")]
 
 
-def bare(path: str) -> str:
-    """A local path without its scheme."""
-    import re
+def tree(spark: SparkSession, roots: list[str], content: bool = False, depth: int = 2) -> DataFrame:
+    """SRC1: every file and folder below ``roots`` that is worth a look; skipped folders aren't entered."""
+    spark.dataSource.register(FileTree)
+    reader = spark.read.format("file_tree").option("path", "\n".join(roots)).option("depth", depth)
+    return reader.option("content", str(content).lower()).load()
 
-    return re.sub(LOCAL, "", path)
 
+def changes(spark: SparkSession, root: str, manifests: str, content: bool = True, depth: int = 2) -> DataFrame:
+    """STR2: a stream of the files below ``root`` that were added, changed or deleted since the cycle before; ``manifests`` is a folder that driver and executors share."""
+    spark.dataSource.register(FileTree)
+    reader = spark.readStream.format("file_tree").option("path", root).option("manifests", manifests).option("depth", depth)
+    return reader.option("content", str(content).lower()).load()
 
-def _binary(spark: SparkSession, roots: list[str], streaming: bool = False):
-    reader = (spark.readStream if streaming else spark.read).format("binaryFile").option("recursiveFileLookup", True)
-    if streaming:
-        return reader.schema("path string, modificationTime timestamp, length bigint, content binary").load(roots[0])
-    return reader.load(roots)
 
-
-def describe(found: DataFrame, root: str = "") -> DataFrame:
-    """The file table's columns from a binaryFile table; folders below ``root`` are judged, those above it aren't."""
-    path = F.regexp_replace(F.col("path"), LOCAL, "")
-    out = found.withColumn("path", path).withColumn("filename", X.filename(F.col("path"))).withColumn("folder_path", X.dirname(F.col("path")))
-    below = F.regexp_replace("folder_path", f"^{root.replace('file://', '').rstrip('/')}", "")
-    out = out.where(scannable(F.col("length"), F.lit(False), F.lit(False)) & ~in_skipped_folder(below))
-    return out.select(X.file_id(F.col("path")).alias("file_id"), "path", "filename", X.extension(F.col("filename")).alias("extension"), "folder_path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes"), *(["content"] if "content" in found.columns else []))
+def describe(found: DataFrame, *more: str) -> DataFrame:
+    """The file table's columns from rows of ``tree`` or ``changes``."""
+    name = X.filename(F.col("path"))
+    return found.where("not is_folder").select(X.file_id(F.col("path")).alias("file_id"), "path", name.alias("filename"), X.extension(name).alias("extension"), X.dirname(F.col("path")).alias("folder_path"), "modified_at", "size_bytes", *more)
 
 
 def scan(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """SRC1: files below ``root`` that are worth a look; contents are only read if asked for."""
-    found = _binary(spark, [root])
-    return describe(found if content else found.drop("content"), root)
+    return describe(tree(spark, [root], content), *(["content"] if content else []))
 
 
 def folders(files: DataFrame) -> DataFrame:
@@ -79,6 +73,18 @@ def with_text(files: DataFrame) -> DataFrame:
     return files.select(*[f.name for f in kept], "content").mapInArrow(run, schema)
 
 
+def write_files(files: DataFrame) -> None:
+    """Each row (path, content) as a file of a file system that all executors see; null content removes the file. A task that is run again writes the same."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                put(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+            yield batch.select([0])
+
+    files.select("path", F.col("content").cast("binary")).mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """SRC15: lines of a diagnostic log, for ``operators.logs.parse_log``."""
     return spark.read.text(path)

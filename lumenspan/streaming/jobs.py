@@ -1,8 +1,9 @@
-"""Structured Streaming jobs: ingest of new files, running click counts, bounces, windows (STR1, STR3-STR7)."""
+"""Structured Streaming jobs: ingest of changed files, running click counts, bounces, windows (STR1, STR3-STR7)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -15,35 +16,61 @@ from ..functions import text as X
 from ..operators.chunks import chunk_files
 from ..operators.feedback import click_key
 from ..sources import store
-from ..sources.scan import _binary, describe, with_text
+from ..sources.scan import changes, describe, with_text
+from ..sources.tree import DELETED
 
 
-def ingest(spark: SparkSession, root: str, out: str, checkpoint: str, once: bool = True, every: str = "10 minutes"):
-    """STR1-STR3: files that appear below ``root`` are read, chunked and appended to ``out``/files and ``out``/chunks.
+def ingest(spark: SparkSession, root: str, out: str, checkpoint: str, once: bool = True, every: str = "10 minutes", delete: bool = False, depth: int = 2):
+    """STR1-STR3: files below ``root`` that are new or changed are read and chunked; ``tables`` gives the result.
 
-    The file source remembers in ``checkpoint`` what it has seen; a checkpoint has one
-    query at a time, so cycles never overlap. With ``once`` it ends when all is read,
-    otherwise it looks again ``every`` so long.
+    Each cycle looks at the whole tree and takes up what differs from the cycle before:
+    a changed file's row and chunks replace the old ones, with ``delete`` those of a deleted
+    file go. ``checkpoint`` holds the manifests too; it has one query at a time, so cycles
+    never overlap. With ``once`` one cycle is run, otherwise one ``every`` so long.
     """
+    sink = upsert_sink(f"{out}/files", ["file_id"])
 
     def write(batch: DataFrame, number: int) -> None:
-        read = with_text(batch).withColumn("extract_status", F.when(F.col("success"), "SUCCESS").otherwise("ERROR"))
-        # A batch that is run again after a failure replaces what it wrote before.
-        read.drop("text", "success").write.mode("overwrite").parquet(f"{out}/files/batch={number}")
+        present = batch.where(F.col("change") != DELETED)
+        # Extracted once for both tables. A batch that is run again after a failure replaces what it wrote before.
+        read = with_text(describe(present, "content")).withColumn("extract_status", F.when(F.col("success"), "SUCCESS").otherwise("ERROR")).persist()
+        files = read.drop("text", "success").withColumn("gone", F.lit(False))
+        if delete:
+            files = files.unionByName(describe(batch.where(F.col("change") == DELETED)).withColumn("gone", F.lit(True)), allowMissingColumns=True)
         chunks = chunk_files(read.where("success").select("file_id", "filename", "folder_path", "text"))
-        chunks.withColumn("chunk_id", X.chunk_id(F.col("file_id"), F.col("chunk_index"))).write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
+        chunks.withColumn("chunk_id", X.chunk_id(F.col("file_id"), F.col("chunk_index"))).withColumn("version", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
+        sink(files.withColumn("version", F.lit(number).cast("long")), number)
+        read.unpersist()
+        if number and number % COMPACT == 0:
+            settle(f"{out}/chunks", number, _current(spark, out)[1])
 
-    found = describe(_binary(spark, [root], streaming=True), root)
+    found = changes(spark, root, f"{checkpoint}/manifests", True, depth)
     writer = found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def _current(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    files = latest(spark, f"{out}/files", ["file_id"]).where("not gone").drop("gone")
+    chunks = _versions(spark, f"{out}/chunks").drop("batch")
+    return files, chunks.join(files.select("file_id", "version"), ["file_id", "version"], "left_semi")
+
+
+def tables(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """Files and chunks of an ingest as they are now: each file's newest version, and that version's chunks."""
+    files, chunks = _current(spark, out)
+    return files.drop("version"), chunks.drop("version")
+
+
 def click_counts(clicks: DataFrame) -> DataFrame:
     """STR5: running clicks, last click and least position per query and path; for update mode."""
     return clicks.groupBy(click_key(F.col("query")).alias("query"), X.click_path(F.col("path")).alias("path_key")).agg(F.count("*").alias("click_count"), F.max("ts").alias("last_clicked"), F.min("position").alias("position"))
 
 
-def upsert_sink(path: str, keys: list[str], compact: int = 20) -> Callable[[DataFrame, int], None]:
+#: Batches after which what is still wanted becomes one snapshot.
+COMPACT = 20
+
+
+def upsert_sink(path: str, keys: list[str], compact: int = COMPACT) -> Callable[[DataFrame, int], None]:
     """SNK10: for foreachBatch: each batch of updated keys becomes a folder of its own; ``latest`` reads the newest row of each key.
 
     Every ``compact`` batches the newest rows of all keys become one snapshot and the
@@ -51,33 +78,40 @@ def upsert_sink(path: str, keys: list[str], compact: int = 20) -> Callable[[Data
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.coalesce(8).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
         if number and number % compact == 0:
-            spark = batch.sparkSession
-            old = store.names(spark, path)
-            latest(spark, path, keys).write.mode("overwrite").parquet(f"{path}/snapshot={number}")
-            for name in old:
-                if _number(name) <= number and name != f"snapshot={number}":
-                    store.delete(spark, f"{path}/{name}")
+            settle(path, number, latest(batch.sparkSession, path, keys))
 
     return write
 
 
+def settle(path: str, number: int, rows: DataFrame) -> None:
+    """Writes ``rows``, all that is still wanted of the batches up to ``number``, as one snapshot; the folders behind it go."""
+    spark = rows.sparkSession
+    old = store.names(spark, path)
+    rows.write.mode("overwrite").parquet(f"{path}/snapshot={number}")
+    for name in old:
+        if _number(name) <= number and name != f"snapshot={number}":
+            store.delete(spark, f"{path}/{name}")
+
+
 def _number(name: str) -> int:
     head, _, n = name.partition("=")
     return int(n) if head in ("batch", "snapshot") and n.isdigit() else -1
 
 
-def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest version of each key of an upsert sink: of its last whole snapshot and the batches since."""
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the last whole snapshot and the batches since, with their number as ``batch``."""
     names = store.names(spark, path)
     whole = [n for n in names if n.startswith("snapshot=") and store.exists(spark, f"{path}/{n}/_SUCCESS")]
     since = max(map(_number, whole), default=-1)
     kept = [n for n in names if n.startswith("batch=") and (_number(n) > since or not whole)] + ([f"snapshot={since}"] if whole else [])
-    parts = [spark.read.parquet(f"{path}/{n}").withColumn("batch", F.lit(_number(n)).cast("long")) for n in kept]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f"{path}/{n}").withColumn("batch", F.lit(_number(n)).cast("long")) for n in kept])
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest version of each key of an upsert sink."""
+    rows = _versions(spark, path)
     others = [c for c in rows.columns if c not in (*keys, "batch")]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*keys, "r.*")
 

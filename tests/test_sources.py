@@ -171,11 +171,11 @@ def test_scan(spark, tree):
 def test_streaming_ingest(spark, tree):
     out, mark = str(tree / "out"), str(tree / "mark")
     jobs.ingest(spark, str(tree / "root"), out, mark).awaitTermination()
-    assert spark.read.parquet(f"{out}/files").count() == 4
+    assert jobs.tables(spark, out)[0].count() == 4
     (tree / "root/late.txt").write_text("a late text file")
     jobs.ingest(spark, str(tree / "root"), out, mark).awaitTermination()
-    assert spark.read.parquet(f"{out}/files").count() == 5
-    assert spark.read.parquet(f"{out}/chunks").where("text = 'a late text file'").count() == 1
+    assert jobs.tables(spark, out)[0].count() == 5
+    assert jobs.tables(spark, out)[1].where("text = 'a late text file'").count() == 1
 
 
 def _stream(spark, tmp_path, rows):
