@@ -2,8 +2,8 @@
 
 A chunk's terms are an array column, so atoms are matched and counted row by row inside
 the scan: no posting is shuffled for a query. Corpus statistics are one row of sums.
-``lumenspan.operators.index`` holds the stored form, where a query reads only the
-partitions of its own terms.
+``lumenspan.operators.index`` holds the stored form, where a query reads only blocks of
+its own terms.
 """
 
 from __future__ import annotations
@@ -124,9 +124,13 @@ def score_hits(scored: DataFrame, files: DataFrame, words: list[str], as_of: Col
     return out.withColumn("score", rank + F.when(named, 0.5).otherwise(0.0)).drop("_name", "path_key")
 
 
+def most_candidates(options: Options) -> int:
+    return min(options.top * options.per_file * 3, MOST_CANDIDATES)
+
+
 def candidates(scored: DataFrame, options: Options) -> DataFrame:
-    """TOP1: the best chunks by bm25, at most 600; ties by chunk id (Q26)."""
-    out = scored.orderBy(F.desc("bm25"), "chunk_id").limit(min(options.top * options.per_file * 3, MOST_CANDIDATES))
+    """TOP1: the best chunks by bm25, at most 600; ties by chunk id (Q26). A stored index finds them without scoring all (``Index.top``)."""
+    out = scored.orderBy(F.desc("bm25"), "chunk_id").limit(most_candidates(options))
     out._candidates_bounded = True
     return out
 
@@ -152,9 +156,12 @@ def search(chunks, files: DataFrame, text: str, as_of: Column, options: Options
     query = parse(text)
     if query is None:
         query = Any((Atom(""), Atom("")))
-    found = bm25(chunks, query, options.tokenizer) if isinstance(chunks, DataFrame) else chunks.search(query)
+    if isinstance(chunks, DataFrame):
+        found = candidates(bm25(chunks, query, options.tokenizer), options)
+    else:
+        found = chunks.top(query, most_candidates(options))
     plain = [t for t in tokens(text or "") if not is_stop(t)]
-    return best_per_file(score_hits(candidates(found, options), files, plain, as_of, boosts), options)
+    return best_per_file(score_hits(found, files, plain, as_of, boosts), options)
 
 
 def filename_matches(files: DataFrame, token: str, limit: int = 20, tokenizer: str = "porter") -> DataFrame:

@@ -103,8 +103,11 @@ class Engine:
         words = [t for t in tokens(query) if not is_stop(t)]
         hits = self.hits(query, options)
         if "text" not in hits.columns:
-            ids = [r[0] for r in hits.select("chunk_id").collect()]  # at most 100
-            hits = hits.join(F.broadcast(self.index.texts(ids).select("chunk_id", "filename", "text")), "chunk_id")
+            # The search has run once then; at most 100 rows are kept.
+            kept = hits.drop("home").collect()
+            hits = self.files.sparkSession.createDataFrame(kept, hits.drop("home").schema)
+            texts = self.index.texts([(r["chunk_id"], r["bucket"]) for r in kept])
+            hits = hits.join(F.broadcast(texts.select("chunk_id", "filename", "text")), "chunk_id")
         rows = hits.orderBy(F.desc("score"), "file_id").withColumn("snippet", X.snippet(F.col("text"), words))
         rows = rows.select("file_id", "filename", "path", "extension", F.bround("score", 4).alias("score"), "snippet", R.match_names(F.col("match_source")).alias("source"), F.col("modified_at").cast("string").alias("modified"), F.col("dense_score")).collect()  # at most 100 rows
         items = [{"fileId": r["file_id"], "filename": r["filename"], "path": r["path"], "extension": r["extension"], "score": r["score"], "matchSnippet": r["snippet"], "matchSource": r["source"], "modifiedAt": r["modified"]} for r in rows]

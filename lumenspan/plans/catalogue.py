@@ -97,8 +97,10 @@ def index(spark: SparkSession, sf_dir: str, tokenizer: str = "simple") -> I.Inde
 
 
 def _top_chunks(spark: SparkSession, sf_dir: str, query, stored: bool = True) -> DataFrame:
-    found = index(spark, sf_dir).search(query) if stored else S.bm25(T.chunks(spark, sf_dir), query, "simple")
-    best = S.candidates(found.withColumn("bm25", F.round("bm25", 6)), SIMPLE)
+    if stored:
+        best = index(spark, sf_dir).top(query, S.most_candidates(SIMPLE), 6)
+    else:
+        best = S.candidates(S.bm25(T.chunks(spark, sf_dir), query, "simple").withColumn("bm25", F.round("bm25", 6)), SIMPLE)
     return best.select("file_id", "chunk_id", "bm25", "match_source")
 
 
@@ -157,7 +159,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC,
 def fts_bm25_topk(spark, sf_dir):
     """Flagship: best files for two words, with recency and extension boosts, one chunk a file (FTS10-FTS12, AGG6, TOP2)."""
     files = T.files(spark, sf_dir)
-    best = S.candidates(index(spark, sf_dir).search(Any((Atom("erin"), Atom("pour", True)))), SIMPLE)
+    best = index(spark, sf_dir).top(Any((Atom("erin"), Atom("pour", True))), S.most_candidates(SIMPLE))
     out = S.best_per_file(S.score_hits(best, files, ["erin", "pour"], now()), SIMPLE)
     return out.select("file_id", "path", "chunk_id", "match_source", F.round("score", 6).alias("score"))
 

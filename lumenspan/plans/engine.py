@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import wordpieces as W
+from ..functions.query import Any
 from ..operators import feedback as B
 from ..operators import index as I
 from ..operators import logs as L
 from ..operators import mutations as M
 from ..operators import results as R
+from ..operators import search as S
 from ..sources import corpus as T
 from ..sources import scan, store
 from ..sources.corpus import AS_OF, CHUNKS_SQL, CLICKS_SQL, FILES_SQL
 from ..streaming import jobs
 from . import api
-from .catalogue import BEST_SQL, EMBEDDED_SQL, HITS_SQL, _embedded, _hits, bm25_ctes, index, now, register
+from .catalogue import BEST_SQL, EMBEDDED_SQL, HITS_SQL, OR_TERMS, SIMPLE, TOP_SQL, _embedded, _hits, bm25_ctes, index, now, register
 from .language import Atom, stemmed_ctes
 
 
@@ -188,16 +192,61 @@ def embed_missing(spark, sf_dir):
 @register("SELECT count(*) AS postings, count(DISTINCT t) AS terms, CAST(sum(n) AS BIGINT) AS occurrences FROM (SELECT chunk_id, t, count(*) AS n FROM (SELECT chunk_id, unnest(list_concat(a, list_concat(b, c))) AS t FROM split_) GROUP BY 1, 2)", FILES_SQL, CHUNKS_SQL, bm25_ctes([Atom("x")], "true"))
 def index_rebuild(spark, sf_dir):
     """SNK12: an index of an older version is built anew, and its postings hold every occurrence of every term."""
-    at = f"{store.shared_dir(spark)}/lumenspan-index/{store.stamp(spark, f'{sf_dir}/documents.parquet')}"
+    at = f"{store.shared_dir(spark)}/lumenspan-rebuild/{uuid.uuid4().hex}"
+    fs, where = store.filesystem(spark, at)
+    fs.deleteOnExit(where)
     spark.range(1).write.mode("overwrite").parquet(f"{at}/version=0-simple/corpus")
-    store.delete(spark, f"{at}/version={I.VERSION}-simple/corpus")
-    own = index(spark, sf_dir)
+    own = I.ensure(spark, at, lambda: T.chunks(spark, sf_dir), "simple")
     if "version=0-simple" in store.names(spark, at):
         raise AssertionError("the older index must go")
-    found = spark.read.schema(I.POSTINGS).parquet(f"{own.home}/postings")
+    found = own.postings(own.blocks("", True))
     return found.agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"), F.sum(F.col("n_text") + F.col("n_filename") + F.col("n_folder_path")).alias("occurrences"))
 
 
+UPDATED_FILES_SQL = "files AS (SELECT * REPLACE (CASE WHEN doc_id % 10 = 4 THEN 'erin new ' || text ELSE text END AS text) FROM files_ WHERE doc_id % 10 <> 5)"
+
+
+@register(TOP_SQL, FILES_SQL.replace("files AS", "files_ AS", 1), UPDATED_FILES_SQL, CHUNKS_SQL, bm25_ctes([Atom("erin"), Atom("pour")], "{h0} OR {h1}"))
+def index_updates(spark, sf_dir):
+    """SNK2-SNK5, SNK13, SNK12, TOP1: the best chunks after three commits on an index: files come in, a tenth is rewritten, a tenth goes; the search equals one on a new index."""
+    at = f"{store.shared_dir(spark)}/lumenspan-updates/{uuid.uuid4().hex}"
+    fs, where = store.filesystem(spark, at)
+    fs.deleteOnExit(where)
+    kind, files = F.col("doc_id") % 10, T.files(spark, sf_dir, True)
+    own = I.Index(spark, at, "simple")
+    own.update(T.chunked(files.where(kind >= 3)))
+    own.update(T.chunked(files.where(kind < 3)))
+    changed = files.where(kind == 4).withColumn("text", F.concat(F.lit("erin new "), F.col("text")))
+    own.update(T.chunked(changed), files.where(kind.isin(4, 5)))
+    best = own.top(OR_TERMS, S.most_candidates(SIMPLE), 6)
+    return best.select("file_id", "chunk_id", "bm25", "match_source")
+
+
+@register("SELECT term, count(DISTINCT chunk_id) AS df FROM (SELECT chunk_id, unnest(list_concat(a, list_concat(b, c))) AS term FROM split_) GROUP BY term", FILES_SQL, CHUNKS_SQL, bm25_ctes([Atom("x")], "true"))
+def term_dictionary(spark, sf_dir):
+    """FTS3, AGG24: every term with its document frequency, from block counts alone."""
+    return index(spark, sf_dir).dictionary().select("term", F.col("df").cast("long").alias("df"))
+
+
+MAILS_SQL = """chunks AS (SELECT CAST(conv_id * 100 + turn AS VARCHAR) AS file_id, CAST(conv_id * 100 + turn AS VARCHAR) AS chunk_id, 0 AS chunk_index,
+  CASE WHEN turn % 3 = 1 THEN 'changed' ELSE role END AS filename, coalesce(text, '') AS text, '' AS folder_path FROM conversations WHERE turn % 3 <> 2)"""
+
+
+@register(TOP_SQL, MAILS_SQL, bm25_ctes([Atom("changed"), Atom("the")], "{h0} OR {h1}"))
+def mail_search(spark, sf_dir):
+    """SNK13: a search over mails (subject and body) after inserts, updates and deletes."""
+    at = f"{store.shared_dir(spark)}/lumenspan-mails/{uuid.uuid4().hex}"
+    fs, where = store.filesystem(spark, at)
+    fs.deleteOnExit(where)
+    id_ = (F.col("conv_id") * 100 + F.col("turn")).cast("string")
+    mails = T.table(spark, sf_dir, "conversations").select("turn", id_.alias("file_id"), id_.alias("chunk_id"), F.lit(0).alias("chunk_index"), F.col("role").alias("filename"), F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("folder_path"))
+    own = I.Index(spark, at, "simple")
+    own.update(mails.drop("turn"))
+    own.update(mails.where("turn % 3 = 1").withColumn("filename", F.lit("changed")).drop("turn"), mails.where("turn % 3 > 0"))
+    best = own.top(Any((Atom("changed"), Atom("the"))), S.most_candidates(SIMPLE), 6)
+    return best.select("file_id", "chunk_id", "bm25", "match_source")
+
+
 @register("SELECT conv_id * 100 + turn AS id, array_to_string(regexp_extract_all(lower(CASE WHEN turn % 3 = 1 THEN 'changed ' || coalesce(text, '') ELSE role || ' ' || coalesce(text, '') END), '[\\p{L}\\p{N}]+'), ' ') AS terms FROM conversations WHERE turn % 3 <> 2")
 def mail_index(spark, sf_dir):
     """SNK13: an index of mails after inserts, updates and deletes."""

@@ -118,7 +118,7 @@ STEM_QUERY = Any((Atom("things of"), Atom("eringly", True)))
 )
 def fts_stemmed_phrase(spark, sf_dir):
     """FTS1-FTS3: a phrase and a prefix whose words are stemmed as the texts are."""
-    best = S.candidates(index(spark, sf_dir, "porter").search(STEM_QUERY).withColumn("bm25", F.round("bm25", 6)), S.Options(20))
+    best = index(spark, sf_dir, "porter").top(STEM_QUERY, S.most_candidates(S.Options(20)), 6)
     return best.select("file_id", "chunk_id", "bm25", "match_source")
 
 
@@ -132,7 +132,7 @@ def fts_stemmed_phrase(spark, sf_dir):
 def fts_extensions_after(spark, sf_dir):
     """FLT11, Q2: extensions looked at after the best files are taken."""
     options = S.Options(20, 1, (".PDF", ".docx", ".md"), "post", "simple")
-    best = S.candidates(index(spark, sf_dir).search(Any((Atom("erin"), Atom("pour", True)))), options)
+    best = index(spark, sf_dir).top(Any((Atom("erin"), Atom("pour", True))), S.most_candidates(options))
     out = S.best_per_file(S.score_hits(best, T.files(spark, sf_dir), [], now()), options)
     return out.select("file_id", "path", "chunk_id", "match_source", six("score"))
 
@@ -146,7 +146,7 @@ def fts_extensions_after(spark, sf_dir):
 def fts_extensions_before(spark, sf_dir):
     """FLT11, Q2: extensions looked at before the best files are taken."""
     options = S.Options(20, 1, (".md",), "pre", "simple")
-    best = S.candidates(index(spark, sf_dir).search(Any((Atom("erin"), Atom("pour", True)))), options)
+    best = index(spark, sf_dir).top(Any((Atom("erin"), Atom("pour", True))), S.most_candidates(options))
     return S.best_per_file(S.score_hits(best, T.files(spark, sf_dir), [], now()), options).select("file_id", six("score"))
 
 

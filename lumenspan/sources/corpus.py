@@ -43,7 +43,12 @@ def files(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFram
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, chunk_index, chunk_id, text, start_offset, end_offset, content_hash, with filename and folder for the index."""
-    found = chunk_files(files(spark, sf_dir, True).select("file_id", "filename", "folder_path", "text"))
+    return chunked(files(spark, sf_dir, True))
+
+
+def chunked(found: DataFrame) -> DataFrame:
+    """The chunks of files with their texts."""
+    found = chunk_files(found.select("file_id", "filename", "folder_path", "text"))
     return found.withColumn("chunk_id", X.chunk_id(F.col("file_id"), F.col("chunk_index"))).withColumn("content_hash", X.content_hash(F.col("text")))
 
 

@@ -29,6 +29,32 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    fs, where = filesystem(spark, path)
+    return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside its place and moved there, so that readers see all of it or none."""
+    fs, where = filesystem(spark, path)
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    fs.delete(where, False)
+    fs.rename(part, where)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, where = filesystem(spark, path)
+    held = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8")
+    finally:
+        held.close()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session, the folder that driver and executors share.
 
