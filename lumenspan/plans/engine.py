@@ -18,7 +18,7 @@ from ..operators import search as S
 from ..sources import corpus as T
 from ..sources import scan, store
 from ..sources.corpus import AS_OF, CHUNKS_SQL, CLICKS_SQL, FILES_SQL
-from ..streaming import jobs
+from ..streaming import jobs, processors
 from . import api
 from .catalogue import BEST_SQL, EMBEDDED_SQL, HITS_SQL, OR_TERMS, SIMPLE, TOP_SQL, _embedded, _hits, bm25_ctes, index, now, register
 from .language import Atom, stemmed_ctes
@@ -143,6 +143,52 @@ def progress_throttle(spark, sf_dir):
     return jobs.throttle(e, "user_id", "event_type", ["ts", "event_id"], 6 * 3600).select("event_id", "event_type")
 
 
+PAUSED_SQL = "nexts AS (SELECT *, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) - epoch_ms(ts) AS pause FROM events)"
+HOUR = 3600.0
+
+
+def _streamed(spark, sf_dir, name: str, job):
+    """What a stream of all events, in six files of no order, makes of them; a last event of another user ends all waiting."""
+    at = f"{store.shared_dir(spark)}/lumenspan-{name}/{uuid.uuid4().hex}"
+    fs, where = store.filesystem(spark, at)
+    fs.deleteOnExit(where)
+    e = T.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("long").alias("user_id"), "event_type")
+    end = e.agg(F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("interval 90 days")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"))
+    e.repartition(6).write.parquet(f"{at}/events")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 3).parquet(f"{at}/*")
+    run = lambda: job(stream).writeStream.format("parquet").option("path", f"{at}-out").option("checkpointLocation", f"{at}-mark").trigger(availableNow=True).start().awaitTermination()
+    run()
+    end.write.parquet(f"{at}/ending")
+    run()  # goes on from the checkpoint
+    return spark.read.parquet(f"{at}-out").where("event_id >= 0")
+
+
+@register("SELECT event_id, event_type AS query FROM nexts WHERE pause IS NULL OR pause >= 6 * 3600000", PAUSED_SQL)
+def stream_debounce(spark, sf_dir):
+    """STR6: a stream where a newer text cancels an older one, with pauses of six hours: the test events are hours apart."""
+    return _streamed(spark, sf_dir, "debounce", lambda s: processors.debounced(s, text="event_type", gap=6 * HOUR, late="40 days")).select("event_id", F.col("text").alias("query"))
+
+
+@register(
+    "SELECT event_id, event_type FROM r WHERE shown",
+    "RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, event_type, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events)",
+    """r AS (SELECT user_id, n, event_id, ms, event_type, ms AS fired, true AS shown FROM e WHERE n = 1 UNION ALL
+SELECT e.user_id, e.n, e.event_id, e.ms, e.event_type, CASE WHEN e.event_type <> r.event_type OR e.ms - r.fired >= 6 * 3600000 THEN e.ms ELSE r.fired END, e.event_type <> r.event_type OR e.ms - r.fired >= 6 * 3600000
+FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)""",
+)
+def stream_throttle(spark, sf_dir):
+    """STR7: a stream of reports that are passed on at a change of phase, else six hours apart."""
+    return _streamed(spark, sf_dir, "throttle", lambda s: processors.throttled(s, phase="event_type", every=6 * HOUR, late="40 days")).select("event_id", F.col("text").alias("event_type"))
+
+
+@register(
+    "SELECT event_id, coalesce(nt = 'view' AND nms - ms <= 1800000 AND NOT (starts_with(event_type, nt) OR starts_with(nt, event_type)), false) AS is_bounce FROM (SELECT *, lead(event_type) OVER w AS nt, lead(ms) OVER w AS nms FROM (SELECT *, epoch_ms(ts) AS ms FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)) WHERE event_type = 'click'"
+)
+def stream_bounces(spark, sf_dir):
+    """STR4: a stream of clicks and searches, half an hour instead of ten seconds."""
+    return _streamed(spark, sf_dir, "bounces", lambda s: processors.bounces(s.withColumn("query", F.col("event_type")), 1800.0, "40 days")).select("event_id", "is_bounce")
+
+
 # -- mutations and stored state ---------------------------------------------------------
 
 

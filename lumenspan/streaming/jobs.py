@@ -1,16 +1,13 @@
-"""Structured Streaming jobs: ingest of changed files, running click counts, bounces, windows (STR1, STR3-STR7)."""
+"""Structured Streaming jobs: ingest of changed files, running click counts, windows (STR1-STR3, STR5-STR7); ``processors`` has those that remember."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as X
 from ..operators.chunks import chunk_files
@@ -139,45 +136,6 @@ def throttle(events: DataFrame, key: str, phase: str, order: list[str], every: f
     return events.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-BOUNCE_ROWS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("query", T.StringType()), T.StructField("is_bounce", T.BooleanType())])
-BOUNCE_STATE = T.StructType([T.StructField(c, t) for c, t in (("event_id", T.LongType()), ("ms", T.LongType()), ("query", T.StringType()))])
-
-
-def bounces(events: DataFrame, within_seconds: float = 10.0, late: str = "1 minute") -> DataFrame:
-    """STR4: each click with is_bounce, known when the user's next event comes or the time is up.
-
-    State is one click a user. ``events``: event_id, user_id, ts, event_type, query;
-    rows later than ``late`` behind the newest are dropped.
-    """
-    limit = int(within_seconds * 1000)
-
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        out = []
-        if state.hasTimedOut:
-            if held:
-                out.append((held[0], key[0], held[2], False))
-            state.remove()
-        else:
-            # A user's rows of one micro-batch: bounded by what a person does in that time.
-            rows = pd.concat(list(batches)).sort_values(["ms", "event_id"], kind="stable")
-            for r in rows.itertuples(index=False):
-                if held:
-                    a, b = held[2].lower(), (r.query or "").lower()
-                    typed_on = a.startswith(b) or b.startswith(a)
-                    out.append((held[0], key[0], held[2], bool(r.event_type == "view" and r.ms - held[1] <= limit and not typed_on)))
-                held = (int(r.event_id), int(r.ms), r.query or "") if r.event_type == "click" else None
-            if held:
-                state.update(held)
-                state.setTimeoutTimestamp(max(held[1] + limit, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(out, columns=[f.name for f in BOUNCE_ROWS]).astype({"is_bounce": bool})
-
-    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
-    return marked.select("event_id", "user_id", "ts", "ms", "event_type", "query").groupBy("user_id").applyInPandasWithState(judge, BOUNCE_ROWS, BOUNCE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def typing_sessions(keys: DataFrame, gap: str = "250 milliseconds", late: str = "1 minute") -> DataFrame:
     """STR6: what a user typed within pauses shorter than ``gap`` is one search, by its last text."""
     return keys.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.max_by("query", "ts").alias("query"), F.count("*").alias("keystrokes"))

@@ -10,7 +10,7 @@ import pytest
 from lumenspan.sources import compose
 from lumenspan.sources import extract as E
 from lumenspan.sources import scan
-from lumenspan.streaming import jobs
+from lumenspan.streaming import jobs, processors
 
 
 def zipped(parts: dict[str, str]) -> bytes:
@@ -199,7 +199,7 @@ def test_streaming_bounces_match_batch(spark, tmp_path):
     second = [_event(5, 1, 20, "click", "budget"), _event(6, 1, 40, "view", "roadmap"), _event(7, 3, 30, "click", "x")]
     last = [_event(8, 9, 1800, "view", "z"), _event(9, 9, 1900, "view", "z")]
     stream, batch = _stream(spark, tmp_path, [first, second, last])
-    q = jobs.bounces(stream, 10.0, "10 seconds").writeStream.format("memory").queryName("bounced").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = processors.bounces(stream, 10.0, "10 seconds").writeStream.format("memory").queryName("bounced").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = {r["event_id"]: r["is_bounce"] for r in spark.table("bounced").collect()}
     want = {r["event_id"]: r["is_bounce"] for r in bounces(batch, 10.0).collect()}
