@@ -26,6 +26,19 @@ def similar_to(vectors: DataFrame, queries: DataFrame, top: int = 20, least: flo
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "similarity")
 
 
+def pooled(tokens: DataFrame, by: str, column: str = "embedding", mask: str = "mask") -> DataFrame:
+    """FN26: (by, vector, n): the mean of each group's vectors whose ``mask`` isn't 0, scaled to length one; zeros where nothing counts or the mean is zero.
+
+    Components are averaged apart, so a group of any size combines before the shuffle and no task holds its vectors.
+    """
+    own = F.coalesce(F.col(mask), F.lit(0)) != 0
+    each = tokens.select(by, own.alias("_own"), F.posexplode(column).alias("_at", "_x"))
+    mean = each.groupBy(by, "_at").agg(F.coalesce(F.avg(F.when(F.col("_own"), F.col("_x").cast("double"))), F.lit(0.0)).alias("_x"), F.count_if("_own").alias("n"))
+    held = mean.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda e: e["_x"]).alias("v"), F.max("n").alias("n"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return held.select(by, F.transform("v", lambda x: F.when(norm > 0, x / norm).otherwise(0.0)).alias("vector"), "n")
+
+
 def rerank(hits: DataFrame, vectors: DataFrame, query: list[float]) -> DataFrame:
     """JN10, TOP4: keyword hits that have a vector, ranked by similarity (column dense_rank), ties by keyword rank."""
     met = hits.join(vectors, ["file_id", "chunk_index"]).withColumn("similarity", X.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])))

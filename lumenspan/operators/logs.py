@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import store
+
 PAIR = r'(\w+)=("(?:\\.|[^"\\])*"|\S*)'
 
 
@@ -31,16 +33,38 @@ def details(events: DataFrame) -> DataFrame:
     return events.where("category = 'PARSE_DETAIL'").select(F.col("kv.ext").alias("ext"), F.col("kv.stage").alias("stage"), F.expr("try_cast(kv.time_ms as double)").alias("ms"))
 
 
+#: Ranges that a round cuts a target's range of values into, and targets that are broadcast.
+RANGES, FEW_TARGETS = 256, 10_000
+
+
 def percentiles(rows: DataFrame, by: list[str], ps: list[int], value: str = "ms") -> DataFrame:
     """AGG13: nearest-rank percentiles as item min(floor(n p / 100), n - 1) of the sorted values, plus n, total and max.
 
-    Equal values are counted before they are ranked, so a group is a histogram, never a list.
+    Exact, and no group is ever sorted or met in one task: equal values are counted once,
+    then each round counts what lies in RANGES parts of a target's range of values and
+    goes on with the part that holds its rank, from that part's least to its largest value,
+    until these are equal. A window sees RANGES rows of a target.
     """
-    hist = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    up = Window.partitionBy(*by).orderBy("_v")
-    ranked = hist.withColumn("_to", F.sum("_c").over(up)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-    picks = [F.min(F.when(F.col("_to") > F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1), F.col("_v"))).alias(f"p{p}") for p in ps]
-    return ranked.groupBy(*by).agg(F.sum("_c").alias("n"), F.sum(F.col("_v") * F.col("_c")).alias("total_ms"), F.max("_v").alias("max_ms"), *picks)
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    hist = store.materialize(counted, "counted")
+    base = hist.groupBy(*by).agg(F.sum("_c").alias("n"), F.sum(F.col("_v") * F.col("_c")).alias("total_ms"), F.max("_v").alias("max_ms"), F.min("_v").alias("_lo"))
+    each = base.withColumn("_p", F.explode(F.array(*[F.lit(p) for p in ps])))
+    targets = store.materialize(each.select(*by, "n", "total_ms", "max_ms", "_p", F.least(F.floor(F.col("n") * F.col("_p") / 100), F.col("n") - 1).alias("_rank"), "_lo", F.col("max_ms").alias("_hi")), "targets")
+    own = [*by, "n", "total_ms", "max_ms", "_p"]
+    while unsettled := targets.where("_lo < _hi").count():
+        # Values of each target's range by part; ranks count from the range's start.
+        asked = targets.where("_lo < _hi").select(*[F.col(c).alias(f"_{c}") if c in by else F.col(c) for c in targets.columns])
+        asked = F.broadcast(asked) if unsettled <= FEW_TARGETS else asked
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+        met = hist.join(asked, [*same, F.col("_v").between(F.col("_lo"), F.col("_hi"))])
+        part = F.least(F.lit(RANGES - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANGES))
+        parts = met.groupBy(*own, "_rank", part.alias("_part")).agg(F.sum("_c").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        up = Window.partitionBy(*own).orderBy("_part")
+        held = parts.withColumn("_to", F.sum("_m").over(up)).where((F.col("_to") > F.col("_rank")) & (F.col("_to") - F.col("_m") <= F.col("_rank")))
+        now = held.select(*own, (F.col("_rank") - F.col("_to") + F.col("_m")).alias("_rank"), "_lo", "_hi")
+        targets = store.materialize(now.unionByName(targets.where("_lo >= _hi")), "targets")
+    picks = [F.max(F.when(F.col("_p") == p, F.col("_lo"))).alias(f"p{p}") for p in ps]
+    return targets.groupBy(*own[:-1]).agg(*picks)
 
 
 def by_extension(rows: DataFrame) -> DataFrame:

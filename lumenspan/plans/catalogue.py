@@ -146,6 +146,9 @@ def fts_match_counts(spark, sf_dir):
     return S.match_counts(T.chunks(spark, sf_dir), OR_TERMS, some, "simple")
 
 
+BOUNCE_SQL = """nexts AS (SELECT *, lead(event_type) OVER w AS nt, lead(ts) OVER w AS nts, lead(query) OVER w AS nq FROM click_log WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+bounced AS (SELECT *, coalesce(nt = 'view' AND (epoch_us(nts) - epoch_us(ts)) / 1e6 <= 1800 AND NOT (starts_with(query, nq) OR starts_with(nq, query)), false) AS is_bounce FROM nexts WHERE event_type = 'click'),
+clicks AS (SELECT b.query, lower(f.path) AS path_key, count(*) AS click_count, max(ts) AS last_clicked, min(position) AS position, bool_or(is_bounce) AS is_bounce FROM bounced b JOIN files f USING (doc_id) GROUP BY 1, 2)"""
 BOOST_SQL = "CASE " + " ".join(f"WHEN lower(extension) = '{e}' THEN {b}" for e, b in words.EXTENSION_BOOST.items()) + " ELSE 1.0 END"
 BEST_SQL = f"""candidates AS (SELECT *, round(bm25, 6) AS raw FROM scored ORDER BY bm25 DESC, chunk_id LIMIT 60),
 ranked AS (
@@ -164,6 +167,41 @@ def fts_bm25_topk(spark, sf_dir):
     return out.select("file_id", "path", "chunk_id", "match_source", F.round("score", 6).alias("score"))
 
 
+@register(
+    "SELECT file_id, path, chunk_id, match_source, round(click_boost, 6) AS click_boost, round(score, 6) AS score FROM boosted_best WHERE n = 1 ORDER BY score DESC, file_id LIMIT 20",
+    FILES_SQL,
+    CHUNKS_SQL,
+    CLICKS_SQL,
+    BOUNCE_SQL,
+    bm25_ctes([Atom("erin"), Atom("pour")], "{h0} OR {h1}"),
+    f"""candidates AS (SELECT * FROM scored ORDER BY bm25 DESC, chunk_id LIMIT 60),
+boosts AS (SELECT path_key, CASE WHEN is_bounce THEN 0.0 ELSE least(1.0, least(1.0, 0.1 * click_count) * log2(position + 2.0)) END AS click_boost FROM clicks WHERE query = 'q7'),
+ranked AS (SELECT c.file_id, c.chunk_id, c.match_source, f.path, c.bm25 AS raw_bm25, coalesce(b.click_boost, 0.0) AS click_boost,
+  c.bm25 * {RECENCY} * {BOOST_SQL} * (1 + coalesce(b.click_boost, 0.0)) + CASE WHEN regexp_matches(f.filename, '(^|[^\\p{{L}}\\p{{N}}])v1($|[^\\p{{L}}\\p{{N}}])') THEN 0.5 ELSE 0.0 END AS score
+  FROM candidates c JOIN files f USING (file_id) LEFT JOIN boosts b ON b.path_key = lower(f.path)),
+boosted_best AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, raw_bm25 DESC, chunk_id) AS n FROM ranked)""",
+)
+def fts_click_boost(spark, sf_dir):
+    """JN9, FTS10, FTS13: a search with the click boosts of a query, and half a point for a word that stands in the file name by itself."""
+    files, boosts = T.files(spark, sf_dir), B.boosts(_clicks(spark, sf_dir), "q7")
+    best = index(spark, sf_dir).top(OR_TERMS, S.most_candidates(SIMPLE))
+    out = S.best_per_file(S.score_hits(best, files, ["v1"], now(), boosts), SIMPLE)
+    return out.select("file_id", "path", "chunk_id", "match_source", six("click_boost"), six("score"))
+
+
+@register(
+    """SELECT label, list(round(CASE WHEN norm > 0 THEN m / norm ELSE 0 END, 6) ORDER BY i) AS vector, max(n) AS n
+FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY label)) AS norm FROM (
+  SELECT label, i, coalesce(avg(x) FILTER (own), 0.0) AS m, count(*) FILTER (own) AS n
+  FROM (SELECT label, vec_id % 3 <> 0 AS own, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY label, i))
+GROUP BY label"""
+)
+def pooled_vectors(spark, sf_dir):
+    """FN26: the masked mean of vectors, scaled to length one."""
+    e = T.embeddings(spark, sf_dir).withColumn("mask", (F.col("vec_id") % 3 != 0).cast("int"))
+    return D.pooled(e, "label").select("label", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"), "n")
+
+
 @register(
     "SELECT file_id, path FROM files WHERE len(list_filter(regexp_extract_all(lower(filename), '[\\p{L}\\p{N}]+'), lambda x: starts_with(x, 'docx'))) + len(list_filter(regexp_extract_all(lower(path), '[\\p{L}\\p{N}]+'), lambda x: starts_with(x, 'docx'))) > 0 ORDER BY modified_at DESC, path LIMIT 20",
     FILES_SQL,
@@ -560,11 +598,6 @@ def _clicks(spark, sf_dir) -> DataFrame:
     return B.click_table(log.join(T.files(spark, sf_dir).select("doc_id", "path"), "doc_id"))
 
 
-BOUNCE_SQL = """nexts AS (SELECT *, lead(event_type) OVER w AS nt, lead(ts) OVER w AS nts, lead(query) OVER w AS nq FROM click_log WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-bounced AS (SELECT *, coalesce(nt = 'view' AND (epoch_us(nts) - epoch_us(ts)) / 1e6 <= 1800 AND NOT (starts_with(query, nq) OR starts_with(nq, query)), false) AS is_bounce FROM nexts WHERE event_type = 'click'),
-clicks AS (SELECT b.query, lower(f.path) AS path_key, count(*) AS click_count, max(ts) AS last_clicked, min(position) AS position, bool_or(is_bounce) AS is_bounce FROM bounced b JOIN files f USING (doc_id) GROUP BY 1, 2)"""
-
-
 @register("SELECT event_id, is_bounce FROM bounced", FILES_SQL, CLICKS_SQL, BOUNCE_SQL)
 def click_bounces(spark, sf_dir):
     """STR4 in batch, with half an hour instead of ten seconds: the test events are hours apart."""

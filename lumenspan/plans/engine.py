@@ -72,32 +72,25 @@ def file_lookups(spark, sf_dir):
     return spark.createDataFrame([*rows, (None, "/none", e.exists("/none"))], "file_id string, path string, there boolean")
 
 
-@register("SELECT * FROM (VALUES ('plan', '/a/x.txt', 2, 0, true), ('budget', '/a/y.txt', 1, 4, false), ('budget', '/a/x.txt', 1, 3, false)) x(query, path_key, click_count, position, is_bounce)")
+@register("SELECT * FROM clicks", FILES_SQL, """bounced AS (SELECT event_id, doc_id, ts, query, position, coalesce(nt = 'view' AND nms - ms <= 1800000 AND NOT (starts_with(query, nq) OR starts_with(nq, query)), false) AS is_bounce
+  FROM (SELECT *, lead(event_type) OVER w AS nt, lead(ms) OVER w AS nms, lead(query) OVER w AS nq FROM (SELECT *, epoch_ms(ts) AS ms FROM click_log) WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)) WHERE event_type = 'click'),
+clicks AS (SELECT b.query, lower(f.path) AS path_key, count(*) AS click_count, min(position) AS position, bool_or(is_bounce) AS is_bounce FROM bounced b JOIN files f USING (doc_id) GROUP BY 1, 2)""".replace("bounced AS", CLICKS_SQL + ",\nbounced AS", 1))
 def api_clicks(spark, sf_dir):
-    """API9, SNK10, STR4: clicks and searches as a session records them."""
-    e = api.Engine(T.files(spark, sf_dir), None, now())
-    e.record_click("The Plan", "/A/x.txt/", 3, 100.0)
-    e.on_new_search("plans", 101.0)  # typed on
-    e.record_click("plan", "/a/X.txt", 0, 200.0)
-    e.on_new_search("budget", 209.0)  # a bounce
-    e.record_click("budget", "/a/y.txt", 4, 300.0)
-    e.on_new_search("other", 311.0)  # too late for one
-    e.record_click("budget", "/a/x.txt", 3, 400.0)
-    return e.recorded_clicks().select("query", "path_key", F.col("click_count").cast("int").alias("click_count"), "position", "is_bounce")
-
-
-@register("SELECT 1 AS searches, 1 AS empty, 31 AS mean_ms, 0 AS bm25, 1 AS hybrid, 0 AS top_clicks")
+    """API9, SNK10, STR4: clicks and searches of all sessions, as a stream of the log judges them."""
+    log = T.click_log(spark, sf_dir)
+    judged = _streamed(log.select("event_id", "ts", "user_id", "event_type", "query"), "api-clicks", lambda s: processors.bounces(s, 1800.0, "40 days"))
+    met = log.drop("user_id", "query").join(judged, "event_id").join(T.files(spark, sf_dir).select("doc_id", "path"), "doc_id")
+    return B.click_table(met).select("query", "path_key", "click_count", "position", "is_bounce")
+
+
+@register("SELECT count(*) FILTER (event_id % 4 = 0) AS searches, count(*) FILTER (event_id % 4 = 0 AND event_id % 13 = 0) AS empty, count(*) FILTER (event_id % 4 = 0 AND event_id % 3 = 0) AS fast, count(*) FILTER (event_id % 4 = 0 AND event_id % 3 = 1) AS smart FROM events")
 def api_telemetry(spark, sf_dir):
-    """API9, AGG19, AGG20: counters less what was sent, with a search that came in meanwhile; what the sent mean rounded off stays."""
-    e = api.Engine(T.files(spark, sf_dir), None, now())
-    e.record_search("FtsOnly", 10, 4)
-    e.record_search("FtsOnly", 21, 4)
-    e.record_top_click()
-    sent = e.snapshot()
-    e.record_search("Hybrid", 30, 0)
-    e.acknowledge(sent)
-    s = e.snapshot()
-    return spark.createDataFrame([(s["searches"], s["empty"], s["mean_ms"], s["FtsOnly"], s["Hybrid"], s["top_clicks"])], "searches int, empty int, mean_ms int, bm25 int, hybrid int, top_clicks int")
+    """API9, AGG19, AGG20: counters of all searches less those that were sent before the last ones came in."""
+    e = T.table(spark, sf_dir, "events")
+    mode = F.get(F.array(F.lit("Fast"), F.lit("Smart"), F.lit("Deep")), (F.col("event_id") % 3).cast("int"))
+    s = e.select("event_id", mode.alias("mode"), (F.col("event_id") % 500).alias("duration_ms"), F.when(F.col("event_id") % 13 == 0, 0).otherwise(5).alias("results"))
+    all_, sent = (B.telemetry(x, F.lit(0)) for x in (s, s.where("event_id % 4 <> 0")))
+    return B.subtract(all_, sent, ["searches", "empty", "fast", "smart"])
 
 
 @register("SELECT greatest(0, a - b) AS searches, greatest(0, c - d) AS clicks FROM (SELECT count(*) FILTER (event_type = 'view') AS a, count(*) FILTER (event_type = 'view' AND event_id % 3 = 0) AS b, count(*) FILTER (event_type = 'click' AND event_id % 3 = 0) AS c, count(*) FILTER (event_type = 'click') AS d FROM events)")
@@ -147,13 +140,18 @@ PAUSED_SQL = "nexts AS (SELECT *, lead(epoch_ms(ts)) OVER (PARTITION BY user_id
 HOUR = 3600.0
 
 
-def _streamed(spark, sf_dir, name: str, job):
-    """What a stream of all events, in six files of no order, makes of them; a last event of another user ends all waiting."""
+def _events(spark, sf_dir):
+    return T.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+
+
+def _streamed(events, name: str, job):
+    """What a stream of all ``events``, in six files of no order, makes of them; a last event of another user ends all waiting."""
+    spark = events.sparkSession
     at = f"{store.shared_dir(spark)}/lumenspan-{name}/{uuid.uuid4().hex}"
     fs, where = store.filesystem(spark, at)
     fs.deleteOnExit(where)
-    e = T.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("long").alias("user_id"), "event_type")
-    end = e.agg(F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("interval 90 days")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"))
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    end = e.agg((F.max("ts") + F.expr("interval 90 days")).alias("ts")).select(*[F.col(c) if c == "ts" else F.lit(-1).cast(t).alias(c) if t != "string" else F.lit("end").alias(c) for c, t in e.dtypes])
     e.repartition(6).write.parquet(f"{at}/events")
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 3).parquet(f"{at}/*")
     run = lambda: job(stream).writeStream.format("parquet").option("path", f"{at}-out").option("checkpointLocation", f"{at}-mark").trigger(availableNow=True).start().awaitTermination()
@@ -166,7 +164,7 @@ def _streamed(spark, sf_dir, name: str, job):
 @register("SELECT event_id, event_type AS query FROM nexts WHERE pause IS NULL OR pause >= 6 * 3600000", PAUSED_SQL)
 def stream_debounce(spark, sf_dir):
     """STR6: a stream where a newer text cancels an older one, with pauses of six hours: the test events are hours apart."""
-    return _streamed(spark, sf_dir, "debounce", lambda s: processors.debounced(s, text="event_type", gap=6 * HOUR, late="40 days")).select("event_id", F.col("text").alias("query"))
+    return _streamed(_events(spark, sf_dir), "debounce", lambda s: processors.debounced(s, text="event_type", gap=6 * HOUR, late="40 days")).select("event_id", F.col("text").alias("query"))
 
 
 @register(
@@ -178,7 +176,7 @@ FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)""",
 )
 def stream_throttle(spark, sf_dir):
     """STR7: a stream of reports that are passed on at a change of phase, else six hours apart."""
-    return _streamed(spark, sf_dir, "throttle", lambda s: processors.throttled(s, phase="event_type", every=6 * HOUR, late="40 days")).select("event_id", F.col("text").alias("event_type"))
+    return _streamed(_events(spark, sf_dir), "throttle", lambda s: processors.throttled(s, phase="event_type", every=6 * HOUR, late="40 days")).select("event_id", F.col("text").alias("event_type"))
 
 
 @register(
@@ -186,7 +184,7 @@ def stream_throttle(spark, sf_dir):
 )
 def stream_bounces(spark, sf_dir):
     """STR4: a stream of clicks and searches, half an hour instead of ten seconds."""
-    return _streamed(spark, sf_dir, "bounces", lambda s: processors.bounces(s.withColumn("query", F.col("event_type")), 1800.0, "40 days")).select("event_id", "is_bounce")
+    return _streamed(_events(spark, sf_dir), "bounces", lambda s: processors.bounces(s.withColumn("query", F.col("event_type")), 1800.0, "40 days")).select("event_id", "is_bounce")
 
 
 # -- mutations and stored state ---------------------------------------------------------
@@ -337,11 +335,17 @@ def word_piece_ids(spark, sf_dir):
     return T.table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("sum_ids"))
 
 
-@register("SELECT * FROM (VALUES ('asked', '/a,/b'), ('settings', '/s'), ('home', '/home/me')) x(source, roots)")
+@register("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN folder_path || '|/b' WHEN 1 THEN '/s' ELSE '/home/' || doc_id END AS roots FROM files", FILES_SQL)
 def scan_roots(spark, sf_dir):
-    """SRC2"""
-    rows = [("asked", scan.scan_roots(["/a", "/b"], {"scan_roots": ["/s"]})), ("settings", scan.scan_roots(None, {"scan_roots": ["/s"]})), ("home", scan.scan_roots([], {}, "/home/me"))]
-    return spark.createDataFrame([(n, ",".join(r)) for n, r in rows], "source string, roots string")
+    """SRC2: folders asked for, else those of the settings, else the home folder, for a call of each document."""
+
+    @F.pandas_udf("string")
+    def roots(asked, settings, home):
+        return (asked + "\n" + settings + "\n" + home).map(lambda x: "|".join(scan.scan_roots(x.split("\n")[0].split("|") if x.split("\n")[0] else None, {"scan_roots": x.split("\n")[1].split("|")} if x.split("\n")[1] else None, x.split("\n")[2])))
+
+    kind = F.col("doc_id") % 3
+    asked, settings = F.when(kind == 0, F.concat("folder_path", F.lit("|/b"))).otherwise(""), F.when(kind != 2, "/s").otherwise("")
+    return T.files(spark, sf_dir).select("doc_id", roots(asked, settings, F.concat(F.lit("/home/"), F.col("doc_id").cast("string"))).alias("roots"))
 
 
 @register("SELECT doc_id, 'x' || chr(9) || 'CAT' || chr(9) || 'path=\"' || path || ' copy\"' || chr(9) || 'n=' || size_bytes AS line, path || ' copy' AS back FROM files", FILES_SQL)

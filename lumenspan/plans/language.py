@@ -190,58 +190,62 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) x({names})"
 
 
-#: Queries in words and their expressions, written by hand from the rules.
-EXPRESSIONS = [
-    ("run", '"run"'),
-    ("budget", '"budget"*'),
-    ("the a an is are", None),
-    ("", None),
-    ("budget report", '(("budget"* OR "report"*) OR "port"*)'),
-    ("how to configure the network settings", '(("configure"* OR "network"* OR "settings"*) OR "nfigure"*)'),
-    ('"annual report"', '"annual report"'),
-    ('"annual report" 2023', '("annual report" AND "2023"*)'),
-    ('"a b" "c d" e', '("a b" AND "c d" AND "e")'),
-    ('say "" hi', '("say" OR "hi")'),
-    ("api key", '("api"* OR "key")'),
-    ("cad", '("cad" OR "도면"*)'),
-    ("e-mail", '(("e" OR "mail"*) OR "email"*)'),
-    ("re-index", '(("re" OR "index"*) OR "reindex"*)'),
-    ("reindex", '("reindex"* OR "index"*)'),
-    ("계약서", '("계약서"* OR ("contract"* OR "계약"*))'),
-    ("보고서양식", '("보고서양식"* OR ("보고"* AND "서양"*))'),
-    ("年度報告", '("年度"* AND "度報"* AND "報告"*)'),
-    ("年度", '"年度"*'),
-    ("photo", '("photo"* OR "사진"*)'),
-    ("word excel", '(("word"* OR "excel"*) OR ("워드"* OR "엑셀"* OR "cel"*))'),
-]
-
-
-@register(_values([(q, e) for q, e in EXPRESSIONS], "query, expression"))
+WORDS_SQL = "words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)"
+
+
+def _document_words(spark, sf_dir) -> DataFrame:
+    """The distinct words of all documents, in the letters a to z."""
+    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))
+    return T.table(spark, sf_dir, "documents").select(found.alias("w")).distinct()
+
+
+def _list_sql(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _more_sql() -> str:
+    """What the expansion table adds to a word, then what is left behind the first prefix that fits."""
+    table = "CASE w " + " ".join(f"WHEN '{k}' THEN {_list_sql([e for e in v if not e.startswith('.')])}::VARCHAR[]" for k, v in words.EXPANSIONS.items() if k.isascii()) + " ELSE []::VARCHAR[] END"
+    prefix = f"list_filter({_list_sql(words.COMPOUND_PREFIXES)}, lambda p: length(w) >= greatest(4, length(p) + 3) AND starts_with(w, p))[1]"
+    return f"list_concat({table}, CASE WHEN {prefix} IS NULL THEN []::VARCHAR[] ELSE [substr(w, length({prefix}) + 1)] END)"
+
+
+@register(
+    f"""SELECT w AS query, CASE WHEN list_contains({STOPS_SQL}, w) THEN NULL WHEN len(more) = 0 THEN own WHEN len(more) = 1 THEN '(' || own || ' OR ' || more[1] || ')' ELSE '(' || own || ' OR (' || array_to_string(more, ' OR ') || '))' END AS expression
+FROM (SELECT w, '"' || w || '"' || CASE WHEN length(w) >= 4 OR list_contains({_list_sql(sorted(words.ACRONYMS))}, upper(w)) THEN '*' ELSE '' END AS own, list_transform({_more_sql()}, lambda x: '"' || x || '"*') AS more FROM words)""",
+    WORDS_SQL,
+)
 def query_expressions(spark, sf_dir):
-    """FN7-FN11, SET3, FTS2-FTS4: from words to an expression of terms, prefixes and phrases."""
-    return spark.createDataFrame([(q, str(e) if (e := Q.parse(q)) is not None else None) for q, _ in EXPRESSIONS], "query string, expression string")
+    """FN7, FN9-FN11, SET3, FTS3: the expression that every word of the documents becomes as a query."""
 
+    @F.pandas_udf("string")
+    def expression(w):
+        return w.map(lambda q: str(e) if (e := Q.parse(q)) is not None else None)
 
-#: Words with their stems by the two published algorithms (the second's from its published sample vocabulary).
-STEMS = [
-    ("caresses", "caress", "caress"), ("ponies", "poni", "poni"), ("ties", "ti", "tie"), ("cats", "cat", "cat"), ("agreed", "agre", "agre"), ("plastered", "plaster", "plaster"),
-    ("motoring", "motor", "motor"), ("hopping", "hop", "hop"), ("falling", "fall", "fall"), ("filing", "file", "file"), ("happy", "happi", "happi"), ("sky", "sky", "sky"),
-    ("relational", "relat", "relat"), ("conditional", "condit", "condit"), ("hopefulness", "hope", "hope"), ("formalize", "formal", "formal"), ("electrical", "electr", "electr"), ("adjustment", "adjust", "adjust"),
-    ("consigned", "consign", "consign"), ("consistency", "consist", "consist"), ("consolatory", "consolatori", "consolatori"), ("conspiracy", "conspiraci", "conspiraci"), ("knackeries", "knackeri", "knackeri"), ("knives", "knive", "knive"),
-    ("documents", "document", "document"), ("running", "run", "run"), ("configuration", "configur", "configur"), ("dying", "dy", "die"), ("news", "new", "news"), ("보고서", "보고서", "보고서"),
-]
+    return _document_words(spark, sf_dir).select(F.col("w").alias("query"), expression("w").alias("expression"))
 
 
-@register(_values(STEMS, "word, first, second"))
+@register("SELECT t AS word, s AS stem FROM stems", WORDS_SQL, "found AS (SELECT w AS t FROM words)", stem_ctes("found"))
 def stem_words(spark, sf_dir):
-    """FTS1, FN12: the index's and the snippets' stemmers."""
-    return spark.createDataFrame([(w, porter1(w), porter2(w)) for w, _, _ in STEMS], "word string, first string, second string")
+    """FTS1: the index's stem of every word of the documents."""
+
+    @F.pandas_udf("string")
+    def stem(w):
+        return w.map(porter1)
 
+    return _document_words(spark, sf_dir).select(F.col("w").alias("word"), stem("w").alias("stem"))
 
-@register(_values([("10MB", 10 << 20), ("7", 7), ("1.5 KB", 1536), ("2gb", 2 << 30), ("12B", 12)], "size, bytes"))
+
+@register("SELECT doc_id, CAST(n_chars * CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END AS BIGINT) AS bytes FROM documents")
 def size_options(spark, sf_dir):
-    """FN35"""
-    return spark.createDataFrame([(s, scan.parse_size(s)) for s in ("10MB", "7", "1.5 KB", "2gb", "12B")], "size string, bytes long")
+    """FN35: sizes as they are typed, of every document, in bytes."""
+
+    @F.pandas_udf("long")
+    def size(text):
+        return text.map(scan.parse_size)
+
+    unit = F.get(F.array(F.lit(""), F.lit("KB"), F.lit(" mb"), F.lit("GB")), (F.col("doc_id") % 4).cast("int"))
+    return T.table(spark, sf_dir, "documents").select("doc_id", size(F.concat(F.col("n_chars").cast("string"), unit)).alias("bytes"))
 
 
 # -- names and paths -------------------------------------------------------------

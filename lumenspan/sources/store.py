@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +30,16 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
 
+def materialize(df, name: str):
+    """``df`` written to the shared folder and read back: computed once, and its lineage ends there. The files go with the application."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lumenspan/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, where = filesystem(spark, path)
+    fs.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def size(spark: SparkSession, path: str) -> int:
     """Bytes of all files below a path."""
     fs, where = filesystem(spark, path)
