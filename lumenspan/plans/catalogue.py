@@ -240,6 +240,32 @@ def chunk_slices(spark, sf_dir):
     return T.chunks(spark, sf_dir).select("file_id", "chunk_id", "chunk_index", "content_hash", "start_offset", F.length("text").cast("long").alias("n_chars"))
 
 
+PARAGRAPHS_SQL = """RECURSIVE parts AS (SELECT doc_id, n, part, length(part) AS len, CAST(coalesce(sum(length(part) + 2) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins
+  FROM (SELECT doc_id, unnest(l) AS part, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> ''))),
+steps AS (
+  SELECT doc_id, n, len > 0 AND len <= 1000 AS open, CASE WHEN len <= 1000 THEN len ELSE 0 END AS long, CASE WHEN len > 0 AND len <= 1000 THEN n END AS g FROM parts WHERE n = 1
+  UNION ALL
+  SELECT p.doc_id, p.n, p.len <= 1000 AND (p.len > 0 OR s.open AND s.long + 2 + p.len <= 1000),
+    CASE WHEN p.len > 1000 THEN 0 WHEN s.open AND s.long + 2 + p.len <= 1000 THEN s.long + 2 + p.len ELSE p.len END,
+    CASE WHEN p.len > 1000 THEN NULL WHEN s.open AND s.long + 2 + p.len <= 1000 THEN s.g WHEN p.len > 0 THEN p.n END
+  FROM steps s JOIN parts p ON p.doc_id = s.doc_id AND p.n = s.n + 1)"""
+
+
+@register(
+    """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_offset) - 1 AS INT) AS chunk_index, start_offset, length(text) AS n_chars, md5(text) AS mark FROM (
+  SELECT doc_id, min(begins) AS start_offset, string_agg(part, chr(10) || chr(10) ORDER BY n) AS text FROM parts JOIN steps USING (doc_id, n) WHERE g IS NOT NULL GROUP BY doc_id, g
+  UNION ALL SELECT doc_id, begins + i * 1000, substr(part, i * 1000 + 1, 1000) FROM (SELECT *, unnest(range(0, CAST(ceil(len / 1000.0) AS BIGINT))) AS i FROM parts WHERE len > 1000))
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start_offset) <= 500""",
+    PARAGRAPHS_SQL,
+)
+def chunk_paragraphs(spark, sf_dir):
+    """FN20, TOP13: whole paragraphs packed up to a thousand characters, longer ones cut; every line of a text is a paragraph, apart by blank lines of either kind."""
+    docs = T.table(spark, sf_dir, "documents")
+    apart = F.when(F.col("doc_id") % 2 == 0, "\n\n").otherwise("\r\n\r\n")
+    found = K.chunk_files(docs.select("doc_id", F.replace(F.col("text"), F.lit("\n"), apart).alias("text")))
+    return found.select("doc_id", "chunk_index", "start_offset", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("mark"))
+
+
 @register("SELECT content_hash, count(*) AS copies, min(chunk_id) AS first_chunk FROM chunks GROUP BY content_hash HAVING count(*) > 1", FILES_SQL, CHUNKS_SQL)
 def chunk_duplicates(spark, sf_dir):
     """Copies by content hash."""
