@@ -19,6 +19,7 @@ from ..operators import logs as L
 from ..operators import mutations as M
 from ..operators import results as R
 from ..operators import search as S
+from ..operators import substrings as G
 from ..sources import corpus as T
 from ..sources import store
 from ..sources.corpus import AS_OF, CHUNKS_SQL, CLICKS_SQL, FILES_SQL, LOG_SQL
@@ -302,6 +303,26 @@ def quick_search(spark, sf_dir):
     return C.quick_search(T.files(spark, sf_dir), "src3, doc_7").select("file_id", "path")
 
 
+def _substrings(spark: SparkSession, sf_dir: str) -> G.Substrings:
+    """Trigrams of all names and paths in the shared folder, built on first use."""
+    at = f"{store.shared_dir(spark)}/lumenspan-grams/{store.stamp(spark, f'{sf_dir}/documents.parquet')}"
+    if not G.exists(spark, at):
+        G.build(T.files(spark, sf_dir), at)
+    return G.Substrings(spark, at)
+
+
+@register("SELECT file_id, path FROM files WHERE (contains(lower(filename), 'doc_1') OR contains(lower(path), 'doc_1')) AND contains(lower(path), '2') AND contains(lower(path), 'us/en') ORDER BY modified_at DESC, path LIMIT 20", FILES_SQL)
+def filename_like_stored(spark, sf_dir):
+    """FLT9, FTS8 by trigrams: every word in name or path, one of them a single letter; only candidates are read."""
+    return _substrings(spark, sf_dir).search(T.files(spark, sf_dir), ["Doc_1", "2", "us/EN"]).select("file_id", "path")
+
+
+@register("SELECT file_id, path FROM files WHERE contains(lower(path), 'src3') OR contains(lower(path), 'doc_7') OR contains(lower(path), 'no such name') ORDER BY modified_at DESC, path LIMIT 20", FILES_SQL)
+def quick_search_stored(spark, sf_dir):
+    """FLT10, API6 by trigrams: any word in name or path."""
+    return _substrings(spark, sf_dir).search(T.files(spark, sf_dir), ["src3", "doc_7", "no such name"], every=False).select("file_id", "path")
+
+
 @register("SELECT file_id FROM files WHERE extension IN ('.txt', '.md', '.log') AND modified_at >= TIMESTAMP '2024-07-01' - INTERVAL 200 DAY AND year(modified_at) = 2024", FILES_SQL)
 def type_and_date_filter(spark, sf_dir):
     """FLT12, FLT13"""
