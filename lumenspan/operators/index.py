@@ -45,7 +45,7 @@ SAMPLE = 2000
 #: Buckets whose bounds the driver holds; beyond that they stay a table.
 LOCAL = 4096
 #: Postings that are scored without choosing among their buckets.
-FEW = 1 << 14
+FEW = 1 << 16
 #: Ids whose texts can be asked for at once.
 MOST_TEXTS = 600
 NAMES = [c for c, _, _ in COLUMNS]
