@@ -55,6 +55,7 @@ def test_boosts(spark):
     now = F.lit(datetime.datetime(2024, 7, 1)).cast("timestamp_ntz")
     assert one(spark, X.recency_boost(F.lit(datetime.datetime(2023, 7, 2)).cast("timestamp_ntz"), now)) == pytest.approx(0.5)
     assert one(spark, X.recency_boost(F.lit(None).cast("timestamp_ntz"), now)) == 1.0
+    assert one(spark, X.recency_boost(F.lit(datetime.datetime(2025, 7, 1)).cast("timestamp_ntz"), F.lit(datetime.datetime(2024, 7, 1)).cast("timestamp_ntz"))) == float("inf")  # as in SQL, no division by zero
     assert one(spark, X.click_boost(F.lit(2), F.lit(0), F.lit(False))) == pytest.approx(0.2)
     assert one(spark, X.click_boost(F.lit(9), F.lit(3), F.lit(True))) == 0.0
 
