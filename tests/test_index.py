@@ -145,3 +145,21 @@ def test_odd_chunks(spark, tmp_path):
     with pytest.raises(Exception, match="the most is"):
         own.update(spark.createDataFrame([("d", "d0", 0, "y " * (1 << 20), "", "")], chunks.schema))
     assert I.Index(spark, str(tmp_path), "simple").rows == 4  # a failed update leaves the commit before
+
+
+def test_files_stay_small_where_a_term_is_heavy(spark, tmp_path, monkeypatch):
+    """A task sorts a bounded part of the blocks: files are of like size, and a frequent term is dealt over several of them."""
+    assert I._cuts([("", 5), ("a", 5), ("b", 40), ("c", 5), ("d", 5)], 6) == ["", "b", "b", "b", "b", "c"]
+    assert I._cuts([], 3) == [""] == I._cuts([("", 1)], 1) and I._cuts([("", 9), ("a", 1)], 5)[:3] == [""] * 3
+    monkeypatch.setattr(I, "FILE_BYTES", 5 << 10)
+    own, chunks = I.Index(spark, str(tmp_path), "simple"), made(spark, range(400), 6)
+    own.update(chunks)
+    lows = own.segments[0].lows
+    assert len(lows) > 8 and max(map(lows.count, set(lows))) > 1 and lows == sorted(lows)
+    sizes = [r["size"] for r in own._stored("blocks").groupBy(F.col("_metadata.file_name")).agg(F.sum(I.BLOCK_BYTES + 4 * F.size("at")).alias("size")).collect()]
+    assert len(sizes) > 8 and max(sizes) < 20 << 10
+    same(own, chunks, QUERIES[1:2])
+    assert own.frequencies(Atom("w0")) == {0: chunks.where("array_contains(split(text, ' '), 'w0') or filename = 'w0.txt'").count()}
+    counted = own.postings(own.blocks("", True))
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()  # a posting lies in one block
+    assert counted.agg(F.sum("n_text")).first()[0] == chunks.selectExpr("sum(size(split(text, ' ')))").first()[0]
