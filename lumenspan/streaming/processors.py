@@ -1,14 +1,15 @@
 """Streams that remember one thing a key: pauses in typing, throttled reports, bounced clicks (STR4, STR6, STR7).
 
 A key's rows are handed on in the order of their time, whatever order they came in: they
-wait as state until the watermark has passed them, which a timer tells. Besides them a
-key has one held row at most, which lapses at a time of its own; then nothing is left of
+wait as state until the watermark has passed them, which a timer tells; one timer, for the
+first of them, as it hands on all that are due. Besides them a key has one held row at most, which lapses at a time of its own; then nothing is left of
 the key. So state is bounded by what a key sends within the watermark's delay, and the
 result is that of the batch form.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -25,25 +26,27 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", ROWS)
+        self.pending = handle.getListState("pending", "rows string")  # a batch's rows in one value, as each value costs a call of the JVM
         self.held = handle.getValueState("held", ROWS)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         fresh = [(r["ms"], r["event_id"], r["kind"], r["text"]) for r in rows]
-        self.pending.appendList(fresh)
-        for ms in {r[0] for r in fresh}:
-            self.handle.registerTimer(ms)
+        self.pending.appendValue((json.dumps(fresh),))
+        self.handle.registerTimer(min(r[0] for r in fresh))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         # All rows up to the watermark are there; a timer set for before it would wait for the next one.
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        rows = sorted((tuple(r) for r in self.pending.get()), key=lambda r: r[:2]) if self.pending.exists() else []
+        rows = sorted((tuple(r) for part in self.pending.get() for r in json.loads(part[0])), key=lambda r: r[:2]) if self.pending.exists() else []
         due = [r for r in rows if r[0] <= now]
-        if len(due) == len(rows):
-            self.pending.clear()
-        elif due:
-            self.pending.put(rows[len(due) :])
+        if due:
+            if len(due) == len(rows):
+                self.pending.clear()
+            else:
+                self.pending.put([(json.dumps(rows[len(due) :]),)])
+        if len(due) < len(rows):
+            self.handle.registerTimer(rows[len(due)][0])
         held = tuple(self.held.get()) if self.held.exists() else None
         before = held
         for row in due:
@@ -56,7 +59,8 @@ class InOrder(StatefulProcessor):
             yield from self.lapse(key, held)
             held = None
         if held is None:
-            self.held.clear()
+            if before is not None:
+                self.held.clear()
         elif held != before:
             self.held.update(held)
             self.handle.registerTimer(self.until(held))

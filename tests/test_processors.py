@@ -77,3 +77,63 @@ def test_stream_is_batch(spark, tmp_path, what):
     else:
         want = plain_debounce(events, 250) if what == "debounce" else plain_throttle(events, 500)
         assert {r["event_id"] for r in got} == want
+
+
+class Held:
+    """State of one key in plain lists; tells how often timers were set."""
+
+    def __init__(self):
+        self.timers, self.set, self.values = set(), 0, {}
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.add(ms)
+        self.set += 1
+
+    def getListState(self, name, schema):  # noqa: N802
+        return Cell(self.values, name)
+
+    getValueState = getListState
+
+
+class Cell:
+    def __init__(self, values, name):
+        self.values, self.name = values, name
+
+    def exists(self):
+        return self.name in self.values
+
+    def get(self):
+        return self.values[self.name]
+
+    def appendValue(self, row):  # noqa: N802
+        self.values[self.name] = [*self.values.get(self.name, []), row]
+
+    def put(self, rows):
+        self.values[self.name] = rows
+
+    update = put
+
+    def clear(self):
+        self.values.pop(self.name, None)
+
+
+class At:
+    def __init__(self, ms):
+        self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_a_key_sets_few_timers():
+    """One timer for the first waiting row, not one for each; rows that come in any order are all handed on."""
+    events = sorted(rows(400, 3), key=lambda e: (e[2] // 20_000, random.Random(e[0]).random()))
+    events = [e for e in events if e[1] == 1]
+    job, held, got = processors.Bounces(10_000), Held(), {}
+    job.init(held)
+    batches = [events[i : i + 25] for i in range(0, len(events), 25)]
+    for n, batch in enumerate(batches):
+        list(job.handleInputRows((1,), iter([{"ms": ms, "event_id": i, "kind": k, "text": q} for i, _, ms, k, q in batch]), None))
+        low = min((e[2] for b in batches[n + 1 :] for e in b), default=1 << 40) - 1
+        for ms in sorted(t for t in held.timers if t <= low):
+            held.timers.discard(ms)
+            got |= {r["event_id"]: r["is_bounce"] for r in job.handleExpiredTimer((1,), At(low), At(ms))}
+    assert got == plain_bounces(events, 10_000) and not held.values
+    assert held.set <= 4 * len(batches) < len(events)
