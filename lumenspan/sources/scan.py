@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
-from .tree import FileTree, put
+from .tree import BYTES, DELETED, FileTree, contents, put
 
 EXTRACTED = T.StructType(
     [T.StructField("success", T.BooleanType())] + [T.StructField(c, T.StringType()) for c in ("text", "source_type", "error_code", "error_detail")]
@@ -26,15 +26,39 @@ def scan_roots(asked: list[str] | None = None, settings: dict | None = None, hom
 def tree(spark: SparkSession, roots: list[str], content: bool = False, depth: int = 2) -> DataFrame:
     """SRC1: every file and folder below ``roots`` that is worth a look; skipped folders aren't entered."""
     spark.dataSource.register(FileTree)
-    reader = spark.read.format("file_tree").option("path", "\n".join(roots)).option("depth", depth)
-    return reader.option("content", str(content).lower()).load()
+    found = spark.read.format("file_tree").option("path", "\n".join(roots)).option("depth", depth).load()
+    return with_contents(found) if content else found
 
 
 def changes(spark: SparkSession, root: str, manifests: str, content: bool = True, depth: int = 2) -> DataFrame:
     """STR2: a stream of the files below ``root`` that were added, changed or deleted since the cycle before; ``manifests`` is a folder that driver and executors share."""
     spark.dataSource.register(FileTree)
-    reader = spark.readStream.format("file_tree").option("path", root).option("manifests", manifests).option("depth", depth)
-    return reader.option("content", str(content).lower()).load()
+    found = spark.readStream.format("file_tree").option("path", root).option("manifests", manifests).option("depth", depth).load()
+    return with_contents(found) if content else found
+
+
+def with_contents(found: DataFrame) -> DataFrame:
+    """``found`` with the files' contents, null for what can't be read. One task lists a folder, whatever it holds; its files are dealt over all tasks before any is read."""
+    spark = found.sparkSession
+    schema, at = found.schema, found.schema.fieldNames().index
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            held, size, low = [], 0, 0
+            paths, is_folder, change = (batch.column(at(c)).to_pylist() for c in ("path", "is_folder", "change"))
+            for i, (path, folder, what) in enumerate(zip(paths, is_folder, change, strict=True)):
+                data = None if folder or what == DELETED else contents(path)
+                held.append(data)
+                size += len(data or b"")
+                if size >= BYTES or i + 1 == len(paths):
+                    part = batch.slice(low, len(held))
+                    yield pa.RecordBatch.from_arrays([*[part.column(k).cast(f.type) for k, f in enumerate(arrow) if f.name != "content"], pa.array(held, arrow.field("content").type)], schema=arrow)
+                    held, size, low = [], 0, i + 1
+
+    # A stated number of partitions, as the paths are too short to tell how much is read.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return found.repartition(parts, "path").mapInArrow(run, schema)
 
 
 def describe(found: DataFrame, *more: str) -> DataFrame:

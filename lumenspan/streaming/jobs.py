@@ -13,7 +13,7 @@ from ..functions import text as X
 from ..operators.chunks import chunk_files
 from ..operators.feedback import click_key
 from ..sources import store
-from ..sources.scan import changes, describe, with_text
+from ..sources.scan import changes, describe, with_contents, with_text
 from ..sources.tree import DELETED
 
 
@@ -28,7 +28,7 @@ def ingest(spark: SparkSession, root: str, out: str, checkpoint: str, once: bool
     sink = upsert_sink(f"{out}/files", ["file_id"])
 
     def write(batch: DataFrame, number: int) -> None:
-        present = batch.where(F.col("change") != DELETED)
+        present = with_contents(batch.where(F.col("change") != DELETED))
         # Extracted once for both tables. A batch that is run again after a failure replaces what it wrote before.
         read = with_text(describe(present, "content")).withColumn("extract_status", F.when(F.col("success"), "SUCCESS").otherwise("ERROR")).persist()
         files = read.drop("text", "success").withColumn("gone", F.lit(False))
@@ -41,7 +41,7 @@ def ingest(spark: SparkSession, root: str, out: str, checkpoint: str, once: bool
         if number and number % COMPACT == 0:
             settle(f"{out}/chunks", number, _current(spark, out)[1])
 
-    found = changes(spark, root, f"{checkpoint}/manifests", True, depth)
+    found = changes(spark, root, f"{checkpoint}/manifests", False, depth)
     writer = found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 

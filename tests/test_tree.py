@@ -140,3 +140,12 @@ def test_files_are_written_and_removed(spark, tmp_path):
     assert [open(p).read() for p, _ in rows] == ["one", "two"]
     scan.write_files(spark.createDataFrame([(rows[0][0], None), (str(tmp_path / "none"), None)], "path string, content string"))
     assert not os.path.exists(rows[0][0]) and os.path.exists(rows[1][0])
+
+
+def test_files_of_one_folder_are_read_by_several_tasks(spark, tmp_path):
+    make(tmp_path / "root", {f"one/f{i:03}.txt": f"text {i} of many" for i in range(80)})
+    found = scan.scan(spark, str(tmp_path / "root"), content=True)
+    got = found.select("filename", F.decode("content", "utf-8").alias("text"), F.spark_partition_id().alias("task")).collect()
+    assert {r["filename"]: r["text"] for r in got} == {f"f{i:03}.txt": f"text {i} of many" for i in range(80)}
+    tasks = [r["task"] for r in got]
+    assert max(map(tasks.count, set(tasks))) < 50
