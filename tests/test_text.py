@@ -83,3 +83,13 @@ def test_chunks():
 def test_chunk_files(spark):
     df = spark.createDataFrame([(1, "a\n\nb", 3), (2, None, 4), (3, "", 5)], "file_id int, text string, extra int")
     assert [tuple(r) for r in chunk_files(df).collect()] == [(1, 3, 0, "a\n\nb", 0, 4)]
+
+
+def test_batches_are_worked_on_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(X.pa, "array", lambda v, t: seen.append(len(v)) or pa.lib.array(v, t))
+    got = X.in_slices(pa.lib.array(["The Running dogs", None, "é"] * 300), X.porter_terms, pa.list_(pa.string()))
+    assert got.to_pylist() == [["the", "run", "dog"], [], ["e"]] * 300 and max(seen) <= X.SLICE
+    assert X.in_slices(pa.lib.array([], pa.string()), X.porter_terms, pa.list_(pa.string())).to_pylist() == []
