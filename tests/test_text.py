@@ -93,3 +93,12 @@ def test_batches_are_worked_on_in_slices(spark, monkeypatch):
     got = X.in_slices(pa.lib.array(["The Running dogs", None, "é"] * 300), X.porter_terms, pa.list_(pa.string()))
     assert got.to_pylist() == [["the", "run", "dog"], [], ["e"]] * 300 and max(seen) <= X.SLICE
     assert X.in_slices(pa.lib.array([], pa.string()), X.porter_terms, pa.list_(pa.string())).to_pylist() == []
+
+
+def test_chunks_of_whole_texts(spark):
+    assert len(chunk_text("\n\n".join(["p" * 990] * 600), most=None)) == 600
+    texts = ["".join(f"{i:07} " for i in range(100_000)), "a\n\nb", None, "x" * 700_001]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(1)
+    got = chunk_files(df, most=None).orderBy("id", "chunk_index").collect()
+    assert [tuple(r) for r in got] == [(i, n, p, s, s + len(p)) for i, t in enumerate(texts) for n, (s, p) in enumerate(chunk_text(t, most=None))]
+    assert ["".join(r["text"] for r in got if r["id"] == i) for i in (0, 3)] == [texts[0], texts[3]]

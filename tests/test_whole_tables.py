@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lumenspan.plans import readers  # noqa: F401  (registers its queries)
 from lumenspan.plans.catalogue import ORACLES, QUERIES
 from lumenspan.sources import corpus as T
 
@@ -45,3 +46,33 @@ def test_html_text_of_every_page(spark, sf, tmp_path):
     rows = T.table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "html").collect()
     got = {r["page_id"]: r["text"] for r in QUERIES["html_text"](spark, "/root/testdata/sf0.1").collect()}
     assert got == {r["page_id"]: plain_text(r["html"]) for r in rows} and {28, 43, 113} <= set(got)
+
+
+@pytest.fixture
+def long_texts(spark, tmp_path):
+    """Documents of which some are longer than 500 chunks; what is looked for stands behind those, and in few others."""
+    filler = [f"w{i} plain words of no account" for i in range(40_000)]
+    texts = ["\n".join(filler[:25_000] + [f"erin thing{i}"] * (i + 1)) for i in range(3)] + ["erin and things", "a short text here", None, "", "no words", "erin too", "the end of all"]
+    texts += ["\n".join(filler)[k : k + 1500] for k in range(0, 60_000, 1500)]
+    rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def same_as_sql(name, spark, home):
+    duckdb = pytest.importorskip("duckdb").connect()
+    duckdb.execute(f"CREATE VIEW documents AS SELECT * FROM '{home}/documents.parquet/*.parquet'")
+    got = QUERIES[name](spark, home)
+    found = duckdb.execute(ORACLES[name])
+    at = [[c[0] for c in found.description].index(c) for c in got.columns]
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(map(str, rows)) == sorted(str(tuple(r[i] for i in at)) for r in found.fetchall())
+    return [dict(zip(got.columns, r, strict=True)) for r in rows]
+
+
+def test_search_meets_the_ends_of_long_texts(spark, long_texts):
+    found = same_as_sql("fts_bm25_and_prefix", spark, long_texts)
+    assert len(found) == 4
+    chunks = T.chunks(spark, long_texts, None)
+    late = {r["chunk_id"] for r in chunks.where("chunk_index >= 500 and text like '%erin thing%'").collect()}
+    assert len(late) == 3 and {r["chunk_id"] for r in found} > late
