@@ -125,12 +125,12 @@ def stream_ingest(spark, sf_dir):
 
 @register(
     """SELECT doc_id, count(*) AS chunks, CAST(sum(length(c)) AS BIGINT) AS chars, bit_xor(('0x' || left(md5(c), 8))::BIGINT) AS mark
-FROM (SELECT doc_id, substr(t, i * 1000 + 1, 1000) AS c FROM (SELECT doc_id, t, unnest(range(0, least(500, CAST(ceil(length(t) / 1000.0) AS BIGINT)))) AS i FROM (
+FROM (SELECT doc_id, substr(t, i * 1000 + 1, 1000) AS c FROM (SELECT doc_id, t, unnest(range(0, CAST(ceil(length(t) / 1000.0) AS BIGINT))) AS i FROM (
   SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN 'new ' ELSE '' END || coalesce(text, '') || chr(10) AS t FROM documents WHERE doc_id % 5 NOT IN (2, 3) AND doc_id % 10 <> 5) WHERE strlen(t) >= 10))
 GROUP BY doc_id"""
 )
 def stream_changes(spark, sf_dir):
-    """STR1, STR2, SRC1, FLT2: the chunks of a tree after two cycles: between them a tenth of the files was rewritten, a tenth deleted, a tenth came in; skipped folders stay unseen."""
+    """STR1, STR2, SRC1, FLT2: the chunks of whole texts of a tree after two cycles: between them a tenth of the files was rewritten, a tenth deleted, a tenth came in; skipped folders stay unseen."""
     home = f"{store.shared_dir(spark)}/lumenspan-changes/{uuid.uuid4().hex}"
     fs, where = store.filesystem(spark, home)
     fs.deleteOnExit(where)

@@ -77,8 +77,8 @@ def folders(files: DataFrame) -> DataFrame:
     return files.select("folder_path").distinct().select(X.file_id(F.col("folder_path")).alias("file_id"), F.col("folder_path").alias("path"), X.filename(F.col("folder_path")).alias("filename"))
 
 
-def with_text(files: DataFrame) -> DataFrame:
-    """SRC13: ``files`` (extension, content, ...) without content, with success, text, source_type, error_code, error_detail."""
+def with_text(files: DataFrame, whole: bool = False) -> DataFrame:
+    """SRC13: ``files`` (extension, content, ...) without content, with success, text, source_type, error_code, error_detail; ``whole`` as in ``extract``."""
     from .extract import extract
 
     kept = [f for f in files.schema.fields if f.name != "content"]
@@ -90,7 +90,7 @@ def with_text(files: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):  # a file at a time: contents may be large
                 row = batch.slice(i, 1)
-                got = extract(row.column(len(kept))[0].as_py(), row.column(at)[0].as_py())
+                got = extract(row.column(len(kept))[0].as_py(), row.column(at)[0].as_py(), whole)
                 same = [row.column(k).cast(arrow.field(k).type) for k in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*same, *[pa.array([got[f.name]], arrow.field(f.name).type) for f in EXTRACTED]], schema=arrow)
 

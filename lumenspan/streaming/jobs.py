@@ -23,18 +23,19 @@ def ingest(spark: SparkSession, root: str, out: str, checkpoint: str, once: bool
     Each cycle looks at the whole tree and takes up what differs from the cycle before:
     a changed file's row and chunks replace the old ones, with ``delete`` those of a deleted
     file go. ``checkpoint`` holds the manifests too; it has one query at a time, so cycles
-    never overlap. With ``once`` one cycle is run, otherwise one ``every`` so long.
+    never overlap. With ``once`` one cycle is run, otherwise one ``every`` so long. Plain
+    texts are read and chunked whole, however long they are.
     """
     sink = upsert_sink(f"{out}/files", ["file_id"])
 
     def write(batch: DataFrame, number: int) -> None:
         present = with_contents(batch.where(F.col("change") != DELETED))
         # Extracted once for both tables. A batch that is run again after a failure replaces what it wrote before.
-        read = with_text(describe(present, "content")).withColumn("extract_status", F.when(F.col("success"), "SUCCESS").otherwise("ERROR")).persist()
+        read = with_text(describe(present, "content"), True).withColumn("extract_status", F.when(F.col("success"), "SUCCESS").otherwise("ERROR")).persist()
         files = read.drop("text", "success").withColumn("gone", F.lit(False))
         if delete:
             files = files.unionByName(describe(batch.where(F.col("change") == DELETED)).withColumn("gone", F.lit(True)), allowMissingColumns=True)
-        chunks = chunk_files(read.where("success").select("file_id", "filename", "folder_path", "text"))
+        chunks = chunk_files(read.where("success").select("file_id", "filename", "folder_path", "text"), most=None)
         chunks.withColumn("chunk_id", X.chunk_id(F.col("file_id"), F.col("chunk_index"))).withColumn("version", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
         sink(files.withColumn("version", F.lit(number).cast("long")), number)
         read.unpersist()

@@ -76,3 +76,15 @@ def test_search_meets_the_ends_of_long_texts(spark, long_texts):
     chunks = T.chunks(spark, long_texts, None)
     late = {r["chunk_id"] for r in chunks.where("chunk_index >= 500 and text like '%erin thing%'").collect()}
     assert len(late) == 3 and {r["chunk_id"] for r in found} > late
+
+
+def add_large(spark, home):
+    """A text of over 10 MB beside the others."""
+    text = "z" * (11 << 20)
+    spark.createDataFrame([(50, text, "en", "src0", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.mode("append").parquet(f"{home}/documents.parquet")
+
+
+def test_changed_files_are_chunked_to_their_ends(spark, long_texts):
+    add_large(spark, long_texts)
+    found = {r["doc_id"]: r["chunks"] for r in same_as_sql("stream_changes", spark, long_texts)}
+    assert found[0] > 500 and found[1] > 500 and found[50] == (11 << 20) // 1000 + 1
