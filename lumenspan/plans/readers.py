@@ -113,10 +113,10 @@ def scan_tree(spark, sf_dir):
     return found.groupBy(folder.alias("folder"), "extension").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"), F.bit_xor(F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long")).alias("mark"))
 
 
-@register("SELECT count(*) AS files, CAST(sum(least(500, ceil(length(t) / 1000.0))) AS BIGINT) AS chunks, CAST(sum(least(500000, length(t))) AS BIGINT) AS chars FROM tree", TREE_SQL)
+@register("SELECT count(*) AS files, CAST(sum(ceil(length(t) / 1000.0)) AS BIGINT) AS chunks, CAST(sum(length(t)) AS BIGINT) AS chars FROM tree", TREE_SQL)
 def stream_ingest(spark, sf_dir):
-    """STR1, STR3, API7: a streaming job that reads new files, and a second cycle that finds none."""
-    root, out = _tree(spark, sf_dir), f"{store.shared_dir(spark)}/lumenspan-ingest/{store.stamp(spark, f'{sf_dir}/documents.parquet')}"
+    """STR1, STR3, API7: a streaming job that reads new files whole, and a second cycle that finds none."""
+    root, out = _tree(spark, sf_dir), f"{store.shared_dir(spark)}/lumenspan-ingest-whole/{store.stamp(spark, f'{sf_dir}/documents.parquet')}"
     for _ in range(2):
         jobs.ingest(spark, root, f"{out}/tables", f"{out}/mark").awaitTermination()
     files, chunks = jobs.tables(spark, f"{out}/tables")

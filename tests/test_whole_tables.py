@@ -88,3 +88,9 @@ def test_changed_files_are_chunked_to_their_ends(spark, long_texts):
     add_large(spark, long_texts)
     found = {r["doc_id"]: r["chunks"] for r in same_as_sql("stream_changes", spark, long_texts)}
     assert found[0] > 500 and found[1] > 500 and found[50] == (11 << 20) // 1000 + 1
+
+
+def test_new_files_are_chunked_to_their_ends(spark, long_texts):
+    add_large(spark, long_texts)
+    found = same_as_sql("stream_ingest", spark, long_texts)
+    assert len(found) == 1 and found[0]["chunks"] > (11 << 20) // 1000 + 2 * 500 and found[0]["chars"] > (11 << 20) + 2 * 500_000
